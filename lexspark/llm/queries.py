@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import read_tokens, token_folder, write_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    return read_tokens(write_tokens(docs, token_folder(docs), tokenizer_path("word_bpe_49k.json"), end_id=2))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -31,6 +38,7 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_store": op6_token_store,
     "op8_harmonic_packing": op8_harmonic_packing,
 }
 ORACLES: dict[str, str] = {}
