@@ -54,18 +54,20 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         return
 
 
-def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, doc_id, text): ``row_key`` is unique and ascends with ``doc_id``.
+def keyed(docs: DataFrame, columns: list[str] | None = None, key: str = "row_key") -> DataFrame:
+    """``docs`` with a long ``key`` that is unique and ascends with doc_id.
 
     Where every id is present once, the key is the id and nothing moves. Otherwise rows are
     range-partitioned by id (nulls first), ordered by text among equal ids, numbered and written.
+    ``columns``: those to keep (doc_id and text are always kept).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    repeats = rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
-    if not repeats:
-        return rows.select(F.col("doc_id").alias("row_key"), "doc_id", "text")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return materialize(ordered.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text"), "rows")
+    rows = docs.select(*dict.fromkeys(["doc_id", "text", *columns])) if columns is not None else docs
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    if not rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return rows.withColumn(key, F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ordered = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "rows")
 
 
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
