@@ -43,7 +43,14 @@ def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_repetition_quality": op9_repetition_quality,
     "op5_simhash_covering": op5_simhash_covering,
     "op6_token_store": op6_token_store,
     "op8_harmonic_packing": op8_harmonic_packing,
