@@ -81,7 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, space)
+        encoder = ChunkEncoder.shared(tokenizer, space)
         bins, base, made = HarmonicBins(capacity), TaskContext.get().partitionId() << 36, 0
 
         def placed(groups) -> pa.RecordBatch:
@@ -98,9 +98,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
         for part in text_slices(batches, "text"):
             full = []
-            for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                ids = np.append(ids, end_id).astype("<u4")
-                at = 0
+            found, bounds = encoder.encode(part.column("text"))
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids, at = np.append(found[a:b], end_id).astype("<u4"), 0
                 for n in cut(len(ids), capacity):
                     if done := bins.put((doc, at, n, zlib.crc32(ids[at : at + n]), len(ids)), n):
                         full.append(done)

@@ -161,21 +161,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spac
     small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, space)
-        keys, ids = [], []
+        encoder = ChunkEncoder.shared(tokenizer, space)
+        keys, ids, lengths = [], [], []
         for part in text_slices(batches, "text"):
             keys.append(part.column("doc_id").fill_null(NULL_ID).to_numpy())
-            ids += [np.append(x, end_id).astype(f"<u{width}") for x in encoder.encode(part.column("text").to_pylist())]
+            found, at = encoder.encode(part.column("text"))
+            ids.append(np.insert(found, at[1:], end_id).astype(f"<u{width}"))
+            lengths.append(np.diff(at) + 1)
         if not keys:
             return
-        lengths = np.array([len(x) for x in ids], np.int64)
+        lengths = np.concatenate(lengths)
         number, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         where, base = _open(folder)
         where.create_dir(base, recursive=True)
         with where.open_output_stream(f"{base}/_{number}-{attempt}-{os.getpid()}") as out:
             out.write(to_bytes(np.concatenate(keys), lengths, np.concatenate(ids), width))
         where.move(f"{base}/_{number}-{attempt}-{os.getpid()}", f"{base}/tokens-{number:06d}.bin")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [f"{folder}/tokens-{number:06d}.bin"], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([int(lengths.sum())], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [f"{folder}/tokens-{number:06d}.bin"], "n_docs": pa.array([len(lengths)], pa.int64()), "n_tokens": pa.array([int(lengths.sum())], pa.int64())})
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
