@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,18 +129,32 @@ class Table:
             at += n
             code <<= 1
 
-    def constant(self, extra) -> int:
-        """The bits of every code with its extra bits if they are the same for all symbols, else 0."""
-        found = {length + extra(s) for (length, _), s in self.codes.items()}
-        return found.pop() if len(found) == 1 else 0
+        lengths = {length + (s & 15) for (length, _), s in self.codes.items()}
+        #: The bits of every code with its extra bits if they are the same for all symbols, else 0.
+        self.constant = lengths.pop() if len(lengths) == 1 else 0
+
+    @cached_property
+    def values(self) -> np.ndarray:
+        """By code and extra bits: the signed number they stand for (constant lengths only)."""
+        out = np.full(1 << self.constant, 1 << 20, np.int32)
+        for (_, code), s in self.codes.items():
+            e, s = np.arange(1 << (s & 15)), s & 15
+            out[(code << s) + e] = np.where(e >> max(0, s - 1), e, e - (1 << s) + 1) if s else 0
+        return out
+
+
+_table = lru_cache(256)(Table)
 
 
 class Reader:
     def __init__(self, data: bytes):
         self.raw = data
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
         self.at = 0
 
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(self.raw, np.uint8))
+
     def take(self, n: int) -> np.ndarray:
         if self.at + n > len(self.bits):
             raise BadImage("a scan ends early")
@@ -177,6 +192,11 @@ class Component:
     own_down: int = 0
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros((0, 64), np.int32))
 
+    @cached_property
+    def own(self) -> np.ndarray:
+        """The blocks of a scan of this component alone."""
+        return (np.arange(self.own_down)[:, None] * self.across + np.arange(self.own_across)).ravel()
+
 
 @dataclass
 class Image:
@@ -215,40 +235,35 @@ class Image:
         return out
 
 
-def _dc_scan(r: Reader, units: list[tuple[Component, np.ndarray]], tables: list[Table], high: int, low: int, order: np.ndarray) -> None:
+def _dc_scan(r: Reader, units: list[Component], tables: list[Table], high: int, low: int, order: np.ndarray) -> None:
     """``order``: (component in the scan, block) of each coded block in turn."""
     which, block = order
     if high:
         bits = r.take(len(block))
-        for i, (c, _) in enumerate(units):
+        for i, c in enumerate(units):
             mine = which == i
             c.coefficients[block[mine], 0] |= bits[mine].astype(np.int32) << low
         return
-    width = {t.constant(lambda s: s) for t in tables}
-    if len(width) == 1 and (n := width.pop()) and n <= 16:
-        diff = np.empty(len(block), np.int32)
-        words = r.take(n * len(block)).reshape(-1, n) @ (1 << np.arange(n - 1, -1, -1))
-        for i, t in enumerate(tables):
-            known = np.full(1 << n, 1 << 20, np.int32)
-            for (length, code), s in t.codes.items():
-                e = np.arange(1 << s)
-                known[(code << s) + e] = np.where(e >> max(0, s - 1), e, e - (1 << s) + 1) if s else 0
-            diff[which == i] = known[words[which == i]]
+    if all(t is tables[0] for t in tables) and 0 < (n := tables[0].constant) <= 16:
+        diff = tables[0].values[r.take(n * len(block)).reshape(-1, n) @ (1 << np.arange(n - 1, -1, -1))]
         if len(diff) and diff.max() >= 1 << 20:
             raise BadImage("no such code")
     else:
         diff = np.array([r.signed(r.symbol(tables[i])) for i in which.tolist()], np.int32)
-    for i, (c, _) in enumerate(units):
+    for i, c in enumerate(units):
         mine = which == i
         c.coefficients[block[mine], 0] = np.cumsum(diff[mine]) << low
 
 
 def _ac_first(r: Reader, c: Component, blocks: np.ndarray, table: Table, a: int, b: int, low: int) -> None:
     only = list(table.codes.values())
-    if len(only) == 1 and 0 < only[0] < 16 and (n := table.constant(lambda s: s & 15)) <= 16:
+    if len(only) == 1 and 0 < only[0] < 16 and (n := table.constant) <= 16:
         size = only[0]
-        bits = r.take(n * len(blocks) * (b - a + 1))
-        words = np.frombuffer(r.raw, np.uint8)[: len(bits) // 8].astype(np.int32) if n == 8 and r.at == len(bits) else bits.reshape(-1, n) @ (1 << np.arange(n - 1, -1, -1))
+        count = len(blocks) * (b - a + 1)
+        if n == 8 and count <= len(r.raw):
+            words = np.frombuffer(r.raw, np.uint8)[:count].astype(np.int32)
+        else:
+            words = r.take(n * count).reshape(-1, n) @ (1 << np.arange(n - 1, -1, -1))
         if len(words) and words.max() >> size:
             raise BadImage("no such code")
         value = np.where(words >> (size - 1), words, words - (1 << size) + 1)
@@ -316,7 +331,7 @@ def _ac_refine(r: Reader, c: Component, blocks: np.ndarray, table: Table, a: int
 def _baseline(r: Reader, units: list, dc: list[Table], ac: list[Table], order: np.ndarray) -> None:
     last = [0] * len(units)
     for i, block in zip(*(x.tolist() for x in order), strict=True):
-        row = units[i][0].coefficients[block]
+        row = units[i].coefficients[block]
         last[i] += r.signed(r.symbol(dc[i]))
         row[0], k = last[i], 1
         while k < 64:
@@ -339,12 +354,15 @@ def _frame(image: Image, data: bytes) -> None:
         c.coefficients = np.zeros((c.across * c.down, 64), np.int32)
 
 
-def _order(units: list[tuple[Component, np.ndarray]]) -> np.ndarray:
+def _order(units: list[Component]) -> np.ndarray:
     """Component and block of each block of a scan, in the order in which they are coded."""
     if len(units) == 1:
-        return np.stack([np.zeros(len(units[0][1]), np.int64), units[0][1]])
+        return np.stack([np.zeros(len(units[0].own), np.int64), units[0].own])
+    if all(c.h == c.v == 1 for c in units):
+        n = units[0].across * units[0].down
+        return np.stack([np.tile(np.arange(len(units)), n), np.repeat(np.arange(n), len(units))])
     parts = []
-    for i, (c, _) in enumerate(units):
+    for i, c in enumerate(units):
         y, x = np.divmod(np.arange(c.across * c.down), c.across)
         unit = (y // c.v) * (c.across // c.h) + x // c.h
         parts.append(np.stack([unit, np.full(len(x), i), y % c.v * c.h + x % c.h, np.arange(len(x))]))
@@ -379,7 +397,7 @@ def decode(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                tables[body[0]] = Table(body[1:17], body[17 : 17 + n])
+                tables[body[0]] = _table(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker in (0xC0, 0xC1, 0xC2):
             progressive = marker == 0xC2
@@ -404,13 +422,12 @@ def _one_scan(image: Image, head: bytes, data: bytes, tables: dict[int, Table],
     units, dc, ac = [], [], []
     for i in range(n):
         c = next(c for c in image.components if c.number == head[1 + 2 * i])
-        own = (np.arange(c.own_down)[:, None] * c.across + np.arange(c.own_across)).ravel()
-        units.append((c, own))
+        units.append(c)
         dc.append(tables.get(head[2 + 2 * i] >> 4))
         ac.append(tables.get(0x10 | head[2 + 2 * i] & 15))
     a, b, high, low = head[1 + 2 * n], head[2 + 2 * n], head[3 + 2 * n] >> 4, head[3 + 2 * n] & 15
     order = _order(units)
-    each = interval * (1 if n == 1 else sum(c.h * c.v for c, _ in units)) if interval else order.shape[1]
+    each = interval * (1 if n == 1 else sum(c.h * c.v for c in units)) if interval else order.shape[1]
     parts = [data]
     if interval:  # restart markers cut the scan into parts that are coded each for itself
         parts, from_ = [], 0
@@ -426,9 +443,9 @@ def _one_scan(image: Image, head: bytes, data: bytes, tables: dict[int, Table],
         elif a == 0:
             _dc_scan(r, units, dc, high, low, now)
         elif high:
-            _ac_refine(r, units[0][0], now[1], ac[0], a, b, low)
+            _ac_refine(r, units[0], now[1], ac[0], a, b, low)
         else:
-            _ac_first(r, units[0][0], now[1], ac[0], a, b, low)
+            _ac_first(r, units[0], now[1], ac[0], a, b, low)
 
 
 # -- columns ----------------------------------------------------------------------------------

@@ -49,7 +49,14 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jpeg import digest, store_texts
+
+    return digest(store_texts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_progressive_jpeg": op10_progressive_jpeg,
     "op9_repetition_quality": op9_repetition_quality,
     "op5_simhash_covering": op5_simhash_covering,
     "op6_token_store": op6_token_store,
