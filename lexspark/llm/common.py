@@ -3,6 +3,7 @@ and views of Arrow string columns as NumPy bytes."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,9 +40,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+
+    Spark deletes shuffle files once the driver has collected what refers to them; asking for
+    that here keeps a long job from holding the files of all its steps.
+    """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
