@@ -32,6 +32,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op10_progressive_jpeg": op10_progressive_jpeg,
     "op9_repetition_quality": op9_repetition_quality,
+    "op4_toxicity_nnpu": op4_toxicity_nnpu,
     "op5_simhash_covering": op5_simhash_covering,
     "op6_token_store": op6_token_store,
     "op8_harmonic_packing": op8_harmonic_packing,
