@@ -36,8 +36,8 @@ class Settings:
     features: int = 1024
     least_positive: int = 3
     folds: int = 5
-    epochs: int = 150
-    batch: int = 512
+    epochs: int = 500
+    batch: int = 8192
     rate: float = 0.05
     decay: float = 1e-5
     beta: float = 0.0
@@ -116,7 +116,11 @@ def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk, by mini-batches with Adam."""
+    """Weights and bias that minimise the non-negative risk with Adam.
+
+    Large batches: a small one's number of hidden toxic texts varies so much that the estimate of
+    the risk on clean texts is often negative by chance.
+    """
     random = np.random.default_rng(7)
     k = positive.shape[1]
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
@@ -124,8 +128,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: Se
     up = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     steps = max(1, -(-len(unlabelled) // settings.batch))
     for t in range(settings.epochs * steps):
-        xp = positive[random.integers(0, len(positive), min(settings.batch, len(positive)))]
-        xu = unlabelled[random.integers(0, len(unlabelled), min(settings.batch, len(unlabelled)))]
+        xp = positive if len(positive) <= settings.batch else positive[random.integers(0, len(positive), settings.batch)]
+        xu = unlabelled if len(unlabelled) <= settings.batch else unlabelled[random.integers(0, len(unlabelled), settings.batch)]
         gp, gu = xp @ theta[:k] + theta[k], xu @ theta[:k] + theta[k]
         clean_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         dp, du = prior * up(gp) / len(gp), up(gu) / len(gu)  # of l(-g)
