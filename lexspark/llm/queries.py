@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pii_key() -> str:
+    """The secret of all surrogates: LEXSPARK_PII_KEY, else one for tests."""
+    return os.environ.get("LEXSPARK_PII_KEY", "a key for tests only")
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key())
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
@@ -71,6 +82,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op10_progressive_jpeg": op10_progressive_jpeg,
     "op9_repetition_quality": op9_repetition_quality,
