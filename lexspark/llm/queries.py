@@ -36,6 +36,12 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key())
 
 
+def op2_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_nbest
+
+    return encode_nbest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
@@ -83,6 +89,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_nbest_pieces": op2_nbest_pieces,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op10_progressive_jpeg": op10_progressive_jpeg,
     "op9_repetition_quality": op9_repetition_quality,
