@@ -49,6 +49,7 @@ class Lattice:
                 self.score[name] = (sp.get_score(i), (i,))
                 self.pieces.append(name.replace(MARK, " ").encode())
         self.unknown = sp.unk_id()
+        self.begins = {name[:i] for name in self.score for i in range(1, len(name))}
         self.longest = max(map(len, self.score))
         self.penalty = min(s for s, _ in self.score.values()) - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.score):
@@ -59,8 +60,11 @@ class Lattice:
         n, get, out = len(text), self.score.get, [[] for _ in range(len(text) + 1)]
         for a in range(n):
             for b in range(a + 1, min(n, a + self.longest) + 1):
-                if found := get(text[a:b]):
+                part = text[a:b]
+                if found := get(part):
                     out[b].append((a, *found))
+                if part not in self.begins:
+                    break
             if text[a] not in self.score:
                 ids = tuple(self.byte.get(x, self.unknown) for x in text[a].replace(MARK, " ").encode())
                 out[a + 1].append((a, self.penalty * len(ids), ids))
