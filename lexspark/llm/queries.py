@@ -69,6 +69,16 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, token_folder(docs), tokenizer_path("word_bpe_49k.json"), end_id=2))
 
 
+def op7_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialize, new_path
+    from .warc import page_digests, register, revisits, write_warc
+
+    register(spark)
+    pages, folder = table(spark, sf_dir, "pages"), new_path(spark, "warc")
+    write_warc(pages, folder, materialize(revisits(pages), "revisits")).write.format("noop").mode("overwrite").save()
+    return page_digests(spark.read.format("warc").load(folder))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -96,6 +106,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_nnpu": op4_toxicity_nnpu,
     "op5_simhash_covering": op5_simhash_covering,
     "op6_token_store": op6_token_store,
+    "op7_warc_source": op7_warc_source,
     "op8_harmonic_packing": op8_harmonic_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_source": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < largest THEN largest END AS refers_to
+        FROM g""",
+}
