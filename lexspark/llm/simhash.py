@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ragged, small_batches, text_slices
+from .common import keyed, materialize, ragged, small_batches, text_slices
 from .components import connected_components
 
 SEGMENT = 255  # shingles whose bits add up in bytes
@@ -172,3 +172,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str =
     ids = marked.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = materialize(marked.join(ids, "root").select("fp", "component_id"), "groups")
     return prints.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
+
+    Of rows with equal ids, ``common.keyed`` says which comes first. Other columns stay.
+    """
+    rows = keyed(docs, key="_row_key")
+    groups = near_duplicates(rows, width, radius, key="_row_key")
+    gone = materialize(groups.where("_row_key <> component_id").select("_row_key"), "gone")
+    return rows.join(gone, "_row_key", "left_anti").select(*docs.columns)

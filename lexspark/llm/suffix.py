@@ -363,3 +363,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     return rows.mapInArrow(run, "row_key long, doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
+
+
+def remove_repeated_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, all other columns as they are.
+
+    Where a cut leaves a part of a character, that part goes too. A null text stays null.
+    """
+    rows = repeats(keyed(docs, key="_row_key").withColumnRenamed("_row_key", "row_key"), length) if "row_key" not in docs.columns else repeats(docs, length)
+    names = docs.schema.names
+    rows = rows.select(*names, "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            texts = []
+            for text, cuts in zip(part.column("text").to_pylist(), _union(part.column("runs")), strict=True):
+                if cuts:
+                    raw, at, pieces = text.encode(), 0, []
+                    for a, b in cuts:
+                        pieces.append(raw[at:a].decode("utf-8", "ignore"))
+                        at = b
+                    text = "".join([*pieces, raw[at:].decode("utf-8", "ignore")])
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else c for n, c in zip(names, part.columns[:-1], strict=True)], names)
+
+    return rows.mapInArrow(run, rows.drop("runs").schema)
