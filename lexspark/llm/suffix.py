@@ -2,8 +2,8 @@
 
 Every string of ``length`` bytes has an anchor: the smallest of its ``GRAM``-byte hashes. A run of
 neighbouring strings whose anchor is in one place is a segment, and equal strings lie in segments with equal
-anchors. So documents are cut into segments; those whose anchor is seen once hold no repeat, and
-the texts of the others meet by anchor. Equal segments are counted before they are sent: only
+anchors. So documents are cut into segments; those that share neither anchor nor what is around it
+with another hold no repeat, and the texts of the others meet by anchor. Equal segments are counted before they are sent: only
 the earliest occurrence of each keeps a text, with a weight for the rest.
 
 Of the texts that meet, a task builds suffix ranks and the transform's LF mapping and expands
@@ -66,12 +66,15 @@ class Spans:
         return _finish((self.sums[width:] - self.sums[:-width]) * self.back[: len(self.sums) - width])
 
 
-def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, content hash, start in ``raw`` and number of strings of each segment of the texts.
+def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Anchor hash, content hash, start in ``raw``, number of strings and sides of each segment of the texts.
 
-    A segment of n strings is the bytes from its start to start + n + length - 1.
+    A segment of n strings is the bytes from its start to start + n + length - 1. Its sides are two
+    16-bit hashes, of the anchor with half the other bytes of a string before it, and after it (0: the
+    text ends there). A string has one of the two whole, so segments with a string in common
+    have a side in common.
     """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = (*(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)
     many = np.maximum(np.diff(off) - length + 1, 0)
     if not many.sum():
         return none
@@ -90,8 +93,15 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
-    start = at[first]
-    return hashes[place[first]], Spans(raw, 1).of(start, start + n + length - 1), start, n
+    start, place = at[first], place[first]
+    content = Spans(raw, 1)
+    doc = np.searchsorted(off, start, side="right") - 1
+    half = -(-(length - gram) // 2)
+    a, b = np.maximum(place - half, 0), np.minimum(place + gram + half, len(raw))
+    before = np.where(place - half >= off[doc], content.of(a, place + gram) % np.uint64(65535) + np.uint64(1), 0)
+    after = np.where(place + gram + half <= off[doc + 1], content.of(place, b) % np.uint64(65535) + np.uint64(1), 0)
+    sides = (before.astype(np.int64) << 16) | after.astype(np.int64)
+    return hashes[place], content.of(start, start + n + length - 1), start, n, sides
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
@@ -178,62 +188,78 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-SEGMENTS = "route long, anchor long, content long, row_key long, start int, strings int, copies int"
+SEGMENTS = "anchor long, content long, row_key long, place long, sides long, copies int"
+FOUND = "anchor long, row_key long, start int, strings int, copies int"
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """The segments of all texts, equal ones of a slice counted together.
+    """The segments of all texts, equal ones of a slice counted together; place is start * 256 + strings.
 
     The earliest of these goes to its anchor (copies > 0). The others are repeats in any case and
-    travel on routes of their own (copies 0), so that a frequent anchor gets a row from each slice.
+    get a random number for an anchor (copies 0), so that a frequent anchor gets a row from each slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 2 << 20):
             raw, off = string_bytes(part.column("text"))
-            anchor, content, start, n = segments(raw, off, length)
+            anchor, content, start, n, sides = segments(raw, off, length)
             if not len(anchor):
                 continue
             doc = np.searchsorted(off, start, side="right") - 1
             key, start = part.column("row_key").to_numpy()[doc], start - off[doc]
             order = np.lexsort((start, key, content, anchor))
-            a, c = anchor[order], content[order]
+            a, c, k = anchor[order], content[order], key[order]
             lead = np.ones(len(order), bool)
             lead[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            copies = np.zeros(len(order), np.int64)
+            copies = np.zeros(len(order), np.int32)
             copies[lead] = np.diff(np.append(np.flatnonzero(lead), len(order)))
-            away = _finish(key[order].astype(np.uint64) * BASE + start[order].astype(np.uint64))
-            route = np.where(lead, a, away)
-            ints = [pa.array(x.astype(np.int32)) for x in (start[order], n[order], copies)]
-            longs = [pa.array(x.view(np.int64)) for x in (route, a, c)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(key[order]), *ints], [f.split()[0] for f in SEGMENTS.split(", ")])
+            route = np.where(lead, a, _finish(k.astype(np.uint64) * BASE + start[order].astype(np.uint64)))
+            content = np.where(lead, c, np.uint64(0))
+            columns = [route.view(np.int64), content.view(np.int64), k, start[order] << 8 | n[order], np.where(lead, sides[order], 0), copies]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [f.split()[0] for f in SEGMENTS.split(", ")])
 
     return docs.select("row_key", "text").mapInArrow(run, SEGMENTS)
 
 
-def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """Of the segments by route: repeats (copies 0), and per anchor seen twice its different segments.
+def settle(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Which segments of whole anchors (sorted by anchor, content, row_key, place) matter; sets their copies.
 
-    A segment's row has its earliest occurrence and the number of all; occurrences that turn
-    out not to be the earliest become repeats.
+    Of equal segments the first keeps the number of all as copies, the others become repeats. It
+    matters further if it has copies or shares a side with another segment of its anchor.
     """
-    dealt = rows.repartition("route").sortWithinPartitions("route", "anchor", "content", "row_key", "start")
+    away = x["copies"] == 0
+    turn = np.ones(len(away), bool)
+    turn[1:] = (x["anchor"][1:] != x["anchor"][:-1]) | away[1:] | away[:-1]
+    new = turn.copy()
+    new[1:] |= x["content"][1:] != x["content"][:-1]
+    copies = np.bincount(np.cumsum(new) - 1, x["copies"]).astype(np.int32)
+    x["copies"] = x["copies"].copy()
+    x["copies"][~new] = 0
+    x["copies"][new] = copies
+    x["copies"][away] = 0
+    one = np.flatnonzero(new & ~away)
+    group = (np.cumsum(turn) - 1)[one]
+    meets = x["copies"][one] > 1
+    for side in (x["sides"][one] >> 16, x["sides"][one] & 0xFFFF):
+        _, at, n = np.unique(group << 16 | side, return_inverse=True, return_counts=True)
+        meets |= (n[at] > 1) & (side > 0)
+    matters = np.ones(len(away), bool)
+    matters[one] = meets
+    return matters
+
+
+def _shared_anchors(rows: DataFrame) -> DataFrame:
+    """Repeats (copies 0), and the different segments that may have a string in common with others (see ``settle``)."""
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "content", "row_key", "place")
     names = [f.split()[0] for f in SEGMENTS.split(", ")]
 
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        x = {c: table.column(c).to_numpy() for c in names[1:]}
-        away = x["copies"] == 0
-        new = np.ones(len(away), bool)
-        new[1:] = (x["anchor"][1:] != x["anchor"][:-1]) | (x["content"][1:] != x["content"][:-1]) | away[1:] | away[:-1]
-        number = np.cumsum(new) - 1
-        copies = np.bincount(number, x["copies"]).astype(np.int64)[number]
-        turn = np.ones(len(away), bool)
-        turn[1:] = (x["anchor"][1:] != x["anchor"][:-1]) | away[1:] | away[:-1]
-        group = np.cumsum(turn) - 1
-        shared = np.bincount(group, x["copies"])[group] > 1
-        keep = away | shared
-        x["copies"] = np.where(new & ~away, copies, 0).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in names[1:]], names[1:])
+    def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        x = {c: table.column(c).to_numpy() for c in names}
+        keep = settle(x)
+        place = x["place"][keep]
+        columns = [x["anchor"][keep], x["row_key"][keep], (place >> 8).astype(np.int32), (place & 255).astype(np.int32), x["copies"][keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -241,17 +267,17 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            route = batch.column("route").to_numpy()
-            if route[-1] == held[0].column("route")[0].as_py():
-                continue  # one route so far
-            cut = int(np.searchsorted(route, route[-1]))
+            anchor = batch.column("anchor").to_numpy()
+            if anchor[-1] == held[0].column("anchor")[0].as_py():
+                continue  # one anchor so far
+            cut = int(np.searchsorted(anchor, anchor[-1]))
             rest, held[-1] = batch.slice(cut), batch.slice(0, cut)
-            yield settle(pa.Table.from_batches(held).combine_chunks())
+            yield settled(held)
             held = [rest]
         if held:
-            yield settle(pa.Table.from_batches(held).combine_chunks())
+            yield settled(held)
 
-    return dealt.mapInArrow(run, SEGMENTS.removeprefix("route long, "))
+    return dealt.mapInArrow(run, FOUND)
 
 
 def _with_texts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
