@@ -37,7 +37,6 @@ class Settings:
     least_positive: int = 3
     folds: int = 5
     epochs: int = 500
-    batch: int = 8192
     rate: float = 0.05
     decay: float = 1e-5
     beta: float = 0.0
@@ -115,30 +114,40 @@ def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
     return best[score[best] > 3]
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Rows:
+    """The features of n texts, as (text, feature) pairs: most texts have few of them."""
+
+    n: int
+    text: np.ndarray
+    feature: np.ndarray
+
+    def times(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.text, theta[self.feature], self.n)
+
+    def back(self, weights: np.ndarray, k: int) -> np.ndarray:
+        return np.bincount(self.feature, weights[self.text], k)
+
+
+def fit(positive: Rows, unlabelled: Rows, k: int, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with Adam.
 
-    Large batches: a small one's number of hidden toxic texts varies so much that the estimate of
-    the risk on clean texts is often negative by chance.
+    Every step takes all texts: the number of hidden toxic ones in a small batch varies so much
+    that its estimate of the risk on clean texts is often negative by chance.
     """
-    random = np.random.default_rng(7)
-    k = positive.shape[1]
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     theta[k] = np.log(prior / (1 - prior))
     up = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    steps = max(1, -(-len(unlabelled) // settings.batch))
-    for t in range(settings.epochs * steps):
-        xp = positive if len(positive) <= settings.batch else positive[random.integers(0, len(positive), settings.batch)]
-        xu = unlabelled if len(unlabelled) <= settings.batch else unlabelled[random.integers(0, len(unlabelled), settings.batch)]
-        gp, gu = xp @ theta[:k] + theta[k], xu @ theta[:k] + theta[k]
+    for t in range(settings.epochs):
+        gp, gu = positive.times(theta) + theta[k], unlabelled.times(theta) + theta[k]
         clean_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         dp, du = prior * up(gp) / len(gp), up(gu) / len(gu)  # of l(-g)
-        gradient = np.concatenate([xu.T @ du - xp.T @ dp, [du.sum() - dp.sum()]])
+        gradient = np.append(unlabelled.back(du, k) - positive.back(dp, k), du.sum() - dp.sum())
         if clean_risk < -settings.beta:
             gradient *= -settings.gamma
         else:
             d = prior * (up(gp) - 1) / len(gp)  # of l(g)
-            gradient += np.concatenate([xp.T @ d, [d.sum()]])
+            gradient += np.append(positive.back(d, k), d.sum())
         gradient[:k] += settings.decay * theta[:k]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= settings.rate * (m / (1 - 0.9 ** (t + 1))) / (np.sqrt(v / (1 - 0.999 ** (t + 1))) + 1e-8)
@@ -188,14 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
         return Model()
     column = np.full(1 << BITS, -1, np.int32)
     column[chosen_features] = np.arange(len(chosen_features))
-    matrices = []
+    rows_of = []
     for group in groups:
-        x = np.zeros((len(group), len(chosen_features)), np.float32)
-        for i, f in enumerate(group):
-            c = column[f]
-            x[i, c[c >= 0]] = 1
-        matrices.append(x)
-    weights, bias = fit(*matrices, prior, settings)
+        text, c = np.repeat(np.arange(len(group)), [len(f) for f in group]), column[np.concatenate(group)]
+        rows_of.append(Rows(len(group), text[c >= 0], c[c >= 0]))
+    weights, bias = fit(*rows_of, len(chosen_features), prior, settings)
     return Model(dict(zip(chosen_features.tolist(), weights.tolist(), strict=True)), bias)
 
 
