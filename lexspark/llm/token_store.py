@@ -3,8 +3,9 @@
 A file holds consecutive documents in ascending id order:
 
     magic "LXTOK1\\0" + id width in bytes (1) | n_docs u64 | n_tokens u64 | low bits of ends u8,
-    low bits of ids u8, 6 bytes 0 | smallest document id i64 | Elias-Fano of the ends |
-    Elias-Fano of the document ids | ids
+    low bits of ids u8, 6 bytes 0 | smallest document id i64 | range of the ids u64 | number of
+    documents without an id u64 (they come first) | Elias-Fano of the ends | Elias-Fano of the
+    other documents' ids, less the smallest | ids
 
 An Elias-Fano part stores n ascending values below u: the low l = floor(log2(u / n)) bits of each,
 packed, then a bit vector with bit (value >> l) + i set for the i-th value, padded to 8 bytes,
@@ -30,7 +31,6 @@ from .common import new_path, small_batches, text_slices
 from .tokens import ChunkEncoder
 
 MAGIC = b"LXTOK1\0"
-NULL_ID = -(2**63)
 BLOCK = 8  # 64-bit words that share one sum
 
 
@@ -104,14 +104,15 @@ class EliasFano:
         return (high << self.bits) | low
 
 
-def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width: int) -> bytes:
-    """A token file of these documents (ids ascending) and their concatenated token ids."""
+def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width: int, nulls: int = 0) -> bytes:
+    """A token file of documents (``nulls`` without an id, then ids ascending) and their concatenated token ids."""
     doc_ids = np.asarray(doc_ids, np.int64)
     n, least = len(doc_ids), int(doc_ids[0]) if len(doc_ids) else 0
     ends = EliasFano.encode(np.cumsum(lengths), len(ids) + 1)
-    keys = EliasFano.encode((doc_ids - least).astype(np.uint64), int(doc_ids[-1]) - least + 1 if n else 1)
-    head = MAGIC + bytes([width]) + np.array([n, len(ids)], "<u8").tobytes() + bytes([ends.bits, keys.bits]) + bytes(6)
-    head += np.array([least, keys.universe], "<i8").tobytes()
+    universe = int(doc_ids[-1]) - least + 1 if n else 1
+    keys = EliasFano.encode(doc_ids.view(np.uint64) - np.uint64(least & (2**64 - 1)), universe)
+    head = MAGIC + bytes([width]) + np.array([n + nulls, len(ids)], "<u8").tobytes() + bytes([ends.bits, keys.bits]) + bytes(6)
+    head += np.array([least], "<i8").tobytes() + np.array([universe, nulls], "<u8").tobytes()
     return head + ends.bytes() + keys.bytes() + ids.astype(f"<u{width}").tobytes()
 
 
@@ -123,12 +124,13 @@ class TokenFile:
             raise ValueError("not a token file")
         self.width = data[7]
         self.n, self.tokens = map(int, np.frombuffer(data, "<u8", 2, 8))
-        least, universe = map(int, np.frombuffer(data, "<i8", 2, 32))
-        at, view = 48, memoryview(data)
+        self.least = int(np.frombuffer(data, "<i8", 1, 32)[0])
+        universe, self.nulls = map(int, np.frombuffer(data, "<u8", 2, 40))
+        at, view, n = 56, memoryview(data), self.n - self.nulls
         self.ends = EliasFano.decode(self.n, self.tokens + 1, view[at:])
         at += sum(EliasFano.sizes(self.n, self.tokens + 1))
-        self.keys, self.least = EliasFano.decode(self.n, universe, view[at:]), least
-        at += sum(EliasFano.sizes(self.n, universe))
+        self.keys = EliasFano.decode(n, universe, view[at:])
+        at += sum(EliasFano.sizes(n, universe))
         self.all_ids = np.frombuffer(data, f"<u{self.width}", self.tokens, at)
 
     def bounds(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +138,13 @@ class TokenFile:
         start = np.where(index > 0, self.ends.select(np.maximum(index - 1, 0)), 0)
         return start, self.ends.select(index)
 
-    def doc_ids(self, index: np.ndarray) -> np.ndarray:
-        return self.keys.select(index) + self.least
+    def doc_ids(self, index: np.ndarray) -> np.ma.MaskedArray:
+        """Ids at these positions, masked where a document has none."""
+        index = np.asarray(index, np.int64)
+        out = np.ma.masked_all(len(index), np.int64)
+        own = index >= self.nulls
+        out[own] = self.keys.select(index[own] - self.nulls) + self.least
+        return out
 
     def ids(self, i: int) -> np.ndarray:
         (a,), (b,) = self.bounds(np.array([i]))
@@ -152,8 +159,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spac
     """Encode (doc_id, text) and write token files to ``folder``; returns the manifest.
 
     The manifest has a row per file: part int, path, n_docs, n_tokens long. Texts move
-    once, to range partitions of doc_id (nulls first, kept as the smallest long), each of which
-    becomes one file. A null text is empty, each document ends with ``end_id``; repeated doc_ids
+    once, to range partitions of doc_id (nulls first), each of which becomes one
+    file. A null text is empty, each document ends with ``end_id``; repeated doc_ids
     stay, ordered by text. Further columns are ignored; no rows give no files. A file is written under its attempt's name and then renamed, so a
     task that runs again replaces it whole. ``width`` is the bytes of an id (2 below 65,536).
     """
@@ -162,9 +169,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spac
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.shared(tokenizer, space)
-        keys, ids, lengths = [], [], []
+        keys, ids, lengths, nulls = [], [], [], 0
         for part in text_slices(batches, "text"):
-            keys.append(part.column("doc_id").fill_null(NULL_ID).to_numpy())
+            nulls += part.column("doc_id").null_count
+            keys.append(part.column("doc_id").drop_null().to_numpy())
             found, at = encoder.encode(part.column("text"))
             ids.append(np.insert(found, at[1:], end_id).astype(f"<u{width}"))
             lengths.append(np.diff(at) + 1)
@@ -175,7 +183,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spac
         where, base = _open(folder)
         where.create_dir(base, recursive=True)
         with where.open_output_stream(f"{base}/_{number}-{attempt}-{os.getpid()}") as out:
-            out.write(to_bytes(np.concatenate(keys), lengths, np.concatenate(ids), width))
+            out.write(to_bytes(np.concatenate(keys), lengths, np.concatenate(ids), width, nulls))
         where.move(f"{base}/_{number}-{attempt}-{os.getpid()}", f"{base}/tokens-{number:06d}.bin")
         yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [f"{folder}/tokens-{number:06d}.bin"], "n_docs": pa.array([len(lengths)], pa.int64()), "n_tokens": pa.array([int(lengths.sum())], pa.int64())})
 
@@ -207,7 +215,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     start, end = file.bounds(index)
                     crc = [zlib.crc32(file.all_ids[a:b].astype("<u4")) for a, b in zip(start, end, strict=True)]
                     keys = file.doc_ids(index)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=keys == NULL_ID), pa.array(start + base), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.filled(0), pa.int64(), mask=np.ma.getmaskarray(keys)), pa.array(start + base), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:

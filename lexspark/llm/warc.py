@@ -219,7 +219,7 @@ class WarcReader(DataSourceReader):
                 room = self.target
             out[-1].append(prefix + f.path)
             room -= f.size
-        return [Files(paths) for paths in out]
+        return [Files(paths) for paths in out or [[]]]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         kinds = [*[pa.string()] * len(HEADERS), pa.int64(), pa.int64(), pa.binary()]
