@@ -3,10 +3,12 @@ and views of Arrow string columns as NumPy bytes."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,25 @@ def keyed(docs: DataFrame, columns: list[str] | None = None, key: str = "row_key
     return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "rows")
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(name: object, make: Callable[[], object]):
+    """What a Python worker keeps from task to task of one kind.
+
+    Workers outlive a stage. The first task of another kind lets go of what the ones before have
+    kept, and gives the memory back, so a worker never holds the caches of two operators.
+    """
+    if name not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without copying; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, text_slices
+from .common import kept, small_batches, text_slices
 
 UNIT = 192
 BANDS = ((1, 5), (6, 63))
@@ -459,6 +459,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("jpeg", dict)
         for part in text_slices(batches, "text", 2 << 20):
             data = [payload(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array([n for _, n in data], pa.int64()), pa.array([encode(p) for p, _ in data], pa.binary())], [key, "n_bytes", "media"])
@@ -473,7 +474,7 @@ def load_images(media: DataFrame, column: str = "media") -> DataFrame:
     Null where the bytes are null or no image that can be read.
     """
     names = [f for f in media.schema.names if f not in ("width", "height", "rgb")]
-    kept = media.select(*names)
+    own = media.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, column, 2 << 20):
@@ -487,8 +488,8 @@ def load_images(media: DataFrame, column: str = "media") -> DataFrame:
             w, h, rgb = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(rgb, pa.binary())], [*names, "width", "height", "rgb"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "width int, height int, rgb binary"])
-    return kept.mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "width int, height int, rgb binary"])
+    return own.mapInArrow(run, schema)
 
 
 def digest(media: DataFrame, key: str = "doc_id") -> DataFrame:

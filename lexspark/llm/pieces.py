@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ragged, small_batches, string_bytes, text_slices
+from .common import kept, ragged, small_batches, string_bytes, text_slices
 from .tokens import ChunkTable, chunk_bounds
 
 MARK = "▁"
@@ -126,10 +126,9 @@ class Segmenter:
         self._clear()
 
     @classmethod
-    def shared(cls, model: str, n: int, kept: dict = {}) -> Segmenter:  # noqa: B006  one per worker process
-        if (model, n) not in kept:
-            kept[model, n] = cls(model, n)
-        return kept[model, n]
+    def shared(cls, model: str, n: int) -> Segmenter:
+        """A worker's own segmenter of this vocabulary."""
+        return kept(("segmenter", model, n), lambda: cls(model, n))
 
     def _clear(self) -> None:
         self.table.clear()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_slices
+from .common import kept, small_batches, text_slices
 
 #: Given names by gender and script, family names, titles by gender.
 GIVEN = {
@@ -261,11 +261,12 @@ def pseudonymize(docs: DataFrame, key: str, keep_entities: bool = False) -> Data
     """
     small_batches(docs.sparkSession)
     extra = ("spans", SPANS) if keep_entities else ("entities", "long")
-    kept = docs.drop("spans", "entities").withColumn("text", F.col("text").cast("string"))
-    names, secret = kept.schema.names, key.encode()
+    rows = docs.drop("spans", "entities").withColumn("text", F.col("text").cast("string"))
+    names, secret = rows.schema.names, key.encode()
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("pii", dict)
         for part in text_slices(batches, "text"):
             texts, spans = [], []
             for text in part.column("text").to_pylist():
@@ -275,8 +276,8 @@ def pseudonymize(docs: DataFrame, key: str, keep_entities: bool = False) -> Data
             last = pa.array([[dict(zip(("start", "end", "type", "entity", "surrogate"), s, strict=True)) for s in row] for row in spans], kind) if keep_entities else pa.array([len(s) for s in spans], pa.int64())
             yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if n == "text" else c for n, c in zip(names, part.columns, strict=True)), last], [*names, extra[0]])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), " ".join(extra)])
-    return kept.mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), " ".join(extra)])
+    return rows.mapInArrow(run, schema)
 
 
 def collisions(spans: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, string_bytes, text_slices
+from .common import kept, small_batches, string_bytes, text_slices
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -39,7 +39,8 @@ class Limits:
     repeat_words: float = 0.50
 
 
-def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006  kept between calls
+def _powers(base: int, n: int) -> np.ndarray:
+    known = kept("quality", dict)
     have = known.get(base, np.ones(1, np.uint64))
     while len(have) < n:
         step = np.uint64(pow(base, len(have), 1 << 64))

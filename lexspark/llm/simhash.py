@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, ragged, small_batches, text_slices
+from .common import kept, keyed, materialize, ragged, small_batches, text_slices
 from .components import connected_components
 
 SEGMENT = 255  # shingles whose bits add up in bytes
@@ -65,6 +65,7 @@ def fingerprint_table(docs: DataFrame, width: int = 3, key: str = "doc_id") -> D
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash", dict)
         for part in text_slices(batches, "text"):
             fp = fingerprints(part.column("text").to_pylist(), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(key), pa.array(fp)], [key, "fp"])

@@ -23,19 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, ragged, small_batches, string_bytes, text_slices
+from .common import kept, keyed, materialize, ragged, small_batches, string_bytes, text_slices
 
 LENGTH = 100
 GRAM = 30
 STEP = 5
 #: Bytes of segment texts in one transform, about; the segments of an anchor stay together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 MIX = np.random.default_rng(20260303).integers(1, 1 << 63, (2, 256), dtype=np.int64).view(np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def _powers(base: np.uint64, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006  kept between calls
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    known = kept("suffix", dict)
     have = known.get(base, np.ones(1, np.uint64))
     while len(have) < n:
         have = np.concatenate([have, have * np.uint64(pow(int(base), len(have), 1 << 64))])
@@ -316,6 +317,7 @@ def _expanded(rows: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))], ["row_key", "start", "strings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("suffix", dict)
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -375,17 +377,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             raw, off = string_bytes(part.column("text"))
-            kept, removed, spans = [], [], []
+            left, removed, spans = [], [], []
             for i, runs in enumerate(_union(part.column("runs"))):
                 text = raw[off[i] : off[i + 1]].tobytes()
                 at, pieces = 0, []
                 for a, b in runs:
                     pieces.append(text[at:a])
                     at = b
-                kept.append(b"".join([*pieces, text[at:]]))
+                left.append(b"".join([*pieces, text[at:]]))
                 removed.append(sum(b - a for a, b in runs))
                 spans.append(len(runs))
-            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), pa.array(kept, pa.binary()), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["row_key", "doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), pa.array(left, pa.binary()), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["row_key", "doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return rows.mapInArrow(run, "row_key long, doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 

@@ -14,7 +14,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .common import ragged, string_bytes
+from .common import kept, ragged, string_bytes
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -149,10 +149,9 @@ class ChunkEncoder:
         self._clear()
 
     @classmethod
-    def shared(cls, path: str, space: str, kept: dict = {}) -> ChunkEncoder:  # noqa: B006  one per worker process
-        if (path, space) not in kept:
-            kept[path, space] = cls(path, space)
-        return kept[path, space]
+    def shared(cls, path: str, space: str) -> ChunkEncoder:
+        """A worker's own encoder of this vocabulary."""
+        return kept(("encoder", path, space), lambda: cls(path, space))
 
     def _clear(self) -> None:
         self.table.clear()

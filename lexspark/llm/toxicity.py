@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, small_batches, string_bytes, text_slices
+from .common import kept, ragged, small_batches, string_bytes, text_slices
 from .tokens import ChunkTable
 
 BITS = 22
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     texts = rows.join(F.broadcast(chosen), "doc_id").select("kind", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = kept("words", Words)
         for part in text_slices(batches, "text"):
             text, feature = words.of(part.column("text"))
             ends = np.searchsorted(text, np.arange(part.num_rows + 1))
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, key: str = "doc_id") ->
     weight = np.array([*model.weights.values(), 0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(number)
+        words = kept(("words", tuple(number)), lambda: Words(number))
         for part in text_slices(batches, "text"):
             text, feature = words.of(part.column("text"))
             g = np.bincount(text, weight[feature], part.num_rows) + model.bias
@@ -234,7 +234,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     weight = np.array([*model.weights.values(), 0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(number)
+        words = kept(("words", tuple(number)), lambda: Words(number))
         for part in text_slices(batches, "text"):
             text, feature = words.of(part.column("text"))
             yield part.filter(pa.array(np.bincount(text, weight[feature], part.num_rows) + model.bias < 0))
