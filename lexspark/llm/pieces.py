@@ -5,9 +5,11 @@ Viterbi pass gives each place's best score from the start; a search from the end
 takes those scores as its heuristic. It is exact, so A* completes paths in order of their scores
 and stops at the n-th.
 
-No piece has white space after something else, so a text's lattice falls apart before each run of
-white space, and its n-best list combines those of the parts: in any of the n best, at most n - 1
-parts are not at their best, and they are among the n - 1 with the smallest losses.
+A text's lattice falls apart between any two characters that no piece has next to each other, and
+its n-best list combines those of the parts: in any of the n best, at most n - 1 parts are not at
+their best, and they are among the n - 1 with the smallest losses. A part's smallest loss is that
+of the best path over an edge off its best path, from the Viterbi scores of both directions; only
+parts with the smallest losses of a text are searched.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import kept, ragged, small_batches, string_bytes, text_slices
-from .tokens import ChunkTable, chunk_bounds
+from .tokens import ChunkTable
 
 MARK = "▁"
 
@@ -49,27 +51,63 @@ class Lattice:
                 self.score[name] = (sp.get_score(i), (i,))
                 self.pieces.append(name.replace(MARK, " ").encode())
         self.unknown = sp.unk_id()
-        self.begins = {name[:i] for name in self.score for i in range(1, len(name))}
-        self.longest = max(map(len, self.score))
+        #: Pieces with score and ids; what only begins a piece has neither.
+        self.found: dict[str, tuple] = {name[:i]: () for name in self.score for i in range(1, len(name))} | self.score
         self.penalty = min(s for s, _ in self.score.values()) - 10.0
-        if any(MARK in p.lstrip(MARK) for p in self.score):
-            raise ValueError("pieces with white space inside need the lattice of the whole text")
+        #: By two bytes of ASCII: no piece has them next to each other.
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        for name in self.score:
+            raw = name.replace(MARK, " ").encode()
+            self.apart[list(raw[:-1]), list(raw[1:])] = False
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """By end: (start, score, ids) of each edge."""
-        n, get, out = len(text), self.score.get, [[] for _ in range(len(text) + 1)]
+        n, get, out = len(text), self.found.get, [[] for _ in range(len(text) + 1)]
         for a in range(n):
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                part = text[a:b]
-                if found := get(part):
+            b = a + 1
+            found = get(text[a])
+            if not found:
+                ids = tuple(self.byte.get(x, self.unknown) for x in text[a].replace(MARK, " ").encode())
+                out[b].append((a, self.penalty * len(ids), ids))
+            while found is not None:
+                if found:
                     out[b].append((a, *found))
-                if part not in self.begins:
+                b += 1
+                if b > n:
                     break
-            if text[a] not in self.score:
-                ids = tuple(self.byte.get(x, self.unknown) for x in text[a].replace(MARK, " ").encode())
-                out[a + 1].append((a, self.penalty * len(ids), ids))
+                found = get(text[a:b])
         return out
 
+    def best(self, text: str) -> tuple[float, float, tuple[int, ...]]:
+        """Score of the best segmentation, loss of the next one (infinite if there is none), ids of the best."""
+        edges = self.edges(text)
+        ahead, back = [0.0], [None]
+        for found in edges[1:]:
+            edge = found[0]
+            score = ahead[edge[0]] + edge[1]
+            for e in found:
+                if (through := ahead[e[0]] + e[1]) > score:
+                    score, edge = through, e
+            ahead.append(score)
+            back.append(edge)
+        best, b = [], len(text)
+        while b:
+            best.append(back[b])
+            b = back[b][0]
+        ids = tuple(i for e in reversed(best) for i in e[2])
+        on = {id(e) for e in best}
+        behind, total, other = [-np.inf] * len(text) + [0.0], ahead[-1], -np.inf
+        for b in range(len(text), 0, -1):
+            rest = behind[b]
+            for e in edges[b]:
+                a, through = e[0], e[1] + rest
+                if through > behind[a]:
+                    behind[a] = through
+                if ahead[a] + through > other and id(e) not in on:
+                    other = ahead[a] + through
+        return total, total - other, ids
+
     def nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first; equal scores come in a fixed order."""
         if not text:
@@ -133,23 +171,29 @@ class Segmenter:
     def _clear(self) -> None:
         self.table.clear()
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.end = np.zeros(1 << 14, np.int64)  # of the r-th list of part i, at i * n + r + 1
-        self.scores = np.zeros((1 << 12, self.n))
+        self.end = np.zeros(1 << 14, np.int64)  # where part i's best ids end in the pool, at i + 1
+        self.score, self.loss = np.zeros(1 << 14), np.zeros(1 << 14)
+        self.lists: dict[int, list[tuple[float, np.ndarray]]] = {}
 
     def _learn(self, new: list[bytes], base: int) -> None:
-        n = self.n
-        lists = [self.lattice.nbest(x.decode().replace(" ", MARK), n) for x in new]
-        flat = [ids for found in lists for ids in [i for _, i in found] + [()] * (n - len(found))]
-        ends = np.cumsum([len(x) for x in flat]) + self.end[base * n]
-        while (base + len(new)) * n + 1 > len(self.end):
-            self.end = np.concatenate([self.end, np.zeros_like(self.end)])
+        found = [self.lattice.best(x.decode().replace(" ", MARK)) for x in new]
+        ends = np.cumsum([len(ids) for _, _, ids in found]) + self.end[base]
+        while base + len(new) + 1 > len(self.end):
+            self.end, self.score, self.loss = (np.concatenate([x, np.zeros_like(x)]) for x in (self.end, self.score, self.loss))
         while ends[-1] > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while base + len(new) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.end[base * n + 1 : (base + len(new)) * n + 1] = ends
-        self.pool[self.end[base * n] : ends[-1]] = np.fromiter((i for x in flat for i in x), np.uint32, int(ends[-1] - self.end[base * n]))
-        self.scores[base : base + len(new)] = [[s for s, _ in found] + [-np.inf] * (n - len(found)) for found in lists]
+        self.end[base + 1 : base + 1 + len(new)] = ends
+        self.pool[self.end[base] : ends[-1]] = np.fromiter((i for _, _, ids in found for i in ids), np.uint32, int(ends[-1] - self.end[base]))
+        self.score[base : base + len(new)] = [x for x, _, _ in found]
+        self.loss[base : base + len(new)] = [x for _, x, _ in found]
+
+    def _others(self, part: int, text: bytes) -> list[tuple[float, np.ndarray]]:
+        """(loss, ids) of a part's best segmentations besides the first, n - 1 at most."""
+        if part not in self.lists:
+            own = tuple(self.pool[self.end[part] : self.end[part + 1]].tolist())
+            found = [(float(self.score[part]) - s, np.array(ids, np.uint32)) for s, ids in self.lattice.nbest(text.decode().replace(" ", MARK), self.n) if ids != own]
+            self.lists[part] = found[: self.n - 1]
+        return self.lists[part]
 
     def encode(self, column: pa.Array) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text its n best (score, ids); a null or empty text has the empty one alone."""
@@ -157,31 +201,32 @@ class Segmenter:
             self._clear()
         n = self.n
         raw, off = string_bytes(pa.array([f" {t}" if t else "" for t in column.to_pylist()], pa.string()))
-        starts, ends = chunk_bounds(raw, off, True)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[off] = True
+        cut[1:-1] |= self.lattice.apart[raw[:-1], raw[1:]]
+        starts = np.flatnonzero(cut[:-1])
+        ends = np.append(starts[1:], len(raw))[: len(starts)]
         base = self.table.n
         which, new = self.table.numbers(raw, starts, ends)
         if new:
             self._learn(new, base)
-        first = self.end[which * n]
-        size = self.end[which * n + 1] - first
+        first = self.end[which]
+        size = self.end[which + 1] - first
         ids = self.pool[ragged(first, size)]
         place = np.concatenate([[0], np.cumsum(size)])
-        score = self.scores[which]
-        loss = score[:, :1] - score
+        score, loss = self.score[which], self.loss[which]
         bounds = np.searchsorted(starts, off)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            mine = ids[place[a] : place[b]]
-            out = [(float(score[a:b, 0].sum()), mine)]
+            out = [(float(score[a:b].sum()), ids[place[a] : place[b]])]
             if n > 1 and b > a:
-                near = a + np.argsort(loss[a:b, 1], kind="stable")[: n - 1]
-                choices = [[(float(x), r) for r, x in enumerate(loss[i].tolist()) if np.isfinite(x)] for i in near]
-                ranked = sorted((sum(x for x, _ in pick), tuple(r for _, r in pick)) for pick in itertools.product(*choices))[1:n]
+                near = a + np.argsort(loss[a:b], kind="stable")[: n - 1]
+                choices = [[(0.0, None), *self._others(int(which[i]), raw[starts[i] : ends[i]].tobytes())] for i in near.tolist()]
+                ranked = sorted((sum(c[r][0] for c, r in zip(choices, pick, strict=True)), pick) for pick in itertools.product(*(range(len(c)) for c in choices)))[1:n]
                 for less, pick in ranked:
                     parts, at = [], place[a]
-                    for i, r in sorted(zip(near.tolist(), pick, strict=True)):
-                        if r:
-                            parts += [ids[at : place[i]], self.pool[self.end[which[i] * n + r] : self.end[which[i] * n + r + 1]]]
-                            at = place[i + 1]
+                    for i, other in sorted((i, c[r][1]) for i, c, r in zip(near.tolist(), choices, pick, strict=True) if r):
+                        parts += [ids[at : place[i]], other]
+                        at = place[i + 1]
                     out.append((out[0][0] - less, np.concatenate([*parts, ids[at : place[b]]])))
             yield out
 
