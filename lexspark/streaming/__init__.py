@@ -1,0 +1 @@
+"""Empty on purpose: all sources are bounded, and the engine has no streaming operators."""
