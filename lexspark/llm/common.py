@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,16 +42,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    Spark deletes shuffle files once the driver has collected what refers to them; asking for
-    that here keeps a long job from holding the files of all its steps.
+    With ``free``, ask for the shuffle files of the write to go now: Spark deletes them once the
+    driver has collected what refers to them, the last of which are events still on their way.
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2 * free):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -345,11 +345,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     row_key, or before in the same row. Strings are judged on the input and never cross rows.
     """
     small_batches(docs.sparkSession)
-    found = materialize(_shared_anchors(_segment_rows(docs, length)), "segments")
+    found = materialize(_shared_anchors(_segment_rows(docs, length)), "segments", free=True)
     texts = docs.select("row_key", "text")
     marks = found.where("copies = 0").select("row_key", "start", "strings").union(_expanded(_with_texts(texts, found, length), length))
     runs = marks.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("strings") + F.lit(length - 1)).alias("end")))).alias("runs"))
-    return docs.join(materialize(runs, "runs"), "row_key", "left")
+    return docs.join(materialize(runs, "runs", free=True), "row_key", "left")
 
 
 def _union(lists: pa.ListArray) -> list[list[tuple[int, int]]]:
