@@ -201,7 +201,7 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", 2 << 20):
+        for part in text_slices(batches, "text", 1 << 20):
             raw, off = string_bytes(part.column("text"))
             anchor, content, start, n, sides = segments(raw, off, length)
             if not len(anchor):
