@@ -84,6 +84,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; unsigned, as bitwise_count counts those of a signed number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _spanning(group: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of one bucket's fingerprints, breadth first, a block at a time."""
     left, out = group, []
@@ -94,7 +99,7 @@ def _spanning(group: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarr
             parent = np.zeros(len(left), left.dtype)
             for a in range(0, len(front), 256):
                 for b in range(0, len(left), 65536):
-                    near = np.bitwise_count(front[a : a + 256, None] ^ left[None, b : b + 65536]) <= radius
+                    near = distance(front[a : a + 256, None], left[None, b : b + 65536]) <= radius
                     hit = near.any(0)
                     parent[b : b + 65536][hit] = front[a : a + 256][near[:, hit].argmax(0)]
                     reached[b : b + 65536] |= hit
@@ -117,7 +122,7 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, radius: int = 3, small: int
         a, b = at[:-d], at[d:]
         same = run[:-d] == run[d:]
         a, b = fps[a[same]], fps[b[same]]
-        near = np.bitwise_count(a ^ b) <= radius
+        near = distance(a, b) <= radius
         out.append((a[near], b[near]))
     for i in np.flatnonzero(size > small):
         out += _spanning(fps[starts[i] : starts[i] + size[i]], radius)

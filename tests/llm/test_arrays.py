@@ -107,6 +107,16 @@ def test_bucket_edges_connect(small):
                 assert find(a) == find(b)
 
 
+@pytest.mark.parametrize("small", [1, 64])
+def test_bucket_edges_with_the_top_bit(small):
+    for base in (0, 0x0123456789ABCDEF, 0xFEDCBA9876543210):
+        for flips in [1 << 63 | 1 << b for b in range(64)]:
+            pair = np.array([base, base ^ flips], np.uint64).view(np.int64)
+            assert len(simhash.bucket_edges(np.zeros(2, np.int64), pair, 3, small)[0]) == 1
+        pair = np.array([base, base ^ (0xF << 60)], np.uint64).view(np.int64)
+        assert not len(simhash.bucket_edges(np.zeros(2, np.int64), pair, 3, small)[0])
+
+
 def test_quality_counts():
     words = re.compile("[^\x20\x09-\x0d]+")
 
