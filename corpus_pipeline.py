@@ -17,8 +17,8 @@ from lexspark.llm.simhash import keep_one
 from lexspark.llm.suffix import remove_repeated_text
 from lexspark.llm.toxicity import drop_toxic, train
 
-#: Differing bits that near duplicates may have here: edits of a few words in a hundred move more than three.
-RADIUS = 5
+#: Near duplicates share this much of their shingles of WIDTH words; RADIUS is that of the SimHash candidates.
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 5
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
-    return keep_one(docs, radius=RADIUS)
+    return keep_one(docs, WIDTH, RADIUS, SIMILARITY)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

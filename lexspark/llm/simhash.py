@@ -5,11 +5,15 @@ makes a table, whose mask keeps the bits with an odd product. Up to ``radius`` d
 have vectors that some table's vector is orthogonal to, all of them, so its mask hides just these
 bits and the pair shares that table's key: no pair within the radius is lost (covering LSH
 without false negatives). A mask keeps about 34 bits.
+
+Texts with a Jaccard similarity of 0.8 differ in about ten bits of 64, out of reach of such masks.
+``similar_groups`` therefore also covers fingerprints of 16 four-bit minima (MinHash), which differ
+in about three at 0.8, and confirms what either finds by the exact similarity of the shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,9 @@ from .common import kept, keyed, materialize, ragged, small_batches, text_slices
 from .components import connected_components
 
 SEGMENT = 255  # shingles whose bits add up in bytes
+SKETCHES = 3  # fingerprints of minima
+NEAR_MINIMA = 7  # of 16, that may differ in a candidate
+_MIX = np.random.default_rng(42).integers(0, 2**64, (2, 16 * SKETCHES), np.uint64)
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -39,9 +46,12 @@ def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
 
 def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
     """A 64-bit fingerprint per text; one without words has fingerprint 0."""
-    hashes = [shingle_hashes(t, width) for t in texts]
+    return _fingerprints([shingle_hashes(t, width) for t in texts])
+
+
+def _fingerprints(hashes: list[list[int]]) -> np.ndarray:
     n = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
@@ -60,6 +70,24 @@ def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
     return out
 
 
+def shingle_sets(hashes: list[list[int]]) -> list[np.ndarray]:
+    """The different shingles of each text, ascending."""
+    return [np.unique(np.array(h, np.uint64)) for h in hashes]
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCHES fingerprints (columns) per set, each of four bits of its minima under 16 hashes."""
+    n = np.array([len(x) for x in sets], np.int64)
+    out = np.zeros((len(sets), SKETCHES), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        flat, starts = np.concatenate(sets), np.cumsum(n[full]) - n[full]
+        for i in range(16 * SKETCHES):
+            least = np.minimum.reduceat((flat ^ _MIX[0, i]) * (_MIX[1, i] | np.uint64(1)), starts)
+            out[full, i // 16] |= (least >> np.uint64(20) & np.uint64(15)) << np.uint64(4 * (i % 16))
+    return out
+
+
 def fingerprint_table(docs: DataFrame, width: int = 3, key: str = "doc_id") -> DataFrame:
     """(key, fp) for every row of docs; fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
@@ -80,6 +108,14 @@ def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
     return [sum(1 << i for i in range(bits) if ((i % tables + 1) & v).bit_count() & 1) for v in range(1, tables + 1)]
 
 
+def sketch_masks() -> list[int]:
+    """31 masks over 16 minima of four bits, of which up to four may differ; minimum i's vector is 16 + i.
+
+    The kept minima are the words of the first-order Reed-Muller code: eight of 16, or all.
+    """
+    return [sum(15 << 4 * i for i in range(16) if ((16 + i) & v).bit_count() & 1) for v in range(1, 32)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -89,8 +125,15 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def _spanning(group: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of one bucket's fingerprints, breadth first, a block at a time."""
+def minima_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing groups of four bits."""
+    x = (a ^ b).view(np.uint64)
+    x = x | x >> np.uint64(2)
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x1111111111111111))
+
+
+def _spanning(group: np.ndarray, fps: np.ndarray, radius: int, differ: Callable) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of one bucket's rows (indices to fps), breadth first, a block at a time."""
     left, out = group, []
     while len(left):
         front, left = left[:1], left[1:]
@@ -99,9 +142,9 @@ def _spanning(group: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarr
             parent = np.zeros(len(left), left.dtype)
             for a in range(0, len(front), 256):
                 for b in range(0, len(left), 65536):
-                    near = distance(front[a : a + 256, None], left[None, b : b + 65536]) <= radius
-                    hit = near.any(0)
-                    parent[b : b + 65536][hit] = front[a : a + 256][near[:, hit].argmax(0)]
+                    apart = differ(fps[front[a : a + 256], None], fps[None, left[b : b + 65536]])
+                    hit = (apart <= radius).any(0)
+                    parent[b : b + 65536][hit] = front[a : a + 256][apart[:, hit].argmin(0)]
                     reached[b : b + 65536] |= hit
             if reached.any():
                 out.append((left[reached], parent[reached]))
@@ -109,8 +152,12 @@ def _spanning(group: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def bucket_edges(keys: np.ndarray, fps: np.ndarray, radius: int = 3, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys: every pair of a small run, a spanning forest of a larger one."""
+def bucket_edges(keys: np.ndarray, fps: np.ndarray, radius: int = 3, small: int = 64, ids: np.ndarray | None = None, differ: Callable = distance) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys: every pair of a small run, a spanning forest of a larger one.
+
+    ``ids`` names the rows in the links, else their fingerprints do.
+    """
+    ids = fps if ids is None else ids
     new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
     size = np.diff(np.append(starts, len(keys)))
@@ -121,28 +168,38 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, radius: int = 3, small: int
     for d in range(1, int(size[few].max(initial=1))):
         a, b = at[:-d], at[d:]
         same = run[:-d] == run[d:]
-        a, b = fps[a[same]], fps[b[same]]
-        near = distance(a, b) <= radius
+        a, b = a[same], b[same]
+        near = differ(fps[a], fps[b]) <= radius
         out.append((a[near], b[near]))
     for i in np.flatnonzero(size > small):
-        out += _spanning(fps[starts[i] : starts[i] + size[i]], radius)
+        out += _spanning(np.arange(starts[i], starts[i] + size[i]), fps, radius, differ)
     if not out:
-        return fps[:0], fps[:0]
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        return ids[:0], ids[:0]
+    return ids[np.concatenate([x for x, _ in out])], ids[np.concatenate([x for _, x in out])]
 
 
-def link(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (u, v) that connect the fingerprints (fp) within the radius of each other."""
-    masks = covering_masks(radius)
-    rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("b"))
-    dealt = rows.select("b.t", "b.key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
+def link(distinct: DataFrame, radius: int = 3, vertex: str = "fp", minima: Sequence[str] = ()) -> DataFrame:
+    """Edges (u, v) of ``vertex`` that connect the fingerprints (fp) within the radius of each other.
+
+    Rows that share a mask's key of a column of ``minima`` and differ in NEAR_MINIMA at most are linked too.
+    """
+    masks = [("fp", m) for m in covering_masks(radius)]
+    bits = len(masks)
+    masks += [(c, m) for c in minima for m in sketch_masks()]
+    named = [] if vertex == "fp" else [vertex]
+    rows = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key"), F.col(c).alias("print")) for i, (c, m) in enumerate(masks)])).alias("b"), *named)
+    dealt = rows.select("b.t", "b.key", "b.print", *named).repartition("t", "key").sortWithinPartitions("t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def edges(rows: np.ndarray) -> pa.RecordBatch:
             run_of = np.cumsum(np.concatenate([[0], (np.diff(rows[0]) != 0) | (rows[1][1:] != rows[1][:-1])])) if rows.shape[1] else rows[0]
-            u, v = bucket_edges(run_of, rows[2], radius)
+            cut = int(np.searchsorted(rows[0], bits))
+            u, v = bucket_edges(run_of[:cut], rows[2][:cut], radius, ids=rows[-1][:cut])
+            if cut < rows.shape[1]:
+                more = bucket_edges(run_of[cut:], rows[2][cut:], NEAR_MINIMA, ids=rows[-1][cut:], differ=minima_distance)
+                u, v = np.concatenate([u, more[0]]), np.concatenate([v, more[1]])
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for batch in batches:
@@ -180,12 +237,73 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str =
     return prints.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+def set_table(docs: DataFrame, width: int, key: str) -> DataFrame:
+    """(key, set, fp, s0, s1 ..) of every row: a digest of its different shingles, SimHash and sketches."""
+    small_batches(docs.sparkSession)
+    names = [f"s{i}" for i in range(SKETCHES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash", dict)
+        for part in text_slices(batches, "text"):
+            hashes = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
+            sets = shingle_sets(hashes)
+            digest = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64)
+            columns = [digest, _fingerprints(hashes), *sketches(sets).T]
+            yield pa.RecordBatch.from_arrays([part.column(key), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], [key, "set", "fp", *names])
+
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"{key} long, set long, fp long, " + ", ".join(f"{c} long" for c in names))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts' shingles, in docs (set, text), have this Jaccard similarity or more."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            sets = shingle_sets([shingle_hashes(t, width) for t in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("set"), pa.array([x.tobytes() for x in sets], pa.binary())], ["set", "shingles"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            near = []
+            for a, b in zip(part.column("a"), part.column("b"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                less, more = min(len(x), len(y)), max(len(x), len(y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if less and less / more >= similarity else 0
+                near.append(both > 0 and both / (less + more - both) >= similarity)
+            yield part.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    sets = materialize(docs.select("set", "text").mapInArrow(shingles, "set long, shingles binary"), "shingles")
+    a, b = (sets.select(F.col("set").alias(k), F.col("shingles").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """(key, component_id) of every row of docs (unique key, text): groups that links of this similarity make.
+
+    Equal sets of shingles are linked, texts without words among them; other candidates are those
+    that ``link`` finds, each confirmed.
+    """
+    names = [f"s{i}" for i in range(SKETCHES)]
+    prints = materialize(set_table(docs, width, key), "fingerprints")
+    reps = materialize(prints.groupBy("set").agg(F.min(key).alias("rep"), *[F.min(c).alias(c) for c in ("fp", *names)]), "distinct")
+    found = link(reps, radius, "set", names).where("u <> v")
+    pairs = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates", free=True)
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct().join(reps, "set").select("set", F.col("rep").alias(key))
+    edges = materialize(similar(pairs, docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).join(asked, key), width, similarity), "similar")
+    parts = connected_components(edges).select(F.col("vertex").alias("set"), F.col("component").alias("root"))
+    marked = reps.join(parts, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "rep")
+    ids = marked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(materialize(marked.join(ids, "root").select("set", "component_id"), "groups"), "set").select(key, "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
 
-    Of rows with equal ids, ``common.keyed`` says which comes first. Other columns stay.
+    Of rows with equal ids, ``common.keyed`` says which comes first. Other columns stay. With
+    ``similarity``, near duplicates are those of ``similar_groups``, else of ``near_duplicates``.
     """
     rows = keyed(docs, key="_row_key")
-    groups = near_duplicates(rows, width, radius, key="_row_key")
+    groups = similar_groups(rows, width, radius, similarity, "_row_key") if similarity else near_duplicates(rows, width, radius, key="_row_key")
     gone = materialize(groups.where("_row_key <> component_id").select("_row_key"), "gone")
     return rows.join(gone, "_row_key", "left_anti").select(*docs.columns)
