@@ -13,6 +13,7 @@ map one to one. ``collisions`` counts, per type, surrogates that stand for more
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -44,7 +45,7 @@ PATTERNS: dict[str, str] = {
     "secret": r"""(?i:\b(?:api[_-]?key|token|secret|password|passwd)\b["']?\s*[=:]\s*)["']?(?P<secret>[A-Za-z0-9+/_\-]{8,})""",
     "key": r"\b(?P<key>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,})\b",
     "email": r"(?P<email>[^\s@<>()\[\]\",;:|]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)",
-    "ipv6": r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])",
+    "ipv6": r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{0,4}:){2,8}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=[^:]::)))(?!\w|:[\w:])",
     "ipv4": r"(?<![\w.])(?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w|\.\d)",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ssn": r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])",
@@ -154,6 +155,32 @@ def _ipv4(entity: str, key: bytes) -> str:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
+def is_ipv6(text: str) -> bool:
+    """A full, compressed or IPv4-tailed address that has any digits (``::`` alone says nothing)."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return text != "::"
+
+
+#: What stands before an embedded IPv4 address and only tells its kind.
+EMBEDDING = ("::", "::ffff:", "::ffff:0:", "64:ff9b::")
+
+
+def _ipv6(entity: str, key: bytes) -> str:
+    """Groups keep their lengths and places; an embedded IPv4 address gets its own surrogate."""
+    if "." not in entity:
+        return spell(entity, key, "ipv6", digits="", letters=HEX)
+    head, _, tail = entity.rpartition(":")
+    new = head = head + ":"
+    if head.lower() not in EMBEDDING:
+        new = spell(head, key, "ipv6", digits="", letters=HEX)
+        while new.lower() in EMBEDDING:
+            new = spell(new, key, "ipv6", digits="", letters=HEX)
+    return new + _ipv4(tail, key)
+
+
 def _email(entity: str, key: bytes) -> str:
     local, _, domain = entity.rpartition("@")
     labels = domain.split(".")
@@ -195,7 +222,7 @@ SURROGATES: dict[str, Callable[[str, bytes], str]] = {
     "secret": _secret,
     "key": _secret,
     "email": _email,
-    "ipv6": lambda e, k: spell(e, k, "ipv6", digits="", letters=HEX),
+    "ipv6": _ipv6,
     "ipv4": _ipv4,
     "iban": lambda e, k: e[:2] + spell(e[2:], k, "iban", letters=ALNUM),
     "ssn": lambda e, k: _numbers(e, k, "ssn"),
@@ -224,7 +251,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 if len(spans) == 2:
                     spans = [(spans[0][0], spans[1][1])]
             else:
-                spans = [m.span(kind)]
+                spans = [m.span(kind)] if kind != "ipv6" or is_ipv6(m[kind]) else []
             for a, b in spans:
                 if not any(a < y and x < b for x, y in taken):
                     taken.append((a, b))

@@ -338,6 +338,20 @@ def test_learning_without_negatives():
     assert weights[at[900]] + bias > 0 and weights[at[901]] + bias > 0 and bias < 0
 
 
+def test_ipv6_forms():
+    key = b"k"
+    for address in ("2001:db8::1", "::1", "fe80::", "::ffff:192.0.2.7", "64:ff9b::192.0.2.7", "2001:db8:1::192.0.2.7", "1::8", "2001:DB8:0:0:1:0:0:1", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7::"):
+        for text in (f"host {address} is", f"[{address}]:80", f"{address}/64", f"at {address}: it"):
+            new, spans = pii.replace(text, key)
+            assert [s[2:4] for s in spans] == [("ipv6", address)] and new == text.replace(address, spans[0][4])
+        assert spans[0][4] != address and pii.is_ipv6(spans[0][4]) and re.sub("[0-9A-Fa-f]", "0", spans[0][4].split(".")[0].rpartition(":")[0]) == re.sub("[0-9A-Fa-f]", "0", address.split(".")[0].rpartition(":")[0])
+    assert pii.surrogate("ipv6", "::ffff:192.0.2.7", key) == "::ffff:" + pii.surrogate("ipv4", "192.0.2.7", key)
+    entities = [f"2001:db8::{i:x}" for i in range(4096)]
+    assert len({pii.surrogate("ipv6", e, key) for e in entities}) == 4096
+    for text in ("at 12:30:45 x :: y std::add 00:1a:2b:3c:4d:5e", "1:2:3:4:5:6:7:8:9", "1::2::3"):
+        assert not [s for s in pii.replace(text, key)[1] if s[2] == "ipv6"]
+
+
 def test_warc_stream():
     class Source:
         def __init__(self, data):
