@@ -51,10 +51,10 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
 
 
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload of ``least`` bytes or more has a larger page_id too."""
+    """(page_id, digest, size, refers_to) of payloads of ``least`` bytes or more that a larger page_id has too."""
     rows = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b")).select("page_id", F.sha1("b").alias("digest"), F.octet_length("b").alias("size")).where(F.col("size") >= least)
     groups = rows.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(groups, ["digest", "size"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return rows.join(groups, ["digest", "size"]).where("page_id < refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, repeated: DataFrame, compress: bool = True) -> DataFrame:
@@ -62,10 +62,12 @@ def write_warc(pages: DataFrame, folder: str, repeated: DataFrame, compress: boo
 
     ``repeated`` (see ``revisits``) should be a table of known size: as long as it is small Spark
     sends it to all tasks, and pages don't move. A null html is an empty payload; a null page_id is
-    a response; rows of one page_id are written alike, each for itself; a null url has no target.
+    a response; rows of one page_id are written each for itself, as a revisit only if its own
+    payload is that of ``refers_to``; a null url has no target.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.join(repeated, "page_id", "left").select("page_id", "url", "payload", F.sha1("payload").alias("digest"), "refers_to")
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    rows = rows.join(repeated, ["page_id", "digest", "size"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, attempt, n, out = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, None

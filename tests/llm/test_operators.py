@@ -225,6 +225,16 @@ def test_warc(spark, sf, tmp_path):
     assert queries.op7_warc_source(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
 
 
+def test_warc_repeated_ids_keep_their_payloads(spark, tmp_path):
+    a, b = "a" * 1200, "b" * 1300
+    pages = spark.createDataFrame([(5, "u", a), (5, "u", b), (9, "u", a), (8, "u", b)], "page_id long, url string, html string")
+    warc.register(spark)
+    warc.write_warc(pages, f"{tmp_path}/w", warc.revisits(pages)).collect()
+    got = [(r["page_id"], r["payload_digest"], r["refers_to"]) for r in warc.page_digests(spark.read.format("warc").load(f"{tmp_path}/w")).collect()]
+    da, db = (hashlib.sha1(x.encode()).hexdigest() for x in (a, b))
+    assert sorted(got, key=str) == sorted([(5, da, 9), (5, db, 8), (9, da, None), (8, db, None)], key=str)
+
+
 def test_pipeline(spark, sf, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, now, seen = docs.columns, docs, [docs.count()]
