@@ -3,7 +3,8 @@
 The source (format "warc") plans partitions of whole files, takes over predicates on the record
 type and on header columns, and reads each record's headers first. A record that the predicates
 rule out is skipped: in plain files by a seek over its block, in compressed ones by dropping the
-rest of its member undecoded. Without the option ``payload`` no block is kept at all.
+rest of its member undecoded, where the member's gzip header states its lengths (extra field SL, as
+the writer does); members of other writers are inflated. Without the option ``payload`` no block is kept at all.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 import sys
 import zlib
 from collections.abc import Iterator
@@ -50,6 +52,19 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, refer
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member whose header has its compressed and plain lengths in an extra field, SL.
+
+    Lengths from 4 GiB don't fit the field and are left out.
+    """
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush() + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    size = 24 + len(body)
+    if max(size, len(data)) >> 32:
+        return b"\x1f\x8b\x08\x00\0\0\0\0\x00\xff" + body
+    return b"\x1f\x8b\x08\x04\0\0\0\0\x00\xff" + struct.pack("<HccHII", 12, b"S", b"L", 8, size, len(data)) + body
+
+
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, digest, size, refers_to) of payloads of ``least`` bytes or more that a larger page_id has too."""
     rows = pages.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b")).select("page_id", F.sha1("b").alias("digest"), F.octet_length("b").alias("size")).where(F.col("size") >= least)
@@ -81,8 +96,7 @@ def write_warc(pages: DataFrame, folder: str, repeated: DataFrame, compress: boo
                     out = where.open_output_stream(temporary, compression=None)
                 data = record(*row)
                 if compress:
-                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    data = packer.compress(data) + packer.flush()
+                    data = member(data)
                 out.write(data)
                 n += 1
         if out is not None:
@@ -104,12 +118,30 @@ class Files(InputPartition):
 class Stream:
     """Bytes of a file, plain or of gzip members, with a way past a record's rest.
 
-    A member that ends with its record may be dropped undecoded once its headers are read.
+    A member that states its lengths and ends with its record is dropped undecoded once the
+    record's headers are read.
     """
 
     def __init__(self, source: pa.NativeFile, packed: bool):
         self.source, self.packed = source, packed
         self.buffer, self.inflate, self.raw = b"", None, b""
+        self.at = 0  # bytes of a packed source that are read or passed
+        self.end, self.plain, self.decoded = None, 0, 0  # of a member: its end in the source, length, bytes inflated
+
+    def _fill(self) -> bool:
+        data = self.source.read(1 << 16)
+        self.raw += data
+        self.at += len(data)
+        return bool(data)
+
+    def _start(self) -> None:
+        """Begin a member; the lengths are known if the first extra field is SL."""
+        self.inflate, self.end, self.decoded = zlib.decompressobj(31), None, 0
+        while len(self.raw) < 24 and self._fill():
+            pass
+        if len(self.raw) >= 24 and self.raw[3] & 4 and self.raw[12:16] == b"SL\x08\0":
+            size, self.plain = struct.unpack("<II", self.raw[16:24])
+            self.end = self.at - len(self.raw) + size
 
     def _more(self) -> bool:
         if not self.packed:
@@ -117,18 +149,17 @@ class Stream:
             self.buffer += data
             return bool(data)
         while True:
-            if not self.raw:
-                self.raw = self.source.read(1 << 16)
-                if not self.raw:
-                    return False
+            if not self.raw and not self._fill():
+                return False
             if self.inflate is None:
-                self.inflate = zlib.decompressobj(31)
+                self._start()
             data = self.inflate.decompress(self.raw, 1 << 16)
             self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
             if self.inflate.eof:
                 self.inflate = None
             if data:
                 self.buffer += data
+                self.decoded += len(data)
                 return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -157,6 +188,9 @@ class Stream:
             self.source.seek(self.source.tell() + n - len(self.buffer))
             self.buffer = b""
             return
+        if self.inflate is not None and self.end is not None and n > len(self.buffer) and self.plain - self.decoded == n - len(self.buffer):
+            self._drop()
+            return
         while n > len(self.buffer):
             n -= len(self.buffer)
             self.buffer = b""
@@ -165,6 +199,19 @@ class Stream:
         self.buffer = self.buffer[n:]
 
 
+    def _drop(self) -> None:
+        """Go to the member's end without inflating."""
+        self.buffer, self.inflate = b"", None
+        if self.at < self.end and self.source.seekable():
+            self.source.seek(self.end)
+            self.at, self.raw = self.end, b""
+        while self.at < self.end:
+            self.raw = b""
+            if not self._fill():
+                raise ValueError("a record's block ends early")
+        self.raw = self.raw[len(self.raw) - (self.at - self.end) :]
+
+
 def records(stream: Stream, wanted: dict[str, set], payload: bool) -> Iterator[tuple]:
     """The records whose header columns have the wanted values, as COLUMNS."""
     while (head := stream.until(b"\r\n\r\n")) is not None:

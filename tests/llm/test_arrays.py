@@ -1,6 +1,8 @@
 """The operators' array code against brute force, without Spark."""
 
+import gzip
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -352,6 +354,34 @@ def test_ipv6_forms():
         assert not [s for s in pii.replace(text, key)[1] if s[2] == "ipv6"]
 
 
+@pytest.mark.parametrize("seekable", [True, False])
+def test_warc_skips_members_undecoded(seekable, monkeypatch):
+    noise = random.Random(3).randbytes(1 << 20)
+    parts = [warc.member(warc.record(i, "u", noise[: (i + 1) << 18] if i % 2 else b"", hashlib.sha1(b"").hexdigest(), None)) for i in range(4)]
+    inflated = 0
+
+    class Counted:
+        def __init__(self, bits):
+            self.inner = make(bits)
+
+        def decompress(self, *a):
+            nonlocal inflated
+            data = self.inner.decompress(*a)
+            inflated += len(data)
+            return data
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    make = zlib.decompressobj
+    assert gzip.decompress(b"".join(parts)).count(b"WARC/1.1") == 4
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    source = io.BytesIO(b"".join(parts))
+    source.seekable = lambda: seekable
+    wanted = {"record_id": {f"<{warc.RECORD}2>"}}
+    assert [r[1] for r in warc.records(warc.Stream(source, True), wanted, True)] == [f"<{warc.RECORD}2>"] and inflated < 4 * (1 << 16) + 4000
+
+
 def test_warc_stream():
     class Source:
         def __init__(self, data):
