@@ -7,7 +7,6 @@ import contextlib
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,19 +41,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    With ``free``, ask for the shuffle files of the write to go now: Spark deletes them once the
-    driver has collected what refers to them, the last of which are events still on their way.
+    The write's shuffle files go as soon as it ends (in releases that have the setting).
     """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    for _ in range(2 * free):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -288,7 +288,7 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = 3, similarity:
     prints = materialize(set_table(docs, width, key), "fingerprints")
     reps = materialize(prints.groupBy("set").agg(F.min(key).alias("rep"), *[F.min(c).alias(c) for c in ("fp", *names)]), "distinct")
     found = link(reps, radius, "set", names).where("u <> v")
-    pairs = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates", free=True)
+    pairs = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct().join(reps, "set").select("set", F.col("rep").alias(key))
     edges = materialize(similar(pairs, docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).join(asked, key), width, similarity), "similar")
     parts = connected_components(edges).select(F.col("vertex").alias("set"), F.col("component").alias("root"))

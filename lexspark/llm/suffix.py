@@ -2,16 +2,22 @@
 
 Every string of ``length`` bytes has an anchor: the smallest of its ``GRAM``-byte hashes. A run of
 neighbouring strings whose anchor is in one place is a segment, and equal strings lie in segments with equal
-anchors. So documents are cut into segments; those that share neither anchor nor what is around it
-with another hold no repeat, and the texts of the others meet by anchor. Equal segments are counted before they are sent: only
-the earliest occurrence of each keeps a text, with a weight for the rest.
+anchors. So documents are cut into segments, which meet by anchor. Of equal segments all but the earliest
+are repeats as they stand. Of different ones only those that share what is before or after their anchor
+can have a string in common, and only these get their texts.
 
 Of the texts that meet, a task builds suffix ranks and the transform's LF mapping and expands
 intervals breadth-first: an interval holds the suffixes that begin with one string, a backward
 step of ``STEP`` bytes maps it to the intervals of the strings that are longer by the bytes before.
 Common prefixes are so found by increasing length, and expansion stops at the minimum length.
-Intervals of weight one end early. What is left are the repeated strings; in each, all
+Intervals of one suffix end early. What is left are the repeated strings; in each, all
 occurrences but the earliest are removed.
+
+The segments of a very frequent anchor (a line that a third of all texts hold) don't meet in one task. A
+sample of the rows tells such anchors, HEAVY of them at most; the sample decides on routes only, never on
+results. Their segments are dealt by content first, then to blocks of bounded size. What a block doesn't
+remove are its strings' earliest occurrences, and those of all blocks are settled by an aggregation over the
+strings' hashes, of which each block brings one.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +34,14 @@ from .common import kept, keyed, materialize, ragged, small_batches, string_byte
 
 LENGTH = 100
 GRAM = 30
-STEP = 5
-#: Bytes of segment texts in one transform, about; the segments of an anchor stay together.
-INDEX_BYTES = 1 << 19
-MIX = np.random.default_rng(20260303).integers(1, 1 << 63, (2, 256), dtype=np.int64).view(np.uint64)
+STEP = 10
+#: Bytes of segment texts in one transform, about; the segments of an anchor, or of a block of it, stay together.
+INDEX_BYTES = 1 << 18
+#: One row in SAMPLE is looked at for anchors with FREQUENT different segments or more in that sample.
+SAMPLE, FREQUENT, HEAVY = 64, 8, 10_000
+#: Segments of a frequent anchor in a block, about.
+BLOCK = 1024
+MIX = np.random.default_rng(20260303).integers(1, 1 << 63, 256, dtype=np.int64).view(np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -45,7 +56,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(32)
+    h = h ^ (h >> np.uint64(32))
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -53,11 +64,11 @@ def _finish(h: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """Rolling hashes of byte spans, by prefix sums."""
+    """Rolling hashes of byte spans, by prefix sums. Two spans that hash alike by chance only meet for nothing."""
 
-    def __init__(self, raw: np.ndarray, kind: int):
+    def __init__(self, raw: np.ndarray):
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(MIX[kind][raw] * _powers(BASE, len(raw)), out=self.sums[1:])
+        np.cumsum(MIX[raw] * _powers(BASE, len(raw)), out=self.sums[1:])
         self.back = _powers(INVERSE, len(raw) + 1)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,10 +81,11 @@ class Spans:
 def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchor hash, content hash, start in ``raw``, number of strings and sides of each segment of the texts.
 
-    A segment of n strings is the bytes from its start to start + n + length - 1. Its sides are two
-    16-bit hashes, of the anchor with half the other bytes of a string before it, and after it (0: the
-    text ends there). A string has one of the two whole, so segments with a string in common
-    have a side in common.
+    A segment of n strings is the bytes from its start to start + n + length - 1; its content hash is XXH3 of
+    these. Its sides are two 16-bit hashes, of the anchor with half the other bytes of a string before
+    it, and after it (0: the text ends there). A string has one of the two whole, so segments with a
+    string in common have a side in common. Segments count as equal if both hashes, the sides and
+    the lengths agree, 160 bits of two unlike families of hashes.
     """
     none = (*(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)
     many = np.maximum(np.diff(off) - length + 1, 0)
@@ -81,7 +93,8 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
         return none
     # Smallest by the hash's upper half, then leftmost: equal strings have their anchors in the same
     # place, and a segment has one, so it can't hold a string twice.
-    hashes = Spans(raw, 0).every(gram)
+    spans = Spans(raw)
+    hashes = spans.every(gram)
     least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     span, width = 1, length - gram + 1
     while span < width:  # least[i]: of the grams from i to i + span - 1
@@ -95,85 +108,121 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
     start, place = at[first], place[first]
-    content = Spans(raw, 1)
     doc = np.searchsorted(off, start, side="right") - 1
     half = -(-(length - gram) // 2)
     a, b = np.maximum(place - half, 0), np.minimum(place + gram + half, len(raw))
-    before = np.where(place - half >= off[doc], content.of(a, place + gram) % np.uint64(65535) + np.uint64(1), 0)
-    after = np.where(place + gram + half <= off[doc + 1], content.of(place, b) % np.uint64(65535) + np.uint64(1), 0)
+    before = np.where(place - half >= off[doc], spans.of(a, place + gram) % np.uint64(65535) + np.uint64(1), 0)
+    after = np.where(place + gram + half <= off[doc + 1], spans.of(place, b) % np.uint64(65535) + np.uint64(1), 0)
     sides = (before.astype(np.int64) << 16) | after.astype(np.int64)
-    return hashes[place], content.of(start, start + n + length - 1), start, n, sides
+    text, hashed = raw.tobytes(), xxhash.xxh3_64_intdigest
+    content = np.fromiter((hashed(text[i:j], 42) for i, j in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)), np.uint64, len(start))
+    return hashes[place], content, start, n, sides
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the keys, equal for equal ones, and the order that sorts them."""
+    order = np.argsort(key)
+    run = key[order]
+    number = np.zeros(len(run), np.int32)
+    np.cumsum(run[1:] != run[:-1], out=number[1:], dtype=np.int32)
+    rank = np.empty(len(run), np.int32)
+    rank[order] = number
+    return rank, order
+
+
+def _from(values: np.ndarray, shift: int) -> np.ndarray:
+    """values[i + shift], and 0 beyond the end."""
+    out = np.zeros_like(values)
+    if shift < len(values):
+        out[: len(values) - shift] = values[shift:]
+    return out
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each suffix by its first ``depth`` symbols at least (equal ranks where these are equal)."""
-    n = len(text)
-    rank = text.astype(np.int64)
-    span = 1
-    for _ in range(3):  # symbols are below 2 ** 9: four of them, then eight, by their own order
-        if span < 4:
-            rank = rank << (9 * span)
-            rank[: n - span] |= rank[span:] >> (9 * span)
-            span *= 2
-    rank = np.unique(rank, return_inverse=True)[1]
-    while span < depth:
-        far = np.zeros(n, np.int64)
-        far[: n - span] = rank[span:] + 1
-        rank = np.unique(rank * (n + 2) + far, return_inverse=True)[1]
-        span *= 2
-    return rank
-
-
-def repeated(text: np.ndarray, weight: np.ndarray, length: int = LENGTH, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+def heads(text: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Each suffix's first symbols as one number, how many these are, and the bits of one: as many as fit 63 bits.
+
+    Symbols are numbered densely from 1, in their order; 0 stands beyond the end.
+    """
+    used = np.flatnonzero(np.bincount(text))
+    code = np.zeros(int(used[-1]) + 1, np.int64)
+    code[used] = np.arange(1, len(used) + 1)
+    bits = len(used).bit_length()
+    head, width, most = code[text], 1, 63 // bits
+    while width < most:
+        more = min(width, most - width)
+        head = (head << (bits * more)) | (_from(head, width) >> (bits * (width - more)))
+        width += more
+    return head, width, bits
+
+
+def suffix_ranks(head: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each suffix by its first ``depth`` symbols at least, suffixes in that order).
+
+    Ranks by more symbols, up to twice as many, follow from those at two places.
+    """
+    rank, order = _ranked(head)
+    while width < depth:
+        more = min(width, depth - width)
+        rank, order = _ranked(rank.astype(np.int64) * (len(head) + 2) + _from(rank + 1, more))
+        width += more
+    return rank, order
+
+
+def repeated(text: np.ndarray, length: int = LENGTH, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Positions of strings of ``length`` symbols that repeat, and the interval that each is in.
 
-    Symbol 0 ends a segment and is in no string. ``weight`` says how many occurrences a position
-    stands for; intervals whose weights add up to one are left out. ``step`` divides ``length``.
+    Symbol 0 ends a segment and is in no string. ``step`` divides ``length``.
     """
     n = len(text)
-    rank = suffix_ranks(text, length)
-    sa = np.argsort(rank, kind="stable")
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
+    head, width, bits = heads(text)
+    _, sa = suffix_ranks(head, width, length)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
     # The transform: what stands before each sorted suffix; a step is ``step`` symbols at once.
-    lf = place[sa - step]  # of suffixes closer to the start than a step: not used
-    ended = np.cumsum(text == 0)
-    whole = np.zeros(n, bool)
-    whole[: n - step] = ended[step - 1 : n - 1] == ended[: n - step] - (text[: n - step] == 0)
-    whole[text == 0] = False
-    can = (sa >= step) & whole[sa - step]
-    blocks = np.zeros(n, np.int64)  # the first ``step`` symbols of each sorted suffix, as one number
-    for i in range(step):
-        part = np.zeros(n, np.int64)
-        part[: n - i] = text[i:]
-        blocks = blocks * 257 + part
-    blocks = blocks[sa]
-    heavy = weight[sa]
-    rows, interval = np.arange(n), np.zeros(n, np.int64)  # the empty string's interval: all suffixes
-    depth, image = 0, np.full(n, -1, np.int64)
+    lf = np.zeros(n, np.int32)
+    lf[step:] = place[: max(n - step, 0)]
+    ended = np.concatenate([[0], np.cumsum(text == 0, dtype=np.int32)])
+    can = np.zeros(n, bool)
+    can[step:] = ended[step:n] == ended[: n - step]
+    lf, can = lf[sa], can[sa]
+    # The first ``step`` symbols of a sorted suffix: its head, and heads further on.
+    if width < step:
+        blocks = [_from(head, at)[sa] for at in [*range(0, step - width, width), step - width]]
+    else:
+        blocks = [head[sa] >> (bits * (width - step))]
+    rows = np.flatnonzero(can)
+    interval = np.zeros(len(rows), np.int32)  # the empty string's interval: all suffixes
+    depth, image = 0, np.full(n, -1, np.int32)
     while depth < length and len(rows):
-        keep = can[rows]
-        image[lf[rows[keep]]] = interval[keep]
-        target = np.flatnonzero(image >= 0) if 4 * len(rows) > n else np.sort(lf[rows[keep]])
+        there = lf[rows]
+        image[there] = interval
+        target = np.flatnonzero(image >= 0) if 4 * len(rows) > n else np.sort(there)
         before = image[target]
         image[target] = -1
         new = np.ones(len(target), bool)
-        new[1:] = (before[1:] != before[:-1]) | (blocks[target[1:]] != blocks[target[:-1]])
-        number = np.cumsum(new) - 1
-        total = np.bincount(number, heavy[target])
-        alive = total[number] > 1
-        rows, interval = target[alive], number[alive]
+        new[1:] = before[1:] != before[:-1]
+        for block in blocks:
+            own = block[target]
+            new[1:] |= own[1:] != own[:-1]
+        size = np.diff(np.append(np.flatnonzero(new), len(target)))
+        alive = size > 1
+        rows = target[np.repeat(alive, size)]
+        interval = np.repeat(np.arange(int(alive.sum()), dtype=np.int32), size[alive])
         depth += step
+        if depth < length:
+            on = can[rows]
+            rows, interval = rows[on], interval[on]
     return sa[rows], interval
 
 
-def keep_marks(texts: list[bytes], strings: np.ndarray, row_key: np.ndarray, start: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment's earliest occurrence, which of its strings also start earlier elsewhere."""
+def keep_marks(texts: list[bytes], strings: np.ndarray, row_key: np.ndarray, start: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each different segment, which of its strings also start earlier in another."""
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     first = np.cumsum(size) - size
     text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
     text[first + size - 1] = 0
-    position, interval = repeated(text, np.repeat(copies, size), length)
+    step = next(s for s in range(min(STEP, length), 0, -1) if length % s == 0)
+    position, interval = repeated(text, length, step)
     removed = np.zeros(len(text), bool)
     if len(position):
         owner = np.searchsorted(first, position, side="right") - 1
@@ -189,16 +238,39 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-SEGMENTS = "anchor long, content long, row_key long, place long, sides long, copies int"
-FOUND = "anchor long, row_key long, start int, strings int, copies int"
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in schema.split(", ")])
+
+
+SEGMENTS = "anchor long, content long, row_key long, place long, info long"
+FOUND = "anchor long, row_key long, start int, strings int, kind byte"
+#: Kinds of found segments: repeats as a whole, those that meet others, those of frequent anchors.
+KNOWN, MEETS, SPLIT = 0, 1, 2
+LOW = (1 << 32) - 1
+
+
+def frequent_anchors(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE, least: int = FREQUENT) -> dict[int, int]:
+    """Anchors with many different segments in a sample of the rows, with the number of their blocks; HEAVY at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", 1 << 20):
+            anchor, content, *_ = segments(*string_bytes(part.column("text")), length)
+            yield _batch([anchor.view(np.int64), content.view(np.int64)], "anchor long, content long")
+
+    rows = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(sample)) == 0).select("text").mapInArrow(run, "anchor long, content long")
+    many = rows.distinct().groupBy("anchor").count().where(F.col("count") >= least)
+    return {r["anchor"]: -(-r["count"] * sample // BLOCK) for r in many.orderBy(F.desc("count"), "anchor").limit(HEAVY).collect()}
 
 
-def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """The segments of all texts, equal ones of a slice counted together; place is start * 256 + strings.
+def _segment_rows(docs: DataFrame, length: int, frequent: dict[int, int]) -> DataFrame:
+    """The segments of all texts, equal ones of a slice counted together; place is start << 32 | strings.
 
-    The earliest of these goes to its anchor (copies > 0). The others are repeats in any case and
-    get a random number for an anchor (copies 0), so that a frequent anchor gets a row from each slice.
+    Info is the number of equal ones << 32 | sides. The earliest of these goes to its anchor, or to an
+    anchor of its own content if the anchor is frequent (info < 0 then). The others are repeats in any
+    case: those that follow each other make one row (info 0), with a random number for an anchor, so that
+    a frequent segment gets a row from each slice.
     """
+    heavy = np.array(sorted(frequent), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 1 << 20):
@@ -209,81 +281,97 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
             doc = np.searchsorted(off, start, side="right") - 1
             key, start = part.column("row_key").to_numpy()[doc], start - off[doc]
             order = np.lexsort((start, key, content, anchor))
-            a, c, k = anchor[order], content[order], key[order]
+            a, c, s = anchor[order], content[order], sides[order] << 32 | n[order]
             lead = np.ones(len(order), bool)
-            lead[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            copies = np.zeros(len(order), np.int32)
-            copies[lead] = np.diff(np.append(np.flatnonzero(lead), len(order)))
-            route = np.where(lead, a, _finish(k.astype(np.uint64) * BASE + start[order].astype(np.uint64)))
-            content = np.where(lead, c, np.uint64(0))
-            columns = [route.view(np.int64), content.view(np.int64), k, start[order] << 8 | n[order], np.where(lead, sides[order], 0), copies]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [f.split()[0] for f in SEGMENTS.split(", ")])
+            lead[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+            copies = np.diff(np.append(np.flatnonzero(lead), len(order)))
+            ones = order[lead]
+            route, info = anchor[ones], copies << 32 | sides[ones]
+            if len(heavy):
+                split = np.isin(route.view(np.int64), heavy)
+                route = np.where(split, route ^ _finish(content[ones]), route)
+                info = np.where(split, -1 - info, info)
+            again = np.sort(order[~lead])  # by text and place
+            joined = np.zeros(len(again), bool)
+            joined[1:] = (key[again[1:]] == key[again[:-1]]) & (start[again[1:]] == start[again[:-1]] + n[again[:-1]]) & (again[1:] == again[:-1] + 1)
+            head = np.flatnonzero(~joined)
+            total = np.add.reduceat(n[again], head) if len(head) else head
+            again = again[head]
+            k, at = key[again], start[again]
+            yield _batch(
+                [np.concatenate([route, _finish(k.astype(np.uint64) * BASE + at.astype(np.uint64))]).view(np.int64), np.concatenate([content[ones], np.zeros(len(k), np.uint64)]).view(np.int64),
+                 np.concatenate([key[ones], k]), np.concatenate([start[ones] << 32 | n[ones], at << 32 | total]), np.concatenate([info, np.zeros(len(k), np.int64)])], SEGMENTS)
 
     return docs.select("row_key", "text").mapInArrow(run, SEGMENTS)
 
 
-def settle(x: dict[str, np.ndarray]) -> np.ndarray:
-    """Which segments of whole anchors (sorted by anchor, content, row_key, place) matter; sets their copies.
+class Settling:
+    """Segments as they come by anchor, content, row_key and place: which are repeats, which matter further.
 
-    Of equal segments the first keeps the number of all as copies, the others become repeats. It
-    matters further if it has copies or shares a side with another segment of its anchor.
+    Of equal segments the first stays and the others are repeats. One that stays matters further if it
+    shares a side with another of its anchor, or if the anchor is frequent. Only the different segments of one anchor are held.
     """
-    away = x["copies"] == 0
-    turn = np.ones(len(away), bool)
-    turn[1:] = (x["anchor"][1:] != x["anchor"][:-1]) | away[1:] | away[:-1]
-    new = turn.copy()
-    new[1:] |= x["content"][1:] != x["content"][:-1]
-    copies = np.bincount(np.cumsum(new) - 1, x["copies"]).astype(np.int32)
-    x["copies"] = x["copies"].copy()
-    x["copies"][~new] = 0
-    x["copies"][new] = copies
-    x["copies"][away] = 0
-    one = np.flatnonzero(new & ~away)
-    group = (np.cumsum(turn) - 1)[one]
-    meets = x["copies"][one] > 1
-    for side in (x["sides"][one] >> 16, x["sides"][one] & 0xFFFF):
-        _, at, n = np.unique(group << 16 | side, return_inverse=True, return_counts=True)
-        meets |= (n[at] > 1) & (side > 0)
-    matters = np.ones(len(away), bool)
-    matters[one] = meets
-    return matters
-
-
-def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """Repeats (copies 0), and the different segments that may have a string in common with others (see ``settle``)."""
-    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "content", "row_key", "place")
-    names = [f.split()[0] for f in SEGMENTS.split(", ")]
 
-    def settled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        x = {c: table.column(c).to_numpy() for c in names}
-        keep = settle(x)
-        place = x["place"][keep]
-        columns = [x["anchor"][keep], x["row_key"][keep], (place >> 8).astype(np.int32), (place & 255).astype(np.int32), x["copies"][keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in FOUND.split(", ")])
+    def __init__(self, frequent: dict[int, int]):
+        self.heavy = np.array(sorted(frequent), np.int64)
+        self.parts = np.array([frequent[int(a)] for a in self.heavy], np.int64)
+        self.open = {c: np.zeros(0, np.int64) for c in ("anchor", "content", "row_key", "place", "info")}
+
+    def put(self, batch: pa.RecordBatch | None) -> pa.RecordBatch:
+        x = self.open if batch is None else {c: np.concatenate([v, batch.column(c).to_numpy()]) for c, v in self.open.items()}
+        n = len(x["anchor"])
+        whole = x["info"] == 0
+        sides = np.where(x["info"] < 0, -1 - x["info"], x["info"]) & LOW
+        new = np.ones(n, bool)
+        if n:
+            new[1:] = (x["anchor"][1:] != x["anchor"][:-1]) | (x["content"][1:] != x["content"][:-1]) | (sides[1:] != sides[:-1]) | ((x["place"][1:] ^ x["place"][:-1]) & LOW != 0)
+            new |= whole
+            new[1:] |= whole[:-1]
+        known = ~new | whole
+        turn = np.ones(n, bool)
+        turn[1:] = x["anchor"][1:] != x["anchor"][:-1]
+        stay = np.flatnonzero(~known)
+        done = len(stay) if batch is None else int(np.searchsorted(x["anchor"][stay] == x["anchor"][-1], True)) if n else 0
+        self.open = {c: v[stay[done:]] for c, v in x.items()}
+        one, group = stay[:done], np.cumsum(turn)[stay[:done]]
+        split = x["info"][one] < 0
+        meets = split.copy()
+        for side in (sides[one] >> 16, sides[one] & 0xFFFF):
+            _, at, many = np.unique(group << 16 | side, return_inverse=True, return_counts=True)
+            meets |= (many[at] > 1) & (side > 0)
+        anchor = x["anchor"].copy()
+        if split.any():  # back to the anchor itself, then to one of its blocks
+            i = one[split]
+            own = anchor[i].view(np.uint64) ^ _finish(x["content"][i].view(np.uint64))
+            number = np.minimum(np.searchsorted(self.heavy, own.view(np.int64)), len(self.heavy) - 1)
+            dealt = _finish(x["row_key"][i].view(np.uint64) * BASE + x["place"][i].view(np.uint64)) % self.parts[number].astype(np.uint64)
+            anchor[i] = _finish(own + (dealt + np.uint64(1)) * BASE).view(np.int64)
+        kind = np.full(n, KNOWN, np.int8)
+        kind[one] = np.where(split, SPLIT, MEETS)
+        out = np.concatenate([np.flatnonzero(known), one[meets]])
+        return _batch([anchor[out], x["row_key"][out], (x["place"][out] >> 32).astype(np.int32), (x["place"][out] & LOW).astype(np.int32), kind[out]], FOUND)
+
+
+def _shared_anchors(rows: DataFrame, frequent: dict[int, int]) -> DataFrame:
+    """Repeats, and the different segments that may have a string in common with others (see ``Settling``)."""
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "content", "row_key", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        settling = Settling(frequent)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            anchor = batch.column("anchor").to_numpy()
-            if anchor[-1] == held[0].column("anchor")[0].as_py():
-                continue  # one anchor so far
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            rest, held[-1] = batch.slice(cut), batch.slice(0, cut)
-            yield settled(held)
-            held = [rest]
-        if held:
-            yield settled(held)
+            if batch.num_rows:
+                yield settling.put(batch)
+        yield settling.put(None)
 
     return dealt.mapInArrow(run, FOUND)
 
 
+WITH_BYTES = "anchor long, row_key long, start int, strings int, kind byte, bytes binary"
+
+
 def _with_texts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """The different segments with their bytes."""
-    wanted = found.where("copies > 0").groupBy("row_key").agg(F.collect_list(F.struct("start", "strings", "copies", "anchor")).alias("segments"))
+    wanted = found.where(F.col("kind") != KNOWN).groupBy("row_key").agg(F.collect_list(F.struct("start", "strings", "kind", "anchor")).alias("segments"))
     joined = texts.join(wanted, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,28 +381,42 @@ def _with_texts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
             inner = lists.flatten()
             counts = np.diff(lists.offsets.to_numpy())
             doc = np.repeat(np.arange(part.num_rows), counts)
-            start, n, copies, anchor = (inner.field(i).to_numpy() for i in range(4))
-            a = off[doc] + start
-            bytes_ = [raw[i:j].tobytes() for i, j in zip(a.tolist(), (a + n + length - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part.column("row_key").to_numpy()[doc]), pa.array(start), pa.array(n), pa.array(copies), pa.array(bytes_, pa.binary())], ["anchor", "row_key", "start", "strings", "copies", "bytes"])
+            start, n, kind, anchor = (inner.field(i).to_numpy() for i in range(4))
+            a, text = off[doc] + start, raw.tobytes()
+            bytes_ = [text[i:j] for i, j in zip(a.tolist(), (a + n + length - 1).tolist(), strict=True)]
+            yield _batch([anchor, part.column("row_key").to_numpy()[doc], start, n, kind, pa.array(bytes_, pa.binary())], WITH_BYTES)
 
-    return joined.select("row_key", "text", "segments").mapInArrow(run, "anchor long, row_key long, start int, strings int, copies int, bytes binary")
+    return joined.select("row_key", "text", "segments").mapInArrow(run, WITH_BYTES)
+
+
+MARKS = "row_key long, start int, strings int, high long, low long"
 
 
 def _expanded(rows: DataFrame, length: int) -> DataFrame:
-    """Repeats among the different segments of each anchor: (row_key, start, strings)."""
+    """Repeats among the different segments of each anchor or block: (row_key, start, strings, null, null).
+
+    For each string that a frequent anchor's block keeps, also its place (strings 1) with its 128-bit hash.
+    """
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
 
     def index(batch: pa.Table) -> pa.RecordBatch:
-        key, start, n, copies = (batch.column(c).to_numpy() for c in ("row_key", "start", "strings", "copies"))
-        marks = keep_marks(batch.column("bytes").to_pylist(), n, key, start, copies.astype(np.float64), length)
+        key, start, n, kind = (batch.column(c).to_numpy() for c in ("row_key", "start", "strings", "kind"))
+        texts = batch.column("bytes").to_pylist()
+        marks = keep_marks(texts, n, key, start, length)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        one: list[tuple[int, int, int]] = []
         for i, flags in enumerate(marks):
             if flags.any():
                 a, b = _runs(flags)
                 out.append((np.full(len(a), key[i]), start[i] + a, b - a))
+            if kind[i] == SPLIT:
+                one += [(int(key[i]), int(start[i]) + j, xxhash.xxh3_128_intdigest(texts[i][j : j + length], 42)) for j in np.flatnonzero(~flags).tolist()]
         k, s, m = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))], ["row_key", "start", "strings"])
+        high, low = (np.array([x[2] >> shift & (1 << 64) - 1 for x in one], np.uint64).view(np.int64) for shift in (64, 0))
+        none = pa.nulls(len(k), pa.int64())
+        return _batch(
+            [np.concatenate([k, np.array([x[0] for x in one], np.int64)]), np.concatenate([s, np.array([x[1] for x in one], np.int64)]).astype(np.int32), np.concatenate([m, np.ones(len(one), np.int64)]).astype(np.int32),
+             pa.concat_arrays([none, pa.array(high)]), pa.concat_arrays([none, pa.array(low)])], MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("suffix", dict)
@@ -334,22 +436,35 @@ def _expanded(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield index(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.mapInArrow(run, "row_key long, start int, strings int")
+    return dealt.mapInArrow(run, MARKS)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _between_blocks(kept_strings: DataFrame) -> DataFrame:
+    """Of the strings that the blocks of frequent anchors keep, those with an earlier occurrence in another block."""
+    firsts = kept_strings.groupBy("high", "low").agg(F.min(F.struct("row_key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return kept_strings.join(firsts, ["high", "low"]).where(F.struct("row_key", "start") != F.col("first")).select("row_key", "start", "strings")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` (with row_key, text and whatever else) and ``runs``: the maximal removed byte ranges.
 
     runs is an array of struct<start int, end int>, ascending, null where nothing is removed. A
     byte is removed if a ``length``-byte string over it starts earlier too: in a row of smaller
     row_key, or before in the same row. Strings are judged on the input and never cross rows.
+    ``sample`` and ``frequent`` say which anchors are split among tasks (see ``frequent_anchors``).
     """
     small_batches(docs.sparkSession)
-    found = materialize(_shared_anchors(_segment_rows(docs, length)), "segments", free=True)
-    texts = docs.select("row_key", "text")
-    marks = found.where("copies = 0").select("row_key", "start", "strings").union(_expanded(_with_texts(texts, found, length), length))
-    runs = marks.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("strings") + F.lit(length - 1)).alias("end")))).alias("runs"))
-    return docs.join(materialize(runs, "runs", free=True), "row_key", "left")
+    heavy = frequent_anchors(docs, length, sample, frequent)
+    found = materialize(_shared_anchors(_segment_rows(docs, length, heavy), heavy), "segments")
+    marks = _expanded(_with_texts(docs.select("row_key", "text"), found, length), length)
+    if heavy:
+        marks = materialize(marks, "marks")
+    known = found.where(F.col("kind") == KNOWN).select("row_key", "start", "strings")
+    known = known.union(marks.where("high IS NULL").select("row_key", "start", "strings"))
+    if heavy:
+        known = known.union(_between_blocks(marks.where("high IS NOT NULL")))
+    runs = known.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("strings") + F.lit(length - 1)).alias("end")))).alias("runs"))
+    return docs.join(materialize(runs, "runs"), "row_key", "left")
 
 
 def _union(lists: pa.ListArray) -> list[list[tuple[int, int]]]:
@@ -392,7 +507,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, "row_key long, doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-
 def remove_repeated_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``, all other columns as they are.
 

@@ -152,7 +152,7 @@ def test_suffix_marks():
         for found in places.values():
             for _, _, i, o in sorted(found)[1:]:
                 wanted[i][o] = True
-        got = suffix.keep_marks(batch, strings, key, start, np.ones(len(batch)), length)
+        got = suffix.keep_marks(batch, strings, key, start, length)
         assert all((a == b).all() for a, b in zip(got, wanted, strict=True))
 
 

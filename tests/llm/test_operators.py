@@ -57,6 +57,25 @@ def test_suffix_dedup(spark, sf, hard, empty):
     assert have == {r["doc_id"]: (n, m, k, hashlib.sha256(left).hexdigest()) for r, (n, m, k, left) in zip(rows, brute_removed([r["text"] for r in rows]), strict=True)}
 
 
+def test_suffix_dedup_splits_frequent_anchors(spark):
+    """A line that most rows hold, with one neighbour or many: dealt to blocks, and the same result."""
+    r = random.Random(4)
+    line = " ".join(f"w{r.randrange(1000)}" for _ in range(60))
+    rows = [(i, f"{r.choice('abc') * 40}{i if i % 3 else ''} {line} {r.randrange(9)}{'xyz'[i % 3] * 30} {i}") for i in range(120)] + [(200 + i, line[k:] + line[:k] * 2) for i, k in enumerate(range(0, 200, 9))]
+    docs = spark.createDataFrame(rows, "row_key long, text string")
+    wanted = {k: (n, s) for (k, _), (_, n, s, _) in zip(rows, brute_removed([t for _, t in rows]), strict=True)}
+    for sample, least, block in ((1, 2, 16), (1, 10**9, 16), (2, 3, 5)):
+        heavy = suffix.frequent_anchors(docs, sample=sample, least=least)
+        assert bool(heavy) == (least < 10**9)
+        size, suffix.BLOCK = suffix.BLOCK, block
+        try:
+            found = suffix.repeats(docs, sample=sample, frequent=least).select("row_key", "runs").collect()
+        finally:
+            suffix.BLOCK = size
+        merged = suffix._union(common.pa.array([[x.asDict() for x in r["runs"] or []] for r in found]))
+        assert {r["row_key"]: (sum(b - a for a, b in m), len(m)) for r, m in zip(found, merged, strict=True)} == wanted
+
+
 def test_simhash(spark, sf, hard, empty):
     def fingerprint(t):
         w = (t or "").encode().lower().split()
