@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from test_arrays import brute_quality
 from lexspark.llm import common, components, jpeg, packing, pieces, pii, quality, queries, simhash, suffix, token_store, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -171,8 +172,11 @@ def test_packing(spark, sf, hard, empty):
 
 
 def test_quality(spark, sf, hard, empty):
-    got = queries.op9_repetition_quality(spark, sf)
-    assert got.count() == 200 and got.where("kept AND base_failed").count() == 0
+    limits, docs = quality.Limits(), {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op9_repetition_quality(spark, sf).collect()
+    assert len(got) == len(docs) and 0 < sum(r["kept"] for r in got) < len(got)
+    for r in got:
+        assert all(r[c] == pytest.approx(v) for c, v in brute_quality(docs[r["doc_id"]], limits).items()), r["doc_id"]
     rows = {r["doc_id"]: r for r in quality.quality(hard).collect()}
     assert rows[5]["base_failed"] and rows[9]["n_words"] == 60_000 and not rows[9]["kept"] and rows[10]["n_words"] == 7
     assert quality.quality(empty).count() == 0
