@@ -1,13 +1,16 @@
 """Personal data: detected entities get keyed surrogates of the same type.
 
 Every surrogate is the image of its entity under a keyed permutation of all strings of its form:
-digits go through a Feistel cipher over numbers of that length, letters through one over words of
-the same vowel and consonant pattern, script and case, names of the list through a keyed
+digits and letters go through a Feistel cipher over words of the same pattern (digits of a script,
+vowels and consonants, other letters by script and block, case), names of the list through a keyed
 permutation of the names of their gender and script. So the same entity has the same surrogate
-everywhere (coreference), different entities never share one (distinctness), at any size and
-without a table that tasks would have to agree on. No permutation has a fixed point; a surrogate
-that would leave its form (a listed name for an unlisted one) is permuted again, which keeps the
-map one to one. ``collisions`` counts, per type, surrogates that stand for more than one entity.
+everywhere (coreference) and different entities never share one (distinctness), at any size and
+without a table that tasks would have to agree on. A surrogate that would leave its class (a listed
+name for an unlisted one, a hexadecimal string for another) is permuted again, which keeps the map
+one to one. No permutation of two strings or more has a fixed point.
+
+Collisions are checked twice: every new surrogate is mapped back, and must give its entity; and
+``collisions`` counts, per type, surrogates that stand for more than one entity of a table.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import hmac
 import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,35 +29,55 @@ from pyspark.sql import functions as F
 
 from .common import kept, small_batches, text_slices
 
-#: Given names by gender and script, family names, titles by gender.
+#: Given names by gender and script, titles by gender, endings and beginnings of family names.
 GIVEN = {
-    ("f", "latin"): "Alice Amelia Anna Carla Carmen Charlotte Clara Elena Elisa Emma Eva Greta Hannah Helena Isabel Jane Julia Laura Lena Lucia Maria Marie Martha Nina Olivia Paula Rosa Sofia Sophie Teresa".split(),
-    ("m", "latin"): "Adam Albert Andreas Antonio Bruno Carlos Daniel David Diego Eric Felix Georg Hans Henry Hugo Jan John Jorge Juan Karl Louis Lucas Manuel Marc Martin Oscar Paul Peter Thomas Victor".split(),
-    ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Светлана Татьяна".split(),
-    ("m", "cyrillic"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
-    ("f", "greek"): "Αννα Ελενη Ειρηνη Κατερινα Μαρια Σοφια".split(),
-    ("m", "greek"): "Αλεξης Γιαννης Γιωργος Κωστας Νικος Παυλος".split(),
+    ("f", "latin"): [
+        "Alice", "Amelia", "Anna", "Anne", "Carla", "Carmen", "Catherine", "Charlotte", "Chloé", "Clara", "Elena", "Elisa", "Emma", "Eva", "Fatima", "Greta", "Hannah", "Helena", "Ingrid", "Isabel", "Jane", "Julia", "Laura", "Lena",
+        "Lucia", "Lucía", "Margarita", "Maria", "María", "Marie", "Martha", "Mary", "Mónica", "Nina", "Olivia", "Patricia", "Paula", "Priya", "Renée", "Rosa", "Sarah", "Sofia", "Sofía", "Sophie", "Susan", "Teresa", "Ursula", "Zoë",
+    ],
+    ("m", "latin"): [
+        "Adam", "Ahmed", "Albert", "Andreas", "André", "Antonio", "Bruno", "Carlos", "Christian", "Daniel", "David", "Diego", "Eric", "Felix", "François", "Georg", "George", "Hans", "Henry", "Hugo", "James", "Jan", "Jean", "Johann",
+        "John", "Jorge", "José", "Juan", "Jürgen", "Karl", "Louis", "Luc", "Lucas", "Luís", "Manuel", "Marc", "Martin", "Michael", "Mohammed", "Oscar", "Paul", "Peter", "Pierre", "Robert", "Sven", "Thomas", "Victor", "William",
+    ],
+    ("f", "cyrillic"): ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Светлана", "Татьяна"],
+    ("m", "cyrillic"): ["Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Михаил", "Николай", "Олег", "Павел", "Сергей"],
+    ("f", "greek"): ["Αννα", "Ελενη", "Ειρηνη", "Κατερινα", "Μαρια", "Σοφια"],
+    ("m", "greek"): ["Αλεξης", "Γιαννης", "Γιωργος", "Κωστας", "Νικος", "Παυλος"],
 }
-TITLES = {"f": "Mrs Ms Miss Frau Señora Sra Madame Mme Mlle".split(), "m": "Mr Herr Señor Sr Monsieur".split(), "": "Dr Prof".split()}
+TITLES = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mlle", "Mr", "Herr", "Señor", "Sr", "Monsieur", "Dr", "Prof"]
+FAMILY_ENDINGS = ["sson", "sdottir", "ández", "énez", "érez", "ínez", "ópez", "ánchez", "odriguez", "onzalez", "ernandez", "artinez", "opoulos", "enko", "owski", "owska", "ewski", "ewska", "czyk", "ović", "ovich", "evich", "yan", "ashvili"]
+FAMILY_BEGINNINGS = ["Mc", "O'", "O’", "Fitz"]
+#: What stands before a name, up to white space.
+CUES = ["my name is", "name:", "full name:", "signed by", "contact person:", "ich heiße", "mein name ist", "je m'appelle", "me llamo", "mi nombre es", "il mio nome è", "меня зовут"]
 GENDER = {name: gender for (gender, _), names in GIVEN.items() for name in names}
 
-_TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True))
-_NAME = "|".join(sorted(GENDER, key=len, reverse=True))
-_REST = r"[^\W\d_]+(?:-[^\W\d_]{2,})?"
-#: By type, in the order in which overlapping finds win. A type's pattern must need one of its hints.
+_LETTER = r"[^\W\d_]"
+_WORD = rf"(?:O['’])?{_LETTER}[\u0300-\u036f]*(?:{_LETTER}|[\u0300-\u036f])*(?:-{_LETTER}(?:{_LETTER}|[\u0300-\u036f])+)*"
+#: Words that don't begin with a small ASCII letter; other small letters are sorted out later.
+NAME_WORD = re.compile(rf"(?<![\w@.\-'’])(?=[^a-z]){_WORD}(?![\w@])")
+CUE = re.compile("(?i:" + "|".join(map(re.escape, CUES)) + r")[ \t]+\Z")
+CUE_HINTS = sorted({c.split()[-1].rstrip(":") for c in CUES})
+ENDING = re.compile("(?:" + "|".join(FAMILY_BEGINNINGS) + r")[^\W\d_a-z]\w+|\w{2,}(?:" + "|".join(FAMILY_ENDINGS) + ")")
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+DIGIT = re.compile(r"\d")
+#: By type, in the order in which overlapping finds win; persons come last.
 PATTERNS: dict[str, str] = {
     "secret": r"""(?i:\b(?:api[_-]?key|token|secret|password|passwd)\b["']?\s*[=:]\s*)["']?(?P<secret>[A-Za-z0-9+/_\-]{8,})""",
     "key": r"\b(?P<key>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,})\b",
     "email": r"(?P<email>[^\s@<>()\[\]\",;:|]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)",
-    "ipv6": r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{0,4}:){2,8}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=[^:]::)))(?!\w|:[\w:])",
-    "ipv4": r"(?<![\w.])(?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w|\.\d)",
-    "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
+    "ipv6": r"(?<![\w:.])(?P<ipv6>(?:[0-9A-Fa-f]{0,4}:){2,8}(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9A-Fa-f]{1,4}|(?<=[^:]::)))(?!\w|:[\w:])",
+    "ipv4": rf"(?<![\w.])(?P<ipv4>(?:{OCTET}\.){{3}}{OCTET})(?!\w|\.\d)",
+    "iban": r"\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ssn": r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])",
     "phone": r"(?<![\w+.])(?P<phone>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}|\+\d{8,15})(?![\w\-]|\.\d)",
     "card": r"(?<![\w.+\-])(?P<card>\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7})(?![\w\-]|\.\d)",
-    "person": rf"\b(?:(?P<title>{_TITLE})\.?\s+(?P<titled>[A-ZÀ-ÞΑ-ΩА-Я]{_REST}(?: [A-ZÀ-ÞΑ-ΩА-Я]{_REST})?)|(?P<given>{_NAME})(?: (?P<family>[A-ZÀ-ÞΑ-ΩА-Я]{_REST}))?)\b",
 }
-SCREEN = re.compile(r"[@\d]|AKIA|gh[pousr]_|sk-|(?i:token|secret|passw|api[_-]?key)")
+_COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+#: Strings without which a type can't be found, to leave most texts to the cheap tests; a digit where none are given.
+_HINTS = {"email": ["@"], "ipv6": [":"], "secret": ["=", ":"], "key": ["AKIA", "gh", "sk-"]}
+
+
+# -- permutations -----------------------------------------------------------------------------
 
 
 def _walk(value: int, size: int, key: bytes, tweak: bytes, back: bool) -> int:
@@ -74,8 +98,8 @@ def _walk(value: int, size: int, key: bytes, tweak: bytes, back: bool) -> int:
             return value
 
 
-def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed one-to-one map of range(size) to itself that leaves no number in its place.
+def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed one-to-one map of range(size) to itself that leaves no number in its place, or its inverse.
 
     It adds one in a permuted order of the numbers, so all of them form one cycle. Halves of more
     than 256 bits are beyond a digest: such entities are permuted in parts by ``spell``.
@@ -83,37 +107,121 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     if size < 2:
         return value
     there = _walk(value, size, key, tweak.encode(), False)
-    return _walk((there + 1) % size, size, key, tweak.encode(), True)
+    return _walk((there + (-1 if back else 1)) % size, size, key, tweak.encode(), True)
 
 
 #: Letters that take each other's place, by script: vowels and consonants, lower case.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "äöü", "áéíóúàèìòùâêîôû", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιου", "βγδζθκλμνξπρστφχψ")
 CLASS = {letter: alphabet for alphabet in ALPHABETS for letter in alphabet}
+HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
+
+
+def _cased(lower: str) -> bool:
+    """A small letter with one capital that leads back to it."""
+    upper = lower.upper()
+    return len(upper) == 1 and upper != lower and upper.lower() == lower
 
 
-def spell(text: str, key: bytes, tweak: str, digits: str = "0123456789", letters: dict[str, str] = CLASS) -> str:
-    """Permute a string's letters and digits within their classes; the rest, and the case, stays."""
+@lru_cache(1)
+def other_letters() -> dict[str, str]:
+    """All letters that ``CLASS`` doesn't have, by what may take their place.
+
+    That is the same script, block of 256 and kind: small letters with capitals, or letters without
+    case. Groups of fewer than four are put together, so every letter can move.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for c in map(chr, range(0xAA, 0x33480)):
+        if c.isalpha() and c not in CLASS and not (c != c.lower() and len(c.lower()) == 1 and _cased(c.lower()) and c.lower().upper() == c):
+            groups.setdefault((_cased(c), unicodedata.name(c, "?").split()[0], ord(c) >> 8), []).append(c)
+    found: dict[str, str] = {}
+    for cased in (True, False):
+        small = "".join(sorted(c for (kind, *_), letters in groups.items() if kind == cased and len(letters) < 4 for c in letters))
+        for (kind, *_), letters in groups.items():
+            if kind == cased:
+                found |= dict.fromkeys(letters, "".join(letters) if len(letters) >= 4 else small)
+    return found
+
+
+@lru_cache(10_000)
+def alphabet_of(c: str) -> str:
+    """The characters that may take the place of c (small ones for a capital); empty if it stays."""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return ""
+    lower = c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c
+    return CLASS.get(lower) or other_letters().get(lower, "")
+
+
+#: Letters regardless of vowels, for strings that aren't words.
+ALNUM = {c: "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "0123456789" for c in "0123456789"}
+
+
+def spell(text: str, key: bytes, tweak: str, alphabet: Callable[[str], str] = alphabet_of, back: bool = False) -> str:
+    """Permute a string's letters and digits within their alphabets, or undo it; the rest, and the case, stays.
+
+    An alphabet of small letters serves for capitals too; one that holds a character itself is used as it is.
+    """
     if len(text) > 80:  # each part's place and the part before go into its permutation
-        parts = [text[i : i + 80] for i in range(0, len(text), 80)]
-        return "".join(spell(p, key, f"{tweak}|{i}|{parts[i - 1] if i else ''}", digits, letters) for i, p in enumerate(parts))
-    radix = [digits if c in digits else letters.get(c.lower(), "") if len(c.lower()) == 1 and c.lower().upper() in (c, c.upper()) else "" for c in text]
+        out, before = [], ""
+        for i in range(0, len(text), 80):
+            part = text[i : i + 80]
+            out.append(spell(part, key, f"{tweak}|{i}|{before}", alphabet, back))
+            before = out[-1] if back else part
+        return "".join(out)
+    radix = [alphabet(c) for c in text]
     value, size = 0, 1
-    for c, alphabet in zip(text, radix, strict=True):
-        if alphabet:
-            value, size = value * len(alphabet) + alphabet.index(c.lower()), size * len(alphabet)
-    form = "".join(alphabet[0] if alphabet else c for c, alphabet in zip(text, radix, strict=True))
-    value = permute(value, size, key, f"{tweak}|{form}")
+    for c, letters in zip(text, radix, strict=True):
+        if letters:
+            value, size = value * len(letters) + letters.index(c if c in letters else c.lower()), size * len(letters)
+    form = "".join(letters[0] if letters else c for c, letters in zip(text, radix, strict=True))
+    value = permute(value, size, key, f"{tweak}|{form}", back)
     out = []
-    for c, alphabet in zip(reversed(text), reversed(radix), strict=True):
-        if alphabet:
-            value, at = divmod(value, len(alphabet))
-            c = alphabet[at].upper() if c.isupper() else alphabet[at]
+    for c, letters in zip(reversed(text), reversed(radix), strict=True):
+        if letters:
+            value, at = divmod(value, len(letters))
+            c = letters[at] if c in letters else letters[at].upper()
         out.append(c)
     return "".join(reversed(out))
 
 
-HEX = {c: "0123456789abcdef" for c in "0123456789abcdef"}
-ALNUM = {c: "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz"}
+def within(text: str, step: Callable[[str], str], kind: Callable[[str], object]) -> str:
+    """Take steps of a permutation until the result is of the text's own kind, which it is one to one on."""
+    own, new = kind(text), step(text)
+    while kind(new) != own:
+        new = step(new)
+    return new
+
+
+# -- surrogates -------------------------------------------------------------------------------
+
+
+def hex_kind(text: str) -> str:
+    """How hexadecimal digits are written: digits alone, with small or large letters, with both, or not at all."""
+    marks = set(text) - set(":")
+    if marks <= set("0123456789"):
+        return "digits"
+    if marks <= set(HEX_LOWER):
+        return "lower"
+    if marks <= set(HEX_UPPER):
+        return "upper"
+    return "mixed" if marks <= set(HEX_LOWER + HEX_UPPER) else ""
+
+
+def _hex(text: str, key: bytes, tweak: str, back: bool, kind: Callable[[str], object] = hex_kind) -> str:
+    """Permute hexadecimal digits within their way of writing: with one case any takes any place."""
+    own = hex_kind(text)
+    if own in ("lower", "upper"):
+        marks = HEX_LOWER if own == "lower" else HEX_UPPER
+        letters = dict.fromkeys(marks, marks)
+    else:
+        letters = dict.fromkeys("0123456789", "0123456789") | dict.fromkeys("abcdef", "abcdef") | dict.fromkeys("ABCDEF", "ABCDEF")
+    return within(text, lambda t: spell(t, key, f"{tweak}|{own}", lambda c: letters.get(c, ""), back), kind)
+
+
+def digits_of(text: str) -> str:
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
 def luhn(digits: str) -> bool:
@@ -125,34 +233,58 @@ def luhn(digits: str) -> bool:
 
 
 def _refill(form: str, digits: str) -> str:
+    """Put digits in the place of a string's, each in the script of the one before it there."""
     supply = iter(digits)
-    return "".join(next(supply) if c.isdigit() else c for c in form)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(supply))) if c.isdecimal() else c for c in form)
 
 
-def _numbers(entity: str, key: bytes, kind: str, keep: int = 0) -> str:
-    """Permute the digits after the first ``keep``; punctuation stays."""
-    digits = "".join(c for c in entity if c.isdigit())
+def _numbers(entity: str, key: bytes, kind: str, back: bool, keep: int = 0) -> str:
+    """Permute the digits after the first ``keep``; punctuation and script stay, and don't matter."""
+    digits = digits_of(entity)
     tail = digits[keep:]
-    form = re.sub(r"\d", "0", entity)
-    return _refill(entity, digits[:keep] + f"{permute(int(tail or 0), 10 ** len(tail), key, f'{kind}|{form}|{digits[:keep]}'):0{len(tail)}d}"[: len(tail)])
+    return _refill(entity, digits[:keep] + f"{permute(int(tail), 10 ** len(tail), key, f'{kind}|{len(tail)}|{digits[:keep]}', back):0{len(tail)}d}")
+
+
+def _phone(entity: str, key: bytes, back: bool) -> str:
+    """A country code that stands apart stays."""
+    code = re.match(r"\+(\d{1,3})[ .\-]", entity)
+    return _numbers(entity, key, "phone", back, len(code[1]) if code else 0)
+
+
+def _card(entity: str, key: bytes, back: bool) -> str:
+    """Valid check digits stay valid; others stay as far from the valid one."""
+    digits = digits_of(entity)
+    body = digits[:-1]
+    check = lambda b: next(d for d in range(10) if luhn(f"{b}{d}"))
+    moved = f"{permute(int(body), 10 ** len(body), key, f'card|{len(digits)}', back):0{len(body)}d}"
+    return _refill(entity, moved + str((check(moved) + int(digits[-1]) - check(body)) % 10))
 
 
-def _card(entity: str, key: bytes) -> str:
-    """Valid check digits stay valid; others stay invalid."""
-    digits = "".join(c for c in entity if c.isdigit())
-    body, valid = digits[:-1], luhn(digits)
-    moved = f"{permute(int(body), 10 ** len(body), key, f'card|{len(digits)}'):0{len(body)}d}"
-    right = next(d for d in "0123456789" if luhn(moved + d))
-    was = next(d for d in "0123456789" if luhn(body + d))
-    return _refill(entity, moved + (right if valid else str((int(right) + int(digits[-1]) - int(was)) % 10)))
+def _iban(entity: str, key: bytes, back: bool) -> str:
+    """Country and, for valid ones, valid check digits; others stay as far from the valid ones."""
 
+    def check(country: str, rest: str) -> int:
+        return 98 - int("".join(str(int(c, 36)) for c in rest.replace(" ", "") + country + "00")) % 97
 
-def _ipv4(entity: str, key: bytes) -> str:
+    country, given, rest = entity[:2], int(entity[2:4]), entity[4:]
+    moved = spell(rest, key, f"iban|{country}", lambda c: ALNUM.get(c, ""), back)
+    return f"{country}{(check(country, moved) + given - check(country, rest)) % 100:02d}{moved}"
+
+
+def _ipv4(entity: str, key: bytes, back: bool) -> str:
+    """Octets go to octets; one that is written with zeros before it keeps its width and at least one of them."""
+    parts = entity.split(".")
+    sizes = [10 ** (len(p) - 1) if len(p) > 1 and p[0] == "0" else 256 for p in parts]
     value = 0
-    for part in entity.split("."):
-        value = value << 8 | int(part)
-    value = permute(value, 1 << 32, key, "ipv4")
-    return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+    for part, size in zip(parts, sizes, strict=True):
+        value = value * size + int(part)
+    total = sizes[0] * sizes[1] * sizes[2] * sizes[3]
+    value = permute(value, total, key, f"ipv4|{sizes}", back)
+    out = []
+    for part, size in zip(reversed(parts), reversed(sizes), strict=True):
+        value, own = divmod(value, size)
+        out.append(str(own) if size == 256 else f"{own:0{len(part)}d}")
+    return ".".join(reversed(out))
 
 
 def is_ipv6(text: str) -> bool:
@@ -168,100 +300,157 @@ def is_ipv6(text: str) -> bool:
 EMBEDDING = ("::", "::ffff:", "::ffff:0:", "64:ff9b::")
 
 
-def _ipv6(entity: str, key: bytes) -> str:
+def _ipv6(entity: str, key: bytes, back: bool) -> str:
     """Groups keep their lengths and places; an embedded IPv4 address gets its own surrogate."""
     if "." not in entity:
-        return spell(entity, key, "ipv6", digits="", letters=HEX)
+        return _hex(entity, key, "ipv6", back)
     head, _, tail = entity.rpartition(":")
-    new = head = head + ":"
+    head += ":"
     if head.lower() not in EMBEDDING:
-        new = spell(head, key, "ipv6", digits="", letters=HEX)
-        while new.lower() in EMBEDDING:
-            new = spell(new, key, "ipv6", digits="", letters=HEX)
-    return new + _ipv4(tail, key)
+        head = _hex(head, key, "ipv6", back, lambda h: (hex_kind(h), h.lower() in EMBEDDING))
+    return head + _ipv4(tail, key, back)
 
 
-def _email(entity: str, key: bytes) -> str:
+def _email(entity: str, key: bytes, back: bool) -> str:
+    """The top domain stays."""
     local, _, domain = entity.rpartition("@")
     labels = domain.split(".")
-    return f"{spell(local, key, 'local')}@{'.'.join([*(spell(x, key, 'domain') for x in labels[:-1]), labels[-1]])}"
+    return f"{spell(local, key, 'local', back=back)}@{'.'.join([*(spell(x, key, 'domain', back=back) for x in labels[:-1]), labels[-1]])}"
 
 
-def _secret(entity: str, key: bytes) -> str:
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
-        return spell(entity, key, "secret", digits="", letters=HEX)
-    head = re.match(r"AKIA|gh[pousr]_|sk-|", entity)[0]
-    return head + spell(entity[len(head) :], key, "secret", letters=ALNUM)
+def secret_head(secret: str) -> str:
+    """A beginning that only tells the secret's issuer."""
+    return re.match(r"AKIA|gh[pousr]_|sk-|", secret)[0]
+
+
+def _secret(entity: str, key: bytes, back: bool) -> str:
+    """A known beginning stays, and so does the way in which a hexadecimal string is written."""
+    kind = lambda t: (secret_head(t), hex_kind(t[len(secret_head(t)) :]))
+    own = secret_head(entity)
+    rest = entity[len(own) :]
+    if hex_kind(rest):
+        return own + _hex(rest, key, "secret", back, lambda t: kind(own + t))
+    return own + within(rest, lambda t: spell(t, key, "secret", lambda c: ALNUM.get(c, ""), back), lambda t: kind(own + t))
 
 
 def script_of(word: str) -> str:
     return unicodedata.name(next((c for c in word if c.isalpha()), "a"), "LATIN").split()[0].lower()
 
 
-def _unlisted(name: str, key: bytes, kind: str) -> str:
-    """Respell until the result isn't a listed name, which only listed names become."""
-    new = spell(name, key, f"{kind}|{script_of(name)}")
-    while new in GENDER and new != name:
-        new = spell(new, key, f"{kind}|{script_of(name)}")
-    return new
+def listed(word: str) -> str | None:
+    """The list's name that a word is, also in capitals."""
+    if word in GENDER:
+        return word
+    return name if len(word) > 2 and word.isupper() and (name := word.capitalize()) in GENDER else None
 
 
-def given_name(name: str, key: bytes) -> str:
-    """A name of the list goes to another of its gender and script; other names are respelled."""
-    if (own := GENDER.get(name)) is None:
-        return _unlisted(name, key, "name")
-    names = GIVEN[own, script_of(name)]
-    return names[permute(names.index(name), len(names), key, f"given|{own}|{script_of(name)}")]
+def name_part(word: str, key: bytes, back: bool) -> str:
+    """A name of the list goes to another of its gender and script; other names are respelled, never as one of the list."""
+    if (own := listed(word)) is None:
+        return within(word, lambda w: spell(w, key, "name", back=back), lambda w: listed(w) is None)
+    gender, script = GENDER[own], script_of(own)
+    names = GIVEN[gender, script]
+    new = names[permute(names.index(own), len(names), key, f"given|{gender}|{script}", back)]
+    return new if word == own else new.upper()
 
 
-def _person(entity: str, key: bytes) -> str:
-    return " ".join(given_name(w, key) if w in GENDER else _unlisted(w, key, "name") for w in entity.split(" "))
+def _person(entity: str, key: bytes, back: bool) -> str:
+    """Each word, and each part of a word with hyphens, for itself."""
+    return re.sub(r"[^\s-]+", lambda m: name_part(m[0], key, back), entity)
 
 
-SURROGATES: dict[str, Callable[[str, bytes], str]] = {
+SURROGATES: dict[str, Callable[[str, bytes, bool], str]] = {
     "secret": _secret,
     "key": _secret,
     "email": _email,
     "ipv6": _ipv6,
     "ipv4": _ipv4,
-    "iban": lambda e, k: e[:2] + spell(e[2:], k, "iban", letters=ALNUM),
-    "ssn": lambda e, k: _numbers(e, k, "ssn"),
-    "phone": lambda e, k: _numbers(e, k, "phone", len(re.match(r"\+?(\d{0,3})(?=[ .\-])", e)[1]) if re.match(r"\+\d{1,3}[ .\-]", e) else 0),
+    "iban": _iban,
+    "ssn": lambda e, k, back: _numbers(e, k, "ssn", back),
+    "phone": _phone,
     "card": _card,
     "person": _person,
 }
 
 
-@lru_cache(200_000)
+@lru_cache(100_000)
 def surrogate(kind: str, entity: str, key: bytes) -> str:
-    """The entity's keyed replacement, by its type."""
-    return SURROGATES[kind](entity, key)
+    """The entity's keyed replacement, by its type; fails if it is the entity itself or doesn't lead back to it."""
+    new = SURROGATES[kind](entity, key, False)
+    if new == entity or SURROGATES[kind](new, key, True) != entity:
+        raise ValueError(f"no one-to-one surrogate for an entity of type {kind}")
+    return new
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of a text's entities, ascending, without overlaps."""
+# -- detection --------------------------------------------------------------------------------
+
+
+def _merged(taken: list[tuple[int, int, str]], more: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Both ascending lists in one, without those of the second that overlap one of the first."""
+    if not more or not taken:
+        return taken or more
+    out, i = [], 0
+    for span in more:
+        while i < len(taken) and taken[i][1] <= span[0]:
+            out.append(taken[i])
+            i += 1
+        if i == len(taken) or taken[i][0] >= span[1]:
+            out.append(span)
+    return out + taken[i:]
+
+
+def persons(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Names outside the spans that are taken: after a title or a cue, from the list, by the family name's form.
+
+    Each word of a name that was found is one at its other places in the text too.
+    """
+    starts = [a for a, _, _ in taken]
+    words = []
+    for m in NAME_WORD.finditer(text):
+        a, b = m.span()
+        i = bisect_left(starts, b) - 1
+        if not m[0][0].islower() and (i < 0 or taken[i][1] <= a):
+            words.append((a, b, m[0]))
+    cued = any(hint in text or hint.capitalize() in text for hint in CUE_HINTS)
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
-    for kind, pattern in _COMPILED.items():
-        if kind in _HINTS and not any(h in text for h in _HINTS[kind]):
-            continue
-        for m in pattern.finditer(text):
-            if kind == "person":
-                spans = [m.span(g) for g in ("titled", "given", "family") if m[g]]
-                if len(spans) == 2:
-                    spans = [(spans[0][0], spans[1][1])]
-            else:
-                spans = [m.span(kind)] if kind != "ipv6" or is_ipv6(m[kind]) else []
-            for a, b in spans:
-                if not any(a < y and x < b for x, y in taken):
-                    taken.append((a, b))
-                    found.append((a, b, kind))
-    return sorted(found)
+    titles, i = set(TITLES), 0
+    while i < len(words):
+        a, b, word = words[i]
+        after = [text[b : words[i + 1][0]]] if i + 1 < len(words) else []
+        last = None
+        if word in titles:
+            if after and re.fullmatch(r"\.?\s+|\.", after[0]) and words[i + 1][2] not in titles:
+                i, last = i + 1, i + 1
+        elif listed(word) or listed(word.split("-")[0]) or (cued and CUE.search(text, max(0, a - 24), a)):
+            last = i
+        elif after == [" "] and ENDING.fullmatch(words[i + 1][2]):
+            last = i
+        if last is not None:
+            if last + 1 < len(words) and text[words[last][1] : words[last + 1][0]] == " " and words[last + 1][2] not in titles:
+                last += 1
+            found.append((words[i][0], words[last][1], "person"))
+            i = last
+        i += 1
+    known = {w for a, b, _ in found for w in text[a:b].split() if len(w) > 2}
+    return _merged(found, [(a, b, "person") for a, b, w in words if w in known])
+
+
+_MOVES = lambda secret: any(map(str.isalnum, secret[len(secret_head(secret)) :]))
+_VALID: dict[str, Callable[[str], bool]] = dict.fromkeys(PATTERNS, lambda _: True) | {"ipv6": is_ipv6, "secret": _MOVES, "key": _MOVES}
 
 
-_COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
-#: Characters without which a type can't be found, to leave most texts to the cheap tests.
-_HINTS = {"email": "@", "ipv4": "0123456789", "ipv6": ":", "ssn": "0123456789", "phone": "0123456789", "card": "0123456789", "iban": "0123456789", "secret": "=:", "key": ["AKIA", "gh", "sk-"]}
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of a text's entities, ascending, without overlaps.
+
+    What has neither a letter nor a digit to replace is no entity.
+    """
+    taken: list[tuple[int, int, str]] = []
+    digit = DIGIT.search(text) is not None
+    for kind, pattern in _COMPILED.items():
+        if any(h in text for h in _HINTS[kind]) if kind in _HINTS else digit:
+            spans = [(*m.span(kind), kind) for m in pattern.finditer(text) if _VALID[kind](m[kind])]
+            taken = _merged(taken, spans)
+    return _merged(taken, persons(text, taken))
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str, str]]]:

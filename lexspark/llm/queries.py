@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import secrets
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
 def pii_key() -> str:
-    """The secret of all surrogates: LEXSPARK_PII_KEY, else one for tests."""
-    return os.environ.get("LEXSPARK_PII_KEY", "a key for tests only")
+    """The secret of all surrogates: LEXSPARK_PII_KEY, else one drawn for this driver, which nobody can repeat."""
+    return os.environ.get("LEXSPARK_PII_KEY") or secrets.token_hex(32)
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymize
-
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key())
+    """Texts with surrogates and the number of entities; fails if two entities of a type share a surrogate."""
+    from .common import materialize
+    from .pii import collisions, pseudonymize
+
+    found = materialize(pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(), keep_entities=True), "surrogates")
+    if shared := collisions(found).where("collisions > 0").collect():
+        raise ValueError(f"surrogates stand for several entities: {shared}")
+    return found.select("doc_id", "text", F.size("spans").cast("long").alias("entities"))
 
 
 def op2_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
