@@ -8,12 +8,16 @@ without false negatives). A mask keeps about 34 bits.
 
 Texts with a Jaccard similarity of 0.8 differ in about ten bits of 64, out of reach of such masks.
 ``similar_groups`` therefore also covers fingerprints of 16 four-bit minima (MinHash), which differ
-in about three at 0.8, and confirms what either finds by the exact similarity of the shingles.
+in about three at 0.8. Of what shares a bucket of either, each text tries the partners whose minima agree
+most, two a round, by the exact similarity of the shingles; rounds go on, between groups that are still
+apart, until one finds no further link. So no bucket's pairs are all sent out, however many copies it holds.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,9 @@ from .components import connected_components
 SEGMENT = 255  # shingles whose bits add up in bytes
 SKETCHES = 3  # fingerprints of minima
 NEAR_MINIMA = 7  # of 16, that may differ in a candidate
+LIKE_MINIMA = 26  # of all 48, that agree in a candidate: at a similarity of 0.8 39 do, and 26 or fewer once in a million
+PARTNERS = 2  # that a text tries in a round
+BLOCK = 512  # rows of a bucket that are compared with each other; larger buckets are ordered by other minima and cut
 _MIX = np.random.default_rng(42).integers(0, 2**64, (2, 16 * SKETCHES), np.uint64)
 
 
@@ -178,29 +185,21 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, radius: int = 3, small: int
     return ids[np.concatenate([x for x, _ in out])], ids[np.concatenate([x for _, x in out])]
 
 
-def link(distinct: DataFrame, radius: int = 3, vertex: str = "fp", minima: Sequence[str] = ()) -> DataFrame:
-    """Edges (u, v) of ``vertex`` that connect the fingerprints (fp) within the radius of each other.
+def in_buckets(rows: DataFrame, tables: Sequence[tuple[str, int]], columns: Sequence[str], work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """Deal ``rows`` to the buckets of all tables (column, mask) and do ``work`` on whole buckets.
 
-    Rows that share a mask's key of a column of ``minima`` and differ in NEAR_MINIMA at most are linked too.
+    Work gets the table of each row, its bucket's number, ascending, and the columns as rows of one array.
     """
-    masks = [("fp", m) for m in covering_masks(radius)]
-    bits = len(masks)
-    masks += [(c, m) for c in minima for m in sketch_masks()]
-    named = [] if vertex == "fp" else [vertex]
-    rows = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key"), F.col(c).alias("print")) for i, (c, m) in enumerate(masks)])).alias("b"), *named)
-    dealt = rows.select("b.t", "b.key", "b.print", *named).repartition("t", "key").sortWithinPartitions("t", "key")
+    parts = F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key")) for i, (c, m) in enumerate(tables)])
+    dealt = rows.select(F.explode(parts).alias("b"), *columns).select("b.t", "b.key", *columns).repartition("t", "key").sortWithinPartitions("t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def edges(rows: np.ndarray) -> pa.RecordBatch:
-            run_of = np.cumsum(np.concatenate([[0], (np.diff(rows[0]) != 0) | (rows[1][1:] != rows[1][:-1])])) if rows.shape[1] else rows[0]
-            cut = int(np.searchsorted(rows[0], bits))
-            u, v = bucket_edges(run_of[:cut], rows[2][:cut], radius, ids=rows[-1][:cut])
-            if cut < rows.shape[1]:
-                more = bucket_edges(run_of[cut:], rows[2][cut:], NEAR_MINIMA, ids=rows[-1][cut:], differ=minima_distance)
-                u, v = np.concatenate([u, more[0]]), np.concatenate([v, more[1]])
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        def done(rows: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(0)
+            return work(rows[0], np.cumsum(new), rows[2:])
 
         for batch in batches:
             if not batch.num_rows:
@@ -208,15 +207,24 @@ def link(distinct: DataFrame, radius: int = 3, vertex: str = "fp", minima: Seque
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
             first, last = held[0][:2, 0], held[-1][:2, -1]
             if (first == last).all():
-                continue  # one run so far
+                continue  # one bucket so far
             rows = np.concatenate(held, axis=1)
-            end = int(np.flatnonzero((rows[0] != last[0]) | (rows[1] != last[1]))[-1]) + 1
-            yield edges(rows[:, :end])
+            end = int(np.flatnonzero((rows[:2] != last[:, None]).any(0))[-1]) + 1
+            yield done(rows[:, :end])
             held = [rows[:, end:]]
         if held:
-            yield edges(np.concatenate(held, axis=1))
+            yield done(np.concatenate(held, axis=1))
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, schema)
+
+
+def link(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """Edges (u, v) that connect the fingerprints (fp) within the radius of each other."""
+
+    def work(_: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in bucket_edges(bucket, rows[0], radius)], ["u", "v"])
+
+    return in_buckets(distinct, [("fp", m) for m in covering_masks(radius)], ["fp"], work, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str = "doc_id") -> DataFrame:
@@ -255,14 +263,126 @@ def set_table(docs: DataFrame, width: int, key: str) -> DataFrame:
     return rows.mapInArrow(run, f"{key} long, set long, fp long, " + ", ".join(f"{c} long" for c in names))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose texts' shingles, in docs (set, text), have this Jaccard similarity or more."""
+@lru_cache(8)
+def _tables(radius: int) -> tuple[tuple[str, int], ...]:
+    return (*(("fp", m) for m in covering_masks(radius)), *((f"s{i}", m) for i in range(SKETCHES) for m in sketch_masks()))
+
+
+def _column(table: int | np.ndarray, radius: int) -> int | np.ndarray:
+    """The row (fp, s0 ..) whose fingerprint a table covers."""
+    own, many = 2 ** (radius + 1) - 1, 31
+    return (table >= own) * (1 + (table - own) // many)
+
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(i: int, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether rows (fp, s0 ..) are candidates by the fingerprint that table i covers."""
+    column = int(_column(i, radius))
+    return minima_distance(a[column], b[column]) <= NEAR_MINIMA if column else distance(a[0], b[0]) <= radius
+
+
+def _blocks(table: int, rows: np.ndarray, most: int = BLOCK) -> list[np.ndarray]:
+    """Positions of one bucket's rows (fp, s0 ..), cut into blocks of ``most`` at most, in another order for each table."""
+    n = rows.shape[1]
+    if n <= most:
+        return [np.arange(n)]
+    turned = np.roll(rows, table, axis=0).view(np.uint64)
+    return np.array_split(np.lexsort([np.bitwise_right_shift(x, np.uint64(4 * (table % 16))) | np.bitwise_left_shift(x, np.uint64(64 - 4 * (table % 16)) % np.uint64(64)) for x in turned]), -(-n // most))
+
+
+def small_pairs(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Positions i < j of the candidates in buckets of up to ``small`` rows (fp, s0 ..), and the larger buckets' bounds."""
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    start, size = edge[:-1], np.diff(edge)
+    few = (size > 1) & (size <= small)
+    at = ragged(start[few], size[few])
+    kind = _column(table[at], radius)
+    values, run = rows[kind, at], bucket[at]
+    first, second = [at[:0]], [at[:0]]
+    for d in range(1, int(size[few].max(initial=1))):
+        same = np.flatnonzero(run[:-d] == run[d:])
+        a, b = values[same], values[same + d]
+        same = same[np.where(kind[same] == 0, distance(a, b) <= radius, minima_distance(a, b) <= NEAR_MINIMA)]
+        first.append(at[same])
+        second.append(at[same + d])
+    large = size > small
+    return np.concatenate(first), np.concatenate(second), list(zip(start[large].tolist(), (start + size)[large].tolist(), strict=True))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima of rows (fp, s0 ..) agree."""
+    return 16 * SKETCHES - sum(minima_distance(a[1 + i], b[1 + i]).astype(np.int16) for i in range(SKETCHES))
+
+
+def best_partners(table: int, rows: np.ndarray, group: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row (fp, s0 ..) of one large bucket its candidates of other groups that agree with most minima.
+
+    Two positions, and how many of the minima agree; ``most`` candidates a row.
+    """
+    out = []
+    for block in _blocks(table, rows):
+        inner, own = rows[:, block], group[block]
+        i, j = np.nonzero((own[:, None] != own[None]) & _near(table, inner[:, :, None], inner[:, None, :], radius))
+        like = agreeing(inner[:, i], inner[:, j]).astype(np.int64)
+        order = np.lexsort((-like, i))
+        order = order[like[order] >= LIKE_MINIMA]
+        i, j, like = i[order], j[order], like[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < most
+        out.append((block[i[first]], block[j[first]], like[first]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def candidates(reps: DataFrame, radius: int) -> DataFrame:
+    """The sets of ``reps`` (set, fp, s0 ..) that share a bucket with a candidate."""
+
+    def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        some = np.zeros(len(bucket), bool)
+        i, j, large = small_pairs(table, bucket, rows[1:], radius)
+        some[i] = some[j] = True
+        for a, b in large:
+            for block in _blocks(int(table[a]), rows[1:, a:b]):
+                inner = rows[1:, a + block]
+                some[a + block] |= _near(int(table[a]), inner[:, :, None], inner[:, None, :], radius).sum(1) > 1  # itself and another
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(rows[0][some]))], ["set"])
+
+    return in_buckets(reps, _tables(radius), ["set", "fp", *[f"s{i}" for i in range(SKETCHES)]], work, "set long").distinct()
+
+
+def proposals(rows: DataFrame, radius: int, tried: int) -> DataFrame:
+    """(u, v, like) for rows (set, group, fp, s0 ..): each set's best candidates of other groups, tried + PARTNERS a bucket."""
+    most = tried + PARTNERS
+
+    def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        i, j, large = small_pairs(table, bucket, rows[2:], radius)
+        apart = rows[1, i] != rows[1, j]
+        i, j = np.concatenate([i[apart], j[apart]]), np.concatenate([j[apart], i[apart]])
+        like = agreeing(rows[2:, i], rows[2:, j])
+        order = np.lexsort((-like, i))
+        order = order[like[order] >= LIKE_MINIMA]
+        i, j, like = i[order], j[order], like[order]
+        turn = np.arange(len(i)) - np.searchsorted(i, i)
+        out = [(rows[0, i[turn < most]], rows[0, j[turn < most]], like[turn < most].astype(np.int64))]
+        for a, b in large:
+            x, y, like = best_partners(int(table[a]), rows[2:, a:b], rows[1, a:b], radius, most)
+            out.append((rows[0, a + x], rows[0, a + y], like))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["u", "v", "like"])
+
+    return in_buckets(rows, _tables(radius), ["set", "group", "fp", *[f"s{i}" for i in range(SKETCHES)]], work, "u long, v long, like long")
+
+
+def shingle_table(docs: DataFrame, width: int) -> DataFrame:
+    """(set, shingles binary) of docs (set, text): the different shingles' hashes, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             sets = shingle_sets([shingle_hashes(t, width) for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("set"), pa.array([x.tobytes() for x in sets], pa.binary())], ["set", "shingles"])
 
+    return docs.select("set", "text").mapInArrow(run, "set long, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of sets (set, shingles) that have this Jaccard similarity or more."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             near = []
@@ -273,7 +393,6 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
                 near.append(both > 0 and both / (less + more - both) >= similarity)
             yield part.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    sets = materialize(docs.select("set", "text").mapInArrow(shingles, "set long, shingles binary"), "shingles")
     a, b = (sets.select(F.col("set").alias(k), F.col("shingles").alias(c)) for k, c in (("u", "a"), ("v", "b")))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
 
@@ -281,18 +400,36 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) ->
 def similar_groups(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
     """(key, component_id) of every row of docs (unique key, text): groups that links of this similarity make.
 
-    Equal sets of shingles are linked, texts without words among them; other candidates are those
-    that ``link`` finds, each confirmed.
+    Equal sets of shingles are linked, texts without words among them. Every other text tries its best
+    candidates, PARTNERS a round, by their exact similarity; from round to round candidates of its own
+    group and those it has tried fall out. The last round is the first that finds no link, so two groups
+    stay apart only if none of the best untried candidates between them is similar.
     """
     names = [f"s{i}" for i in range(SKETCHES)]
     prints = materialize(set_table(docs, width, key), "fingerprints")
     reps = materialize(prints.groupBy("set").agg(F.min(key).alias("rep"), *[F.min(c).alias(c) for c in ("fp", *names)]), "distinct")
-    found = link(reps, radius, "set", names).where("u <> v")
-    pairs = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct().join(reps, "set").select("set", F.col("rep").alias(key))
-    edges = materialize(similar(pairs, docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).join(asked, key), width, similarity), "similar")
-    parts = connected_components(edges).select(F.col("vertex").alias("set"), F.col("component").alias("root"))
-    marked = reps.join(parts, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "rep")
+    asked = materialize(reps.join(candidates(reps, radius), "set"), "candidates")
+    texts = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
+    sets = materialize(shingle_table(texts.join(asked.select("set", F.col("rep").alias(key)), key), width), "shingles")
+    rows = asked.withColumn("group", F.col("set"))
+    parts, edges, tried = None, None, None
+    for turn in itertools.count():
+        best = proposals(rows, radius, turn * PARTNERS)
+        if tried is not None:
+            best = best.join(tried.select("u", "v"), ["u", "v"], "left_anti")
+        ranked = best.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("like")).alias("order"), "v"))), 1, PARTNERS).alias("best"))
+        now = materialize(ranked.select("u", F.explode("best.v").alias("v")), "proposals")
+        pairs = now.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = materialize(similar(pairs, sets, similarity), "similar")
+        if not found.limit(1).count():
+            break
+        tried = now if tried is None else tried.union(now)
+        edges = found if edges is None else edges.union(found)
+        parts = connected_components(edges).select(F.col("vertex").alias("set"), F.col("component").alias("root"))
+        rows = asked.join(parts, "set", "left").withColumn("group", F.coalesce("root", "set")).drop("root")
+    marked = reps.select("set", "rep").withColumn("root", F.col("set"))
+    if parts is not None:
+        marked = reps.join(parts, "set", "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
     ids = marked.groupBy("root").agg(F.min("rep").alias("component_id"))
     return prints.join(materialize(marked.join(ids, "root").select("set", "component_id"), "groups"), "set").select(key, "component_id")
 

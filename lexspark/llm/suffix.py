@@ -40,7 +40,7 @@ INDEX_BYTES = 1 << 18
 #: One row in SAMPLE is looked at for anchors with FREQUENT different segments or more in that sample.
 SAMPLE, FREQUENT, HEAVY = 64, 8, 10_000
 #: Segments of a frequent anchor in a block, about.
-BLOCK = 1024
+BLOCK = 256
 MIX = np.random.default_rng(20260303).integers(1, 1 << 63, 256, dtype=np.int64).view(np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
