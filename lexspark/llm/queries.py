@@ -78,13 +78,16 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write archives, then read responses with their payloads, and revisits by their headers alone."""
     from .common import materialize, new_path
     from .warc import page_digests, register, revisits, write_warc
 
     register(spark)
     pages, folder = table(spark, sf_dir, "pages"), new_path(spark, "warc")
     write_warc(pages, folder, materialize(revisits(pages), "revisits")).write.format("noop").mode("overwrite").save()
-    return page_digests(spark.read.format("warc").load(folder))
+    whole = spark.read.format("warc").load(folder).where("record_type = 'response'")
+    again = spark.read.format("warc").option("payload", "false").load(folder).where("record_type = 'revisit'")
+    return page_digests(whole).union(page_digests(again))
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """WARC archives: a writer that turns repeated payloads into revisit records, and a Spark data source.
 
-The source (format "warc") plans partitions of whole files, takes over predicates on the record
-type and on header columns, and reads each record's headers first. A record that the predicates
+The source (format "warc") plans partitions of whole files, or of parts of large files where an index
+beside the archive (its name and ".idx": places where records begin, as 64-bit numbers) says how to cut it.
+It takes over predicates on the record type and on header columns, and reads each record's headers first. A record that the predicates
 rule out is skipped: in plain files by a seek over its block, in compressed ones by dropping the
 rest of its member undecoded, where the member's gzip header states its lengths (extra field SL, as
 the writer does); members of other writers are inflated. Without the option ``payload`` no block is kept at all.
@@ -23,15 +24,16 @@ from pyarrow import fs
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 LEAST = 1000  # payload bytes from which an equal payload becomes a revisit
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:lexspark:page:"
 #: Header columns of the source, by the header's name in lower case.
 HEADERS = {"warc-type": "record_type", "warc-record-id": "record_id", "warc-target-uri": "target_uri", "warc-date": "date", "warc-payload-digest": "payload_digest", "warc-refers-to": "refers_to", "content-type": "content_type"}
-COLUMNS = [*HEADERS.values(), "content_length", "http_length", "payload"]
-SCHEMA = ", ".join(f"{c} string" for c in HEADERS.values()) + ", content_length long, http_length long, payload binary"
+COLUMNS = [*HEADERS.values(), "payload_sha1", "content_length", "http_length", "payload"]
+SCHEMA = ", ".join(f"{c} string" for c in HEADERS.values()) + ", payload_sha1 string, content_length long, http_length long, payload binary"
+INDEX_BYTES = 32 << 20  # of an archive between two places that its index names
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -72,8 +74,8 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.join(groups, ["digest", "size"]).where("page_id < refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
-def write_warc(pages: DataFrame, folder: str, repeated: DataFrame, compress: bool = True) -> DataFrame:
-    """Write pages (page_id, url, html) to files in ``folder``, one a task; returns path and records.
+def write_warc(pages: DataFrame, folder: str, repeated: DataFrame, compress: bool = True, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Write pages (page_id, url, html) to files in ``folder``, one a task, with their indexes; returns path and records.
 
     ``repeated`` (see ``revisits``) should be a table of known size: as long as it is small Spark
     sends it to all tasks, and pages don't move. A null html is an empty payload; a null page_id is
@@ -89,18 +91,26 @@ def write_warc(pages: DataFrame, folder: str, repeated: DataFrame, compress: boo
         where, base = _open(folder)
         name = f"pages-{number:06d}.warc" + ".gz" * compress
         temporary = f"{base}/_{name}-{attempt}-{os.getpid()}"
+        places, size = [0], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     where.create_dir(base, recursive=True)
                     out = where.open_output_stream(temporary, compression=None)
+                if size - places[-1] >= index_bytes:
+                    places.append(size)
                 data = record(*row)
                 if compress:
                     data = member(data)
                 out.write(data)
+                size += len(data)
                 n += 1
         if out is not None:
             out.close()
+            if len(places) > 1:
+                with where.open_output_stream(f"{temporary}.idx", compression=None) as index:
+                    index.write(struct.pack(f"<{len(places)}Q", *places))
+                where.move(f"{temporary}.idx", f"{base}/{name}.idx")
             where.move(temporary, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
@@ -109,10 +119,36 @@ def write_warc(pages: DataFrame, folder: str, repeated: DataFrame, compress: boo
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Parts of files: path, first byte and the byte after the last (None: to the end)."""
 
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    parts: list[tuple[str, int, int | None]]
+
+    def __init__(self, parts: list[tuple[str, int, int | None]]):
+        self.parts = parts
+
+
+class Part:
+    """The bytes of a file from ``start`` to ``end``, as a file of its own."""
+
+    def __init__(self, source: pa.NativeFile, start: int, end: int | None):
+        self.source, self.start, self.end, self.at = source, start, end, 0
+        if start:
+            source.seek(start)
+
+    def read(self, n: int) -> bytes:
+        data = self.source.read(n if self.end is None else max(0, min(n, self.end - self.start - self.at)))
+        self.at += len(data)
+        return data
+
+    def seek(self, at: int) -> None:
+        self.source.seek(self.start + at)
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+    def seekable(self) -> bool:
+        return self.source.seekable()
 
 
 class Stream:
@@ -198,7 +234,6 @@ class Stream:
                 raise ValueError("a record's block ends early")
         self.buffer = self.buffer[n:]
 
-
     def _drop(self) -> None:
         """Go to the member's end without inflating."""
         self.buffer, self.inflate = b"", None
@@ -212,13 +247,29 @@ class Stream:
         self.raw = self.raw[len(self.raw) - (self.at - self.end) :]
 
 
+def hex_digest(stated: str | None) -> str | None:
+    """A header's SHA-1, in base32 or in hexadecimal digits, as the latter; null for other algorithms and forms."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return (base64.b32decode(value.upper()) if len(value) == 32 else bytes.fromhex(value)).hex()
+    except ValueError:
+        return None
+
+
 def records(stream: Stream, wanted: dict[str, set], payload: bool) -> Iterator[tuple]:
-    """The records whose header columns have the wanted values, as COLUMNS."""
+    """The records whose header columns have the wanted values, as COLUMNS.
+
+    Fails on an archive that isn't one: no version line, no length of a block, or an end within a record.
+    """
     while (head := stream.until(b"\r\n\r\n")) is not None:
         lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace").lstrip()).split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("no WARC record where one must be")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not fields.get("content-length", "").isdecimal():
+            raise ValueError("a WARC record doesn't state the length of its block")
         size = int(fields["content-length"])
         row = {column: fields.get(name) for name, column in HEADERS.items()}
         if any(row[c] not in values for c, values in wanted.items()):
@@ -235,7 +286,7 @@ def records(stream: Stream, wanted: dict[str, set], payload: bool) -> Iterator[t
             body = stream.take(left)
             left = 0
         stream.skip(left + 4)
-        yield (*row.values(), size, http, body)
+        yield (*row.values(), hex_digest(row["payload_digest"]), size, http, body)
 
 
 class WarcReader(DataSourceReader):
@@ -246,13 +297,13 @@ class WarcReader(DataSourceReader):
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list) -> Iterator:
-        """Take equality and membership of header columns; hand the rest back."""
+        """Take equality and membership of header columns, which no null has; hand the rest back."""
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if name in HEADERS.values() and isinstance(f, (EqualTo, In)):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.wanted[name] = self.wanted.get(name, values) & values
-            elif not (name in ("record_type", "record_id") and isinstance(f, IsNotNull)):
+            else:
                 yield f
 
     def partitions(self) -> list[Files]:
@@ -260,27 +311,33 @@ class WarcReader(DataSourceReader):
         info = where.get_file_info(base)
         files = [info] if info.type == fs.FileType.File else [f for f in where.get_file_info(fs.FileSelector(base, allow_not_found=True)) if re.search(r"\.warc(\.gz)?$", f.base_name) and not f.base_name.startswith(("_", "."))]
         prefix = self.path[: len(self.path) - len(base)] if self.path.endswith(base) else ""
-        out: list[list[str]] = []
+        out: list[list[tuple[str, int, int | None]]] = []
         room = 0
         for f in sorted(files, key=lambda f: f.path):
-            if not out or room < f.size:
-                out.append([])
-                room = self.target
-            out[-1].append(prefix + f.path)
-            room -= f.size
-        return [Files(paths) for paths in out or [[]]]
+            places = [0]
+            if f.size > self.target and where.get_file_info(f"{f.path}.idx").type == fs.FileType.File:
+                with where.open_input_stream(f"{f.path}.idx", compression=None) as index:
+                    places = [x for (x,) in struct.iter_unpack("<Q", index.read())]
+            for start, end in zip(places, [*places[1:], None], strict=True):
+                size = (f.size if end is None else end) - start
+                if not out or room < size:
+                    out.append([])
+                    room = self.target
+                out[-1].append((prefix + f.path, start, end))
+                room -= size
+        return [Files(parts) for parts in out or [[]]]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        kinds = [*[pa.string()] * len(HEADERS), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [*[pa.string()] * (len(HEADERS) + 1), pa.int64(), pa.int64(), pa.binary()]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], COLUMNS)
 
-        for path in partition.paths:
+        for path, start, end in partition.parts:
             where, at = _open(path)
             rows, size = [], 0
             with where.open_input_file(at) as source:
-                for row in records(Stream(source, path.endswith(".gz")), self.wanted, self.payload):
+                for row in records(Stream(Part(source, start, end), path.endswith(".gz")), self.wanted, self.payload):
                     rows.append(row)
                     size += len(row[-1] or b"") + 200
                     if size > 4 << 20:
@@ -316,11 +373,10 @@ def page_digests(archive: DataFrame) -> DataFrame:
     whole = F.col("record_type") == "response"
     number = lambda c: F.regexp_extract(c, RECORD + r"(-?\d+)>", 1)
     as_long = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    stated = F.udf(lambda d: base64.b32decode(d.partition(":")[2]).hex() if d else None, "string", useArrow=True)
     return archive.select(
         as_long("record_id").alias("page_id"),
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
-        F.when(whole, F.sha1("payload")).otherwise(stated("payload_digest")).alias("payload_digest"),
+        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
         "record_type",
         as_long("refers_to").alias("refers_to"),
     )
