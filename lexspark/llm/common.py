@@ -29,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set(CHECKPOINT, found)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    # With its scheme: Python workers open it in the same store as Spark does.
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

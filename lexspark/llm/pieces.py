@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import kept, ragged, small_batches, string_bytes, text_slices
-from .tokens import ChunkTable
+from .tokens import CACHE_BYTES, ChunkTable
 
 MARK = "▁"
 
@@ -197,7 +197,7 @@ class Segmenter:
 
     def encode(self, column: pa.Array) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text its n best (score, ids); a null or empty text has the empty one alone."""
-        if self.table.n > self.most:
+        if self.table.n > self.most or self.table.long_bytes + self.pool.nbytes > CACHE_BYTES:
             self._clear()
         n = self.n
         raw, off = string_bytes(pa.array([f" {t}" if t else "" for t in column.to_pylist()], pa.string()))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import new_path, small_batches, text_slices
 from .tokens import ChunkEncoder
 
+FILE_TOKENS = 16 << 20  # after which a task begins another file
 MAGIC = b"LXTOK1\0"
 BLOCK = 8  # 64-bit words that share one sum
 
@@ -104,34 +105,48 @@ class EliasFano:
         return (high << self.bits) | low
 
 
-def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, width: int, nulls: int = 0) -> bytes:
-    """A token file of documents (``nulls`` without an id, then ids ascending) and their concatenated token ids."""
-    doc_ids = np.asarray(doc_ids, np.int64)
+def pieces_of(doc_ids: np.ndarray, lengths: np.ndarray, ids: list[np.ndarray], width: int, nulls: int = 0) -> Iterator[bytes]:
+    """The parts of a token file of documents (``nulls`` without an id, then ids ascending) and their token ids in pieces."""
+    doc_ids, total = np.asarray(doc_ids, np.int64), sum(map(len, ids))
     n, least = len(doc_ids), int(doc_ids[0]) if len(doc_ids) else 0
-    ends = EliasFano.encode(np.cumsum(lengths), len(ids) + 1)
+    ends = EliasFano.encode(np.cumsum(lengths), total + 1)
     universe = int(doc_ids[-1]) - least + 1 if n else 1
     keys = EliasFano.encode(doc_ids.view(np.uint64) - np.uint64(least & (2**64 - 1)), universe)
-    head = MAGIC + bytes([width]) + np.array([n + nulls, len(ids)], "<u8").tobytes() + bytes([ends.bits, keys.bits]) + bytes(6)
-    head += np.array([least], "<i8").tobytes() + np.array([universe, nulls], "<u8").tobytes()
-    return head + ends.bytes() + keys.bytes() + ids.astype(f"<u{width}").tobytes()
+    yield MAGIC + bytes([width]) + np.array([n + nulls, total], "<u8").tobytes() + bytes([ends.bits, keys.bits]) + bytes(6)
+    yield np.array([least], "<i8").tobytes() + np.array([universe, nulls], "<u8").tobytes()
+    yield ends.bytes()
+    yield keys.bytes()
+    for piece in ids:
+        yield piece.astype(f"<u{width}").tobytes()
 
 
 class TokenFile:
-    """A token file in memory: ``bounds(i)`` and ``ids(i)`` need no decoded table of offsets."""
+    """A token file: ``bounds(i)`` and ``ids(i)`` need no decoded table of offsets.
 
-    def __init__(self, data: bytes):
+    ``read(at, n)`` gives n bytes of it. Its boundaries are read at once, its ids when they are asked for.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        data = read(0, 56)
         if data[:7] != MAGIC:
             raise ValueError("not a token file")
-        self.width = data[7]
+        self.read, self.width = read, data[7]
         self.n, self.tokens = map(int, np.frombuffer(data, "<u8", 2, 8))
         self.least = int(np.frombuffer(data, "<i8", 1, 32)[0])
         universe, self.nulls = map(int, np.frombuffer(data, "<u8", 2, 40))
-        at, view, n = 56, memoryview(data), self.n - self.nulls
-        self.ends = EliasFano.decode(self.n, self.tokens + 1, view[at:])
-        at += sum(EliasFano.sizes(self.n, self.tokens + 1))
-        self.keys = EliasFano.decode(n, universe, view[at:])
-        at += sum(EliasFano.sizes(n, universe))
-        self.all_ids = np.frombuffer(data, f"<u{self.width}", self.tokens, at)
+        n = self.n - self.nulls
+        ends, keys = sum(EliasFano.sizes(self.n, self.tokens + 1)), sum(EliasFano.sizes(n, universe))
+        self.ends = EliasFano.decode(self.n, self.tokens + 1, read(56, ends))
+        self.keys = EliasFano.decode(n, universe, read(56 + ends, keys))
+        self.first = 56 + ends + keys
+
+    @classmethod
+    def of(cls, data: bytes) -> TokenFile:
+        return cls(lambda at, n: data[at : at + n])
+
+    def span(self, a: int, b: int) -> np.ndarray:
+        """The token ids from the a-th to before the b-th of the file."""
+        return np.frombuffer(self.read(self.first + a * self.width, (b - a) * self.width), f"<u{self.width}")
 
     def bounds(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         index = np.asarray(index, np.int64)
@@ -148,59 +163,75 @@ class TokenFile:
 
     def ids(self, i: int) -> np.ndarray:
         (a,), (b,) = self.bounds(np.array([i]))
-        return self.all_ids[a:b]
+        return self.span(int(a), int(b))
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, space: str = "drop", width: int = 2, files: int | None = None) -> DataFrame:
+MANIFEST = "part int, number int, path string, n_docs long, n_tokens long"
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, space: str = "drop", width: int = 2, files: int | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode (doc_id, text) and write token files to ``folder``; returns the manifest.
 
-    The manifest has a row per file: part int, path, n_docs, n_tokens long. Texts move
-    once, to range partitions of doc_id (nulls first), each of which becomes one
-    file. A null text is empty, each document ends with ``end_id``; repeated doc_ids
-    stay, ordered by text. Further columns are ignored; no rows give no files. A file is written under its attempt's name and then renamed, so a
-    task that runs again replaces it whole. ``width`` is the bytes of an id (2 below 65,536).
+    The manifest has a row per file: part and number int, path, n_docs, n_tokens long; files follow each other
+    by part and number. Texts move once, to range partitions of doc_id (nulls first) and, where many have
+    the same id or none, of their texts' hashes. A task begins another file once one has
+    ``file_tokens``, so it holds that many ids and one slice's, whatever its partition holds. A null
+    text is empty, each document ends with ``end_id``; repeated doc_ids stay, ordered by hash and text. Further
+    columns are ignored; no rows give no files. A file is written under its attempt's name and then renamed,
+    so a task that runs again replaces it whole. ``width`` is the bytes of an id (2 below 65,536).
     """
     spark = docs.sparkSession
     small_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.shared(tokenizer, space)
-        keys, ids, lengths, nulls = [], [], [], 0
+        part_number, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        where, base = _open(folder)
+        keys, ids, lengths, nulls, tokens, number = [], [], [], 0, 0, 0
+
+        def finish() -> pa.RecordBatch:
+            sizes = np.concatenate(lengths)
+            name = f"tokens-{part_number:06d}-{number:06d}.bin"
+            where.create_dir(base, recursive=True)
+            temporary = f"{base}/_{name}-{attempt}-{os.getpid()}"
+            with where.open_output_stream(temporary, compression=None) as out:
+                for piece in pieces_of(np.concatenate(keys), sizes, ids, width, nulls):
+                    out.write(piece)
+            where.move(temporary, f"{base}/{name}")
+            return pa.RecordBatch.from_pydict({"part": pa.array([part_number], pa.int32()), "number": pa.array([number], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([int(sizes.sum())], pa.int64())})
+
         for part in text_slices(batches, "text"):
             nulls += part.column("doc_id").null_count
             keys.append(part.column("doc_id").drop_null().to_numpy())
             found, at = encoder.encode(part.column("text"))
             ids.append(np.insert(found, at[1:], end_id).astype(f"<u{width}"))
             lengths.append(np.diff(at) + 1)
-        if not keys:
-            return
-        lengths = np.concatenate(lengths)
-        number, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        where, base = _open(folder)
-        where.create_dir(base, recursive=True)
-        with where.open_output_stream(f"{base}/_{number}-{attempt}-{os.getpid()}") as out:
-            out.write(to_bytes(np.concatenate(keys), lengths, np.concatenate(ids), width, nulls))
-        where.move(f"{base}/_{number}-{attempt}-{os.getpid()}", f"{base}/tokens-{number:06d}.bin")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "path": [f"{folder}/tokens-{number:06d}.bin"], "n_docs": pa.array([len(lengths)], pa.int64()), "n_tokens": pa.array([int(lengths.sum())], pa.int64())})
+            tokens += len(ids[-1])
+            if tokens >= file_tokens:
+                yield finish()
+                keys, ids, lengths, nulls, tokens, number = [], [], [], 0, 0, number + 1
+        if keys:
+            yield finish()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = rows.repartitionByRange(*([files] if files else []), order[0]).sortWithinPartitions(*order)
-    return dealt.mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    return dealt.mapInArrow(write, MANIFEST)
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Read token files back: doc_id, start, n_tokens, ids_crc32, one row per document.
 
-    The manifest has one row per file, so the sums of the files before are taken on the driver.
+    The manifest has one row per file, so the sums of the files before are taken on the driver. A
+    task reads a file's boundaries, then the ids of a range of documents at a time.
     """
     spark = manifest.sparkSession
     before, rows = 0, []
-    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
+    for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["number"])):
         rows.append((r["path"], before))
         before += r["n_tokens"]
 
@@ -208,14 +239,15 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 where, at = _open(path)
-                with where.open_input_stream(at) as source:
-                    file = TokenFile(source.read())
-                for low in range(0, file.n, 50_000):
-                    index = np.arange(low, min(file.n, low + 50_000))
-                    start, end = file.bounds(index)
-                    crc = [zlib.crc32(file.all_ids[a:b].astype("<u4")) for a, b in zip(start, end, strict=True)]
-                    keys = file.doc_ids(index)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.filled(0), pa.int64(), mask=np.ma.getmaskarray(keys)), pa.array(start + base), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                with where.open_input_file(at) as source:
+                    file = TokenFile(lambda at, n: source.read_at(n, at))  # noqa: B023
+                    for low in range(0, file.n, 10_000):
+                        index = np.arange(low, min(file.n, low + 10_000))
+                        start, end = file.bounds(index)
+                        ids = file.span(int(start[0]), int(end[-1])).astype("<u4")
+                        crc = [zlib.crc32(ids[a:b]) for a, b in zip((start - start[0]).tolist(), (end - start[0]).tolist(), strict=True)]
+                        keys = file.doc_ids(index)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.filled(0), pa.int64(), mask=np.ma.getmaskarray(keys)), pa.array(start + base), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:

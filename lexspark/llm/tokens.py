@@ -21,6 +21,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Fixed by Unicode: white space other than ASCII's, and four control characters, in UTF-8.
 ODD_SPACE = rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 CACHE_ENTRIES = 1_000_000
+CACHE_BYTES = 64 << 20  # of long chunks and of ids; what one call adds comes on top
 _FIRST_BYTES = (np.uint64(1) << (np.arange(9, dtype=np.uint64) * np.uint64(8) % np.uint64(64))) - np.uint64(1)
 _FIRST_BYTES[8] = np.uint64(2**64 - 1)
 
@@ -56,6 +57,7 @@ class ChunkTable:
         self.slots = np.full(self.mask + 1, -1, np.int32)
         self.words = np.zeros((4, 1 << 14), np.uint64)
         self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
         self.n = 0
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -116,6 +118,7 @@ class ChunkTable:
             if (at := self.long.get(text)) is None:
                 self._grow(1)
                 at = self.long[text] = self.n
+                self.long_bytes += len(text) + 128
                 self.n += 1
                 new.append(text)
             out[i] = at
@@ -129,11 +132,11 @@ class ChunkTable:
 class ChunkEncoder:
     """Ids of whole texts through a bounded cache of chunks.
 
-    ``space`` says what the vocabulary does with white space ("drop" or "keep"). A full cache
-    starts anew between two calls, so memory stays bounded and results don't depend on it.
+    ``space`` says what the vocabulary does with white space ("drop" or "keep"). A cache that is full, by
+    entries or by bytes, starts anew between two calls, so memory stays bounded and results don't depend on it.
     """
 
-    def __init__(self, path: str, space: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, space: str, entries: int = CACHE_ENTRIES, most_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -144,7 +147,7 @@ class ChunkEncoder:
         self.suspect = np.zeros(256, bool)
         self.suspect[odd] = True
         self.keep = space == "keep"
-        self.entries = entries
+        self.entries, self.most_bytes = entries, most_bytes
         self.table = ChunkTable()
         self._clear()
 
@@ -170,7 +173,7 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids in one array of uint32, and where each text's ids start in it; a null is empty."""
-        if self.table.n > self.entries:
+        if self.table.n > self.entries or self.table.long_bytes + self.pool.nbytes > self.most_bytes:
             self._clear()
         raw, off = string_bytes(column)
         starts, ends = chunk_bounds(raw, off, self.keep)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, ragged, small_batches, string_bytes, text_slices
-from .tokens import ChunkTable
+from .tokens import CACHE_BYTES, ChunkTable
 
 BITS = 22
 LETTER = np.zeros(256, bool)
@@ -81,7 +81,7 @@ class Words:
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature) pairs, each once, ordered by text."""
-        if self.table.n > self.most:
+        if self.table.n > self.most or self.table.long_bytes + self.flat.nbytes > CACHE_BYTES:
             self._clear()
         lower = pa.array([t.lower() if t else "" for t in column.to_pylist()], pa.string())
         raw, off = string_bytes(lower)

@@ -1,5 +1,6 @@
 """The operators' array code against brute force, without Spark."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -61,11 +62,23 @@ def test_elias_fano(n, universe):
         assert len(data) * 8 <= n * (3 + np.log2(max(2, universe / n))) + 128
 
 
+def test_caches_are_bounded_in_bytes():
+    """Text without white space has chunks as long as itself: the cache lets go of them."""
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder = ChunkEncoder(path, "drop", most_bytes=1 << 20)
+    r = random.Random(9)
+    for _ in range(12):
+        batch = ["".join(map(chr, r.choices(range(0x4E00, 0x9FFF), k=20_000))) for _ in range(4)]
+        ids, at = encoder.encode(pa.array(batch))
+        assert encoder.table.long_bytes + encoder.pool.nbytes < 6 << 20
+    assert ids[at[3] : at[4]].tolist() == encoder.lib.encode(batch[3], add_special_tokens=False).ids
+
+
 def test_token_file():
     r = np.random.default_rng(2)
     keys, lengths = np.sort(r.integers(-50, 10**9, 300)), r.integers(1, 40, 300)
     ids = r.integers(0, 49_000, lengths.sum())
-    file = token_store.TokenFile(token_store.to_bytes(keys, lengths, ids, 2))
+    file = token_store.TokenFile.of(b"".join(token_store.pieces_of(keys, lengths, [ids[:100], ids[100:]], 2)))
     start, end = file.bounds(np.arange(300))
     assert (end - start == lengths).all() and (file.doc_ids(np.arange(300)) == keys).all() and (file.ids(7) == ids[start[7] : end[7]]).all()
 
@@ -476,6 +489,20 @@ def test_warc_skips_members_undecoded(seekable, monkeypatch):
     assert [r[1] for r in warc.records(warc.Stream(source, True), wanted, True)] == [f"<{warc.RECORD}2>"] and inflated < 4 * (1 << 16) + 4000
 
 
+def test_warc_foreign_records():
+    class Source(io.BytesIO):
+        pass
+
+    head = b"WARC/1.0\r\nWARC-Type: metadata\r\n"
+    with pytest.raises(ValueError, match="length"):
+        list(warc.records(warc.Stream(Source(head + b"\r\n"), False), {}, True))
+    data = head + b"Content-Length: 3\r\n\r\nabc\r\n\r\n" + b"WARC/1.0\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    rows = [dict(zip(warc.COLUMNS, r, strict=True)) for r in warc.records(warc.Stream(Source(data), False), {}, True)]
+    assert [(r["record_type"], r["record_id"], r["payload"], r["payload_sha1"]) for r in rows] == [("metadata", None, b"abc", None), (None, None, b"", None)]
+    digest = hashlib.sha1(b"x").hexdigest()
+    assert warc.hex_digest("sha1:" + digest.upper()) == digest == warc.hex_digest("SHA1:" + base64.b32encode(bytes.fromhex(digest)).decode()) and warc.hex_digest("sha1:?") is None
+
+
 def test_warc_stream():
     class Source:
         def __init__(self, data):

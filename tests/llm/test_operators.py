@@ -258,6 +258,34 @@ def test_warc_repeated_ids_keep_their_payloads(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(5, da, 9), (5, db, 8), (9, da, None), (8, db, None)], key=str)
 
 
+def test_warc_splits_large_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 3000) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.register(spark)
+    for compress in (True, False):
+        folder = f"{tmp_path}/{compress}"
+        warc.write_warc(pages, folder, warc.revisits(pages), compress, index_bytes=2000).collect()
+        archive = spark.read.format("warc").option("partitionBytes", "5000").load(folder)
+        assert archive.rdd.getNumPartitions() > 3
+        assert sorted(r["page_id"] for r in warc.page_digests(archive).collect()) == list(range(60))
+        assert archive.where("record_id = '<urn:lexspark:page:31>' AND payload IS NOT NULL").count() == 1
+
+
+def test_warc_nulls_of_foreign_headers(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n" + b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    warc.register(spark)
+    archive = spark.read.format("warc").load(f"{tmp_path}")
+    assert archive.count() == 2 and archive.where("record_type IS NOT NULL").count() == 1 and archive.where("record_id IS NOT NULL").count() == 0
+
+
+def test_token_files_are_bounded(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i} " * 50) for i in range(200)], "doc_id long, text string")
+    manifest = token_store.write_tokens(docs, token_store.token_folder(docs), queries.tokenizer_path("word_bpe_49k.json"), 2, files=4, file_tokens=500).collect()
+    assert len({r["part"] for r in manifest}) > 2  # rows without an id, or of one id, are in several partitions
+    assert sum(r["n_docs"] for r in manifest) == 200
+    rows = token_store.read_tokens(spark.createDataFrame(manifest, token_store.MANIFEST)).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 100 + [7] * 100 and rows[-1]["start"] + rows[-1]["n_tokens"] == sum(r["n_tokens"] for r in manifest)
+
+
 def test_pipeline(spark, sf, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, now, seen = docs.columns, docs, [docs.count()]
