@@ -5,8 +5,8 @@ coefficient arrays: spectral selection says which band of a block, successive ap
 which bit. Runs of ended blocks are refined all at once, and scans whose codes and extra bits are
 of one total length (their tables say so) are read as arrays; everything else goes bit by bit.
 
-The encoder stores any bytes losslessly in the format's own unit, the quantised coefficient: 192
-bytes are the three components' 64 coefficients of one 8 x 8 block. Byte b becomes b, or b - 255
+The encoder stores any bytes losslessly in the format's own unit, the quantised coefficient: 64
+bytes are one component's coefficients of one 8 x 8 block. Byte b becomes b, or b - 255
 below 128, so every magnitude is 128 to 255 and its sign and low bits are b's. It writes a DC scan
 and two bands of AC scans without the last bit, then the scans that refine it.
 """
@@ -21,6 +21,7 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import kept, small_batches, text_slices
 
@@ -38,6 +39,10 @@ class BadImage(ValueError):
     """The bytes are no image that this module reads."""
 
 
+#: What a damaged file leads to.
+UNREADABLE = (BadImage, IndexError, struct.error, KeyError, ValueError, StopIteration, AttributeError, TypeError)
+
+
 def payload(text: str | None) -> tuple[bytes, int]:
     """A text's UTF-8 bytes, filled with spaces to a positive multiple of 192, and their number before."""
     raw = (text or "").encode()
@@ -78,38 +83,65 @@ END_TABLE = {4: [n << 4 for n in range(15)]}
 MAX_RUN = 32767
 
 
-def encode(data: bytes) -> bytes:
-    """A progressive JPEG whose coefficients are ``data`` (a positive multiple of 192 bytes)."""
+def _planes(data: bytes, subsampled: bool) -> list[Component]:
+    """The components whose coefficients are ``data``, filled with 32 to a whole image.
+
+    At full size the blocks of 64 bytes go to the three components in turn. Subsampled, four of six are luma
+    and the first two thirds of the bytes (of the filled payload), the others are one of each chroma.
+    """
+    blocks = np.frombuffer(data, np.uint8).reshape(-1, 64)
+    each = 6 if subsampled else 3
+    units = -(-len(blocks) // each)
+    across = -(-units // 4095)
+    units = across * -(-units // across)
+    filled = np.full((each * units, 64), 32, np.uint8)
+    filled[: len(blocks)] = blocks
+    parts = np.split(filled, [4 * units, 5 * units]) if subsampled else list(filled.reshape(-1, 3, 64).swapaxes(0, 1))
+    found = []
+    for i, part in enumerate(parts):
+        n = 2 if subsampled and not i else 1
+        values = part.astype(np.int32)
+        values -= np.where(values < 128, 255, 0)
+        found.append(Component(i + 1, n, n, 0, n * across, n * units // across, n * across, n * units // across, values))
+    return found
+
+
+def encode(data: bytes, subsampled: bool = False) -> bytes:
+    """A progressive JPEG whose coefficients are ``data`` (a positive multiple of 192 bytes).
+
+    ``subsampled``: with two chroma planes of half the width and height.
+    """
     if not data or len(data) % UNIT:
         raise ValueError("the payload must be a positive multiple of 192 bytes")
-    blocks = np.frombuffer(data, np.uint8).reshape(-1, 3, 64)
-    across = -(-len(blocks) // 8191)
-    down = -(-len(blocks) // across)
-    if across * down > len(blocks):
-        blocks = np.concatenate([blocks, np.full((across * down - len(blocks), 3, 64), 32, np.uint8)])
+    units = _planes(data, subsampled)
     out = [b"\xff\xd8", _segment(0xFE, b"payload %d" % len(data)), _segment(0xDB, b"\0" + b"\1" * 64)]
-    out.append(_segment(0xC2, struct.pack(">BHHB", 8, 8 * down, 8 * across, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0])))
+    out.append(_segment(0xC2, struct.pack(">BHHB", 8, 8 * units[0].down, 8 * units[0].across, 3) + bytes(x for c in units for x in (c.number, c.h << 4 | c.v, 0))))
     out += [_huffman(0x00, DC_TABLE), _huffman(0x10, AC_TABLE)]
-    dc = blocks[:, :, 0].astype(np.int32)
-    dc -= np.where(dc < 128, 255, 0)
-    diff = np.diff(dc >> 1, axis=0, prepend=0).ravel()
+    which, block = _order(units)
+    dc, diff = np.zeros(len(which), np.int32), np.zeros(len(which), np.int32)
+    for i, c in enumerate(units):
+        mine = which == i
+        dc[mine] = c.coefficients[block[mine], 0]
+        diff[mine] = np.diff(dc[mine] >> 1, prepend=0)
     size = np.frexp(np.abs(diff).astype(np.float64))[1]
     extra = np.where(diff < 0, diff + (1 << size) - 1, diff)
     code = (1 << (9 - size)) - 2  # of 9 - size bits: ones, then a zero
     out.append(_scan([1, 2, 3], 0, 0, 0, 1, _packed(_bits((code << size) | extra, 9).ravel())))
+    raw = [(c.coefficients & 255).astype(np.uint8) for c in units]  # value + 256 for negative ones
+    raw = [np.where(c.coefficients < 0, x - 1, x).astype(np.uint8) for x, c in zip(raw, units, strict=True)]
     for a, b in BANDS:
-        for c in range(3):
-            out.append(_scan([c + 1], a, b, 0, 1, (blocks[:, c, a : b + 1] >> 1).tobytes()))
-    out.append(_scan([1, 2, 3], 0, 0, 1, 0, _packed((dc & 1).astype(np.uint8).ravel())))
+        for c, x in zip(units, raw, strict=True):
+            out.append(_scan([c.number], a, b, 0, 1, (x[:, a : b + 1] >> 1).tobytes()))
+    out.append(_scan([1, 2, 3], 0, 0, 1, 0, _packed((dc & 1).astype(np.uint8))))
     out.append(_huffman(0x10, END_TABLE))
-    low = (blocks ^ (blocks >> 7) ^ 1) & 1  # the last bit of the magnitude
-    for c in range(3):
+    for c, x in zip(units, raw, strict=True):
+        low = (x ^ (x >> 7) ^ 1) & 1  # the last bit of the magnitude
         bits = []
-        for at in range(0, len(blocks), MAX_RUN):
-            run = min(MAX_RUN, len(blocks) - at)
+        for at in range(0, len(low), MAX_RUN):
+            run = min(MAX_RUN, len(low) - at)
             n = run.bit_length() - 1
-            bits += [_bits(np.array([n]), 4).ravel(), _bits(np.array([run - (1 << n)]), n).ravel(), low[at : at + run, c, 1:].ravel()]
-        out.append(_scan([c + 1], 1, 63, 1, 0, _packed(np.concatenate(bits))))
+            bits += [_bits(np.array([n]), 4).ravel(), _bits(np.array([run - (1 << n)]), n).ravel(), low[at : at + run, 1:].ravel()]
+        out.append(_scan([c.number], 1, 63, 1, 0, _packed(np.concatenate(bits))))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -209,7 +241,8 @@ class Image:
     def payload(self) -> bytes:
         """The bytes that ``encode`` stored."""
         size = int(self.comment.removeprefix(b"payload "))
-        values = np.stack([c.coefficients for c in self.components], axis=1)
+        planes = [c.coefficients for c in self.components]
+        values = np.concatenate(planes) if len({len(p) for p in planes}) > 1 else np.stack(planes, axis=1)
         return (values + np.where(values < 0, 255, 0)).astype(np.uint8).tobytes()[:size]
 
     def rgb(self) -> np.ndarray:
@@ -358,19 +391,28 @@ def _order(units: list[Component]) -> np.ndarray:
     """Component and block of each block of a scan, in the order in which they are coded."""
     if len(units) == 1:
         return np.stack([np.zeros(len(units[0].own), np.int64), units[0].own])
-    if all(c.h == c.v == 1 for c in units):
-        n = units[0].across * units[0].down
-        return np.stack([np.tile(np.arange(len(units)), n), np.repeat(np.arange(n), len(units))])
+    shape = tuple((c.h, c.v, c.across, c.down) for c in units)
+    return (_small_order if sum(c.across * c.down for c in units) <= 4096 else _unit_order)(shape)
+
+
+def _unit_order(shape: tuple[tuple[int, int, int, int], ...]) -> np.ndarray:
+    """The order of several components' (h, v, across, down) blocks: unit by unit."""
+    if all(h == v == 1 for h, v, _, _ in shape):
+        n = shape[0][2] * shape[0][3]
+        return np.stack([np.tile(np.arange(len(shape)), n), np.repeat(np.arange(n), len(shape))])
     parts = []
-    for i, c in enumerate(units):
-        y, x = np.divmod(np.arange(c.across * c.down), c.across)
-        unit = (y // c.v) * (c.across // c.h) + x // c.h
-        parts.append(np.stack([unit, np.full(len(x), i), y % c.v * c.h + x % c.h, np.arange(len(x))]))
+    for i, (h, v, across, down) in enumerate(shape):
+        y, x = np.divmod(np.arange(across * down), across)
+        unit = (y // v) * (across // h) + x // h
+        parts.append(np.stack([unit, np.full(len(x), i), y % v * h + x % h, np.arange(len(x))]))
     rows = np.concatenate(parts, axis=1)
     rows = rows[:, np.lexsort(rows[2::-1])]
     return rows[[1, 3]]
 
 
+_small_order = lru_cache(512)(_unit_order)
+
+
 def decode(data: bytes) -> Image:
     """Parse a file into coefficient arrays; raises BadImage where it isn't one."""
     if data[:2] != b"\xff\xd8":
@@ -451,8 +493,8 @@ def _one_scan(image: Image, head: bytes, data: bytes, tables: dict[int, Table],
 # -- columns ----------------------------------------------------------------------------------
 
 
-def store_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes long, media binary): each row's text as a progressive JPEG.
+def store_texts(docs: DataFrame, key: str = "doc_id", subsampled: bool = True) -> DataFrame:
+    """(key, n_bytes long, media binary): each row's text as a progressive JPEG (see ``encode``).
 
     A null text is empty. Equal or null keys stay as rows; further columns are ignored.
     """
@@ -462,49 +504,54 @@ def store_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         kept("jpeg", dict)
         for part in text_slices(batches, "text", 2 << 20):
             data = [payload(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array([n for _, n in data], pa.int64()), pa.array([encode(p) for p, _ in data], pa.binary())], [key, "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array([n for _, n in data], pa.int64()), pa.array([encode(p, subsampled) for p, _ in data], pa.binary())], [key, "n_bytes", "media"])
 
     rows = docs.selectExpr(f"cast({key} as long) {key}", "cast(text as string) text")
     return rows.mapInArrow(run, f"{key} long, n_bytes long, media binary")
 
 
-def load_images(media: DataFrame, column: str = "media") -> DataFrame:
+def load_images(media: DataFrame, column: str = "media", details: bool = False) -> DataFrame:
     """``media`` with width, height int and rgb binary (height x width x 3 samples) of each image.
 
-    Null where the bytes are null or no image that can be read.
+    With ``details`` also payload binary, the bytes that ``encode`` stored, and means array<double>, of the
+    channels. Null where the bytes are null or no image that can be read (or hold no payload).
     """
-    names = [f for f in media.schema.names if f not in ("width", "height", "rgb")]
+    extra = {"width": pa.int32(), "height": pa.int32(), "rgb": pa.binary()} | ({"payload": pa.binary(), "means": pa.list_(pa.float64())} if details else {})
+    names = [f for f in media.schema.names if f not in extra]
     own = media.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, column, 2 << 20):
+        for part in text_slices(batches, column, 1 << 20):
             rows: list[tuple] = []
             for data in part.column(column).to_pylist():
                 try:
-                    tensor = decode(data or b"").rgb()
-                    rows.append((tensor.shape[1], tensor.shape[0], tensor.tobytes()))
-                except (BadImage, IndexError, struct.error, KeyError, ValueError):
-                    rows.append((None, None, None))
-            w, h, rgb = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(rgb, pa.binary())], [*names, "width", "height", "rgb"])
+                    image = decode(data or b"")
+                    tensor = image.rgb()
+                    more = (image.payload(), tensor.reshape(-1, 3).mean(0).tolist()) if details else ()
+                    rows.append((tensor.shape[1], tensor.shape[0], tensor.tobytes(), *more))
+                except UNREADABLE:
+                    rows.append((None,) * len(extra))
+            yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), extra.values(), strict=True)]], [*names, *extra])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "width int, height int, rgb binary"])
-    return own.mapInArrow(run, schema)
+    what = "width int, height int, rgb binary" + ", payload binary, means array<double>" * details
+    return own.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), what]))
 
 
-def digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digest columns of stored texts, each read back from its image: payload, stored form, RGB feature."""
-    import hashlib
-    import zlib
+def digest(images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Digest columns of stored texts (key, n_bytes, media, and what ``load_images`` adds with details).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "media", 2 << 20):
-            rows = []
-            for data in part.column("media").to_pylist():
-                image = decode(data)
-                back, tensor = image.payload(), image.rgb()
-                sums = tensor.reshape(-1, 3).sum(0, dtype=np.int64)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{image.width}x{image.height}:" + ",".join(f"{s / tensor[..., 0].size:.4f}" for s in sums)))
-            yield pa.RecordBatch.from_arrays([part.column(key), part.column("n_bytes"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInArrow(run, f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    The feature, of the RGB column, is the tensor's shape, the means of its channels and a digest of all
+    samples. Rows without an image that can be read have nulls.
+    """
+    there = F.col("payload").isNotNull()
+    means = F.array_join(F.transform("means", lambda x: F.format_number(x, 4)), ",")
+    return images.select(
+        key,
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.when(there, F.octet_length("media").cast("long")).alias("media_bytes"),
+        F.when(there, F.sha2("media", 256)).alias("media_sha256"),
+        F.when(there, F.concat(F.concat_ws("x", "height", "width", F.lit(3)), F.lit(":"), means, F.lit(":"), F.lower(F.hex(F.crc32("rgb"))))).alias("feature"),
+    )

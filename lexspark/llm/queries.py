@@ -103,9 +103,10 @@ def op9_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jpeg import digest, store_texts
+    """Store texts as images with halved chroma, load their RGB tensors as a column, and digest both."""
+    from .jpeg import digest, load_images, store_texts
 
-    return digest(store_texts(table(spark, sf_dir, "documents")))
+    return digest(load_images(store_texts(table(spark, sf_dir, "documents")), details=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

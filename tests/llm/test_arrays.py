@@ -321,10 +321,15 @@ def test_progressive_scans(sampling):
 def test_media_round_trip():
     for t in [*ODD, *texts(9, 20, 400), "ÿþ" * 3000]:
         data, n = jpeg.payload(t)
+        half = jpeg.decode(jpeg.encode(data, subsampled=True))
+        assert half.payload() == data and [(c.h, c.v) for c in half.components] == [(2, 2), (1, 1), (1, 1)]
+        luma, *chroma = [(c.coefficients.astype(np.float32) @ jpeg.IDCT).reshape(c.down, c.across, 8, 8).swapaxes(1, 2).reshape(8 * c.down, 8 * c.across) for c in half.components]
+        red = np.clip(luma + 128.5 + 1.402 * np.kron(chroma[1], np.ones((2, 2))), 0, 255)
+        assert half.rgb().shape == (*luma.shape, 3) and np.abs(half.rgb()[..., 0] - np.floor(red)).max() <= 1
         image = jpeg.decode(jpeg.encode(data))
         assert image.payload() == data and n == len((t or "").encode()) and len(data) % 192 == 0 and data
     big = np.random.default_rng(1).integers(0, 256, 192 * 9000, dtype=np.uint8).tobytes()
-    assert jpeg.decode(jpeg.encode(big)).payload() == big
+    assert jpeg.decode(jpeg.encode(big)).payload() == jpeg.decode(jpeg.encode(big, subsampled=True)).payload() == big
     for broken in (b"", b"\xff\xd8", jpeg.encode(bytes(192))[:200], b"GIF89a" * 9):
         with pytest.raises((jpeg.BadImage, IndexError)):
             jpeg.decode(broken)

@@ -183,14 +183,17 @@ def test_quality(spark, sf, hard, empty):
 
 
 def test_media(spark, hard, empty):
-    got = jpeg.digest(jpeg.store_texts(hard)).collect()
-    assert len(got) == len(HARD)
+    got = jpeg.digest(jpeg.load_images(jpeg.store_texts(hard), details=True)).collect()
+    full = {(r["doc_id"], r["payload_sha256"]) for r in jpeg.digest(jpeg.load_images(jpeg.store_texts(hard, subsampled=False), details=True)).collect()}
+    assert len(got) == len(HARD) and full == {(r["doc_id"], r["payload_sha256"]) for r in got}
+    bad = spark.createDataFrame([(99, 1, b"no image"), (98, 1, None), (97, 1, jpeg.encode(b"x" * 192)[:200])], "doc_id long, n_bytes long, media binary")
+    assert [r["payload_sha256"] for r in jpeg.digest(jpeg.load_images(bad, details=True)).collect()] == [None] * 3
     for r in got:
         candidates = [jpeg.payload(x[1]) for x in HARD if x[0] == r["doc_id"]]
         assert any(hashlib.sha256(p).hexdigest() == r["payload_sha256"] and n == r["n_bytes"] and len(p) == r["payload_bytes"] and zlib.crc32(p[-16:]) == r["tail_crc32"] for p, n in candidates)
     images = jpeg.load_images(jpeg.store_texts(hard).union(spark.createDataFrame([(99, 1, b"no image"), (98, 1, None)], "doc_id long, n_bytes long, media binary"))).collect()
     assert all((len(r["rgb"]) == r["width"] * r["height"] * 3) if r["doc_id"] not in (98, 99) else r["rgb"] is None for r in images)
-    assert jpeg.digest(jpeg.store_texts(empty)).count() == 0
+    assert jpeg.digest(jpeg.load_images(jpeg.store_texts(empty), details=True)).count() == 0
 
 
 def test_toxicity(spark, hard, empty):
