@@ -5,6 +5,10 @@ classifier g is p E+[l(g)] + max(0, E*[l(-g)] - p E+[l(-g)]), where E+ averages
 texts and E* over unlabelled ones. The second term estimates the risk on clean texts; where a
 batch makes it negative (overfitting), the step goes the other way. The model is linear in the
 presence of words and their prefixes and suffixes, with logistic loss, trained in NumPy.
+
+The prior is a parameter. Without one it is estimated from the same two samples: no feature is in less than
+p times its share of confirmed texts among all texts, so the least ratio of the two shares bounds p
+from above, and reaches it if some feature is in no clean text. No text that is labelled clean is read.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ragged, small_batches, string_bytes, text_slices
+from .common import kept, materialize, ragged, small_batches, string_bytes, text_slices
 from .tokens import CACHE_BYTES, ChunkTable
 
 BITS = 22
@@ -28,11 +32,14 @@ LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """``most_positive`` and ``most_unlabelled`` bound the texts that a model is fitted on; those
-    with the smallest hash of their id are taken. ``features`` bounds the model."""
+    """``most_positive`` and ``most_unlabelled`` bound the texts that a model is fitted on, and
+    ``most_pairs`` their features in all (four bytes each); those with the smallest hash of their id
+    are taken. ``features`` bounds the model. ``prior`` is the share of toxic texts, if it is known."""
 
     most_positive: int = 3000
     most_unlabelled: int = 6000
+    most_pairs: int = 16_000_000
+    prior: float | None = None
     features: int = 1024
     least_positive: int = 3
     folds: int = 5
@@ -108,6 +115,7 @@ def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
     p, u = count(positive), count(unlabelled)
     a, b = p / max(1, len(positive)), u / max(1, len(unlabelled))
     clean = np.maximum(b - prior * a, 0) / (1 - prior)
+    clean = np.minimum(clean, 1)
     spread = np.sqrt((a * (1 - a) + 1e-9) / max(1, len(positive)) + (clean * (1 - clean) + 1.0 / max(1, len(unlabelled))) / max(1, len(unlabelled)))
     score = np.where((p >= settings.least_positive) & (a > 2 * clean), (a - clean) / spread, 0)
     best = np.argsort(-score, kind="stable")[: settings.features]
@@ -129,6 +137,40 @@ class Rows:
         return np.bincount(self.feature, weights[self.text], k)
 
 
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 0.1) -> float:
+    """The share of positive texts among the unlabelled ones, from the features of both.
+
+    That is the least upper confidence bound (two standard errors) of the ratio of a feature's shares, over
+    the features of at least a ``least`` share of positive texts, and five of them.
+    """
+    count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=1 << BITS)
+    n, m = max(1, len(positive)), max(1, len(unlabelled))
+    p, u = count(positive), count(unlabelled)
+    some = np.flatnonzero(p >= max(5, least * n))
+    if not len(some):
+        return 0.5
+    a, b = p[some] / n, (u[some] + 1) / (m + 1)
+    ratio = b / a
+    error = ratio * np.sqrt((1 - b) / (b * m) + (1 - a) / (a * n))
+    return float(np.clip((ratio + 2 * error).min(), 1e-4, 0.95))
+
+
+def risk(theta: np.ndarray, positive: Rows, unlabelled: Rows, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of weights and bias: risk on positive texts, estimated risk on clean texts, and the gradients of both."""
+    k = len(theta) - 1
+    up = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    gp, gu = positive.times(theta) + theta[k], unlabelled.times(theta) + theta[k]
+    clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    dp, du = prior * up(gp) / positive.n, up(gu) / unlabelled.n  # of l(-g)
+    d = prior * (up(gp) - 1) / positive.n  # of l(g)
+    return (
+        float(prior * np.logaddexp(0, -gp).mean()),
+        float(clean),
+        np.append(positive.back(d, k), d.sum()),
+        np.append(unlabelled.back(du, k) - positive.back(dp, k), du.sum() - dp.sum()),
+    )
+
+
 def fit(positive: Rows, unlabelled: Rows, k: int, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with Adam.
 
@@ -137,17 +179,9 @@ def fit(positive: Rows, unlabelled: Rows, k: int, prior: float, settings: Settin
     """
     theta, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     theta[k] = np.log(prior / (1 - prior))
-    up = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(settings.epochs):
-        gp, gu = positive.times(theta) + theta[k], unlabelled.times(theta) + theta[k]
-        clean_risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        dp, du = prior * up(gp) / len(gp), up(gu) / len(gu)  # of l(-g)
-        gradient = np.append(unlabelled.back(du, k) - positive.back(dp, k), du.sum() - dp.sum())
-        if clean_risk < -settings.beta:
-            gradient *= -settings.gamma
-        else:
-            d = prior * (up(gp) - 1) / len(gp)  # of l(g)
-            gradient += np.append(positive.back(d, k), d.sum())
+        _, clean_risk, toxic, clean = risk(theta, positive, unlabelled, prior)
+        gradient = -settings.gamma * clean if clean_risk < -settings.beta else toxic + clean
         gradient[:k] += settings.decay * theta[:k]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= settings.rate * (m / (1 - 0.9 ** (t + 1))) / (np.sqrt(v / (1 - 0.999 ** (t + 1))) + 1e-8)
@@ -158,40 +192,60 @@ def held_out(folds: int, key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def _smallest(ids: DataFrame, n: int) -> DataFrame:
+    """The n different doc_ids with the smallest hashes.
+
+    Only hashes below a bound that some four times as many meet are told apart and sorted; if that
+    leaves fewer than n, as where ids repeat, all are.
+    """
+    hashed = ids.select("doc_id", F.xxhash64("doc_id").alias("hash"))
+    share = min(1.0, 4 * n / max(1, ids.count()))
+    first = lambda rows: rows.distinct().orderBy("hash", "doc_id").limit(n).select("doc_id")
+    some = first(hashed.where(F.col("hash") <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64)))))
+    return some if share == 1 or some.count() == n else first(hashed)
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Fit a model on texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) confirms as toxic.
 
-    Rows whose crc32(doc_id) mod folds is 0 are never used. The prior is the share of toxic labels. Without a
-    confirmed text the model scores every text near 0. Only feature numbers come to the
-    driver, of at most most_positive + most_unlabelled texts.
+    Rows whose crc32(doc_id) mod folds is 0 are never used, and of the labels only those that say toxic. Without a
+    confirmed text the model scores every text near 0. Only feature numbers come to the driver, of
+    at most most_positive + most_unlabelled texts, and most_pairs of them.
     """
     settings = settings or Settings()
     spark = docs.sparkSession
     small_batches(spark)
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(settings.folds))
-    total, toxic = marked.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("int"))).first()
-    if not toxic:
-        return Model()
-    prior = min(0.95, max(1e-4, toxic / total))
+    toxic = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic = 1").where(~held_out(settings.folds))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").where(~held_out(settings.folds))
-    pick = lambda ids, n: ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = pick(marked.where("toxic = 1").join(rows.select("doc_id"), "doc_id", "left_semi"), settings.most_positive).withColumn("kind", F.lit(1))
-    chosen = chosen.union(pick(rows, settings.most_unlabelled).withColumn("kind", F.lit(0)))
-    texts = rows.join(F.broadcast(chosen), "doc_id").select("kind", "text")
+    chosen = _smallest(rows.select("doc_id").join(toxic, "doc_id", "left_semi"), settings.most_positive).withColumn("kind", F.lit(1))
+    chosen = chosen.union(_smallest(rows.select("doc_id"), settings.most_unlabelled).withColumn("kind", F.lit(0)))
+    texts = rows.join(F.broadcast(chosen), "doc_id").select("kind", F.xxhash64("doc_id").alias("hash"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept("words", Words)
         for part in text_slices(batches, "text", 2 << 20):
             text, feature = words.of(part.column("text"))
             ends = np.searchsorted(text, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column("kind"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))], ["kind", "features"])
-
-    sample = texts.mapInArrow(run, "kind int, features array<int>").toArrow().combine_chunks()
-    kind, lists = sample.column("kind").to_numpy(), sample.column("features").combine_chunks() if sample.num_rows else None
-    if lists is None or not (kind == 1).any() or not (kind == 0).any():
+            yield pa.RecordBatch.from_arrays([part.column("kind"), part.column("hash"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))], ["kind", "hash", "features"])
+
+    sample = materialize(texts.mapInArrow(run, "kind int, hash long, features array<int>"), "sample")
+    # Repeated ids bring all their rows, and texts may be long: what comes to the driver is cut by hash.
+    sizes = sample.groupBy("kind", "hash").agg(F.sum(F.size("features")).alias("n"))
+    upto = {}
+    for kind in (0, 1):
+        own, total, upto[kind] = sizes.where(F.col("kind") == kind).orderBy("hash").limit(settings.most_unlabelled + settings.most_positive).collect(), 0, None
+        for r in own:
+            if (total := total + r["n"]) > settings.most_pairs // 2:
+                break
+            upto[kind] = r["hash"]
+    if None in upto.values():
         return Model()
+    bounded = sample.where(" OR ".join(f"(kind = {k} AND hash <= {h})" for k, h in upto.items())).orderBy("kind", "hash").select("kind", "features")
+    table = bounded.toArrow().combine_chunks()
+    kind, lists = table.column("kind").to_numpy(), table.column("features").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     groups = [[flat[ends[i] : ends[i + 1]] for i in np.flatnonzero(kind == k)] for k in (1, 0)]
+    prior = settings.prior or estimate_prior(*groups)
     chosen_features = select_features(*groups, prior, settings)
     if not len(chosen_features):
         return Model()
@@ -228,7 +282,10 @@ def score(docs: DataFrame, model: Model, folds: int = 5, key: str = "doc_id") ->
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose text scores below 0.5, with all their columns, without a shuffle."""
+    """The rows of docs whose text scores below 0.5, with all their columns, without a shuffle.
+
+    A null or empty text scores by the bias alone, so it stays if the model calls texts without features clean.
+    """
     small_batches(docs.sparkSession)
     number = {f: i for i, f in enumerate(model.weights)}
     weight = np.array([*model.weights.values(), 0.0])

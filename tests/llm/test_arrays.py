@@ -452,6 +452,35 @@ def test_learning_without_negatives():
     assert weights[at[900]] + bias > 0 and weights[at[901]] + bias > 0 and bias < 0
 
 
+def test_risk_and_its_gradient():
+    """Both risks by their definition, and their gradients by differences."""
+    r, k, prior = np.random.default_rng(3), 5, 0.3
+    has = [r.random((n, k)) < 0.4 for n in (7, 11)]
+    rows = [toxicity.Rows(len(h), *np.nonzero(h)) for h in has]
+    theta = r.normal(size=k + 1)
+    loss = lambda g: np.log1p(np.exp(-g))
+
+    def brute(t):
+        gp, gu = (h @ t[:k] + t[k] for h in has)
+        return prior * loss(gp).mean(), loss(-gu).mean() - prior * loss(-gp).mean()
+
+    found = toxicity.risk(theta, *rows, prior)
+    assert np.allclose(found[:2], brute(theta))
+    for i in range(k + 1):
+        step = np.zeros(k + 1)
+        step[i] = 1e-6
+        for part in (0, 1):
+            assert np.isclose((brute(theta + step)[part] - brute(theta - step)[part]) / 2e-6, found[2 + part][i], atol=1e-6)
+
+
+def test_prior_without_negatives():
+    r = np.random.default_rng(8)
+    for prior in (0.02, 0.1, 0.3):
+        text = lambda bad: np.unique(np.concatenate([r.integers(0, 300, 25), [900 + r.integers(0, 3)] if bad else []])).astype(np.int64)
+        positive, mixed = [text(True) for _ in range(1500)], [text(r.random() < prior) for _ in range(4000)]  # noqa: B023
+        assert prior * 0.8 <= toxicity.estimate_prior(positive, mixed) <= prior * 1.6 + 0.01
+
+
 def test_ipv6_forms():
     key = b"k"
     for address in ("2001:db8::1", "::1", "fe80::", "::ffff:192.0.2.7", "64:ff9b::192.0.2.7", "2001:db8:1::192.0.2.7", "1::8", "2001:DB8:0:0:1:0:0:1", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7::"):
