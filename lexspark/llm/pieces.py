@@ -1,11 +1,15 @@
 """N-best segmentation over a SentencePiece vocabulary, and decoding.
 
-The pieces that match a string are the edges of a lattice, scored by the model file. A forward
+The pieces that match a string are the edges of a lattice. A piece's score is a log-probability. The model
+file of a byte-pair vocabulary has none, but minus the rank of each piece; the sum of ranks would favour many frequent
+short pieces. So ranks become probabilities by Zipf's law with Mandelbrot's offset, p(r) ~ 1 / (r + 2.7), a fixed
+transform under which every further piece costs. A model of log-probabilities is taken as it is. A forward
 Viterbi pass gives each place's best score from the start; a search from the end backwards then
 takes those scores as its heuristic. It is exact, so A* completes paths in order of their scores
 and stops at the n-th.
 
-A text's lattice falls apart between any two characters that no piece has next to each other, and
+A text's lattice falls apart between any two characters that no piece has next to each other (so a long text
+without white space is many parts too), and
 its n-best list combines those of the parts: in any of the n best, at most n - 1 parts are not at
 their best, and they are among the n - 1 with the smallest losses. A part's smallest loss is that
 of the best path over an edge off its best path, from the Viterbi scores of both directions; only
@@ -28,6 +32,26 @@ from .common import kept, ragged, small_batches, string_bytes, text_slices
 from .tokens import CACHE_BYTES, ChunkTable
 
 MARK = "▁"
+#: Stands for a text's own U+2581, which is no space: it has no piece, so it becomes bytes.
+OWN_MARK = "\udc00"
+OFFSET = 2.7  # of Zipf's law
+
+
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """The pieces' scores if they are log-probabilities, else those of their ranks."""
+    values = np.array(list(scores.values()))
+    if len(values) < 2 or not ((values == np.round(values)).all() and values.min() < -100):
+        return scores
+    likely = 1 / (OFFSET - values)
+    return dict(zip(scores, np.log(likely / likely.sum()).tolist(), strict=True))
+
+
+def characters(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of the UTF-8 characters that begin at these places."""
+    padded = np.concatenate([raw, np.zeros(4, np.uint8)]).astype(np.int64)
+    a, b, c, d = (padded[at + i] for i in range(4))
+    two, three = (a & 31) << 6 | (b & 63), (a & 15) << 12 | (b & 63) << 6 | (c & 63)
+    return np.where(a < 0x80, a, np.where(a < 0xE0, two, np.where(a < 0xF0, three, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | (d & 63))))
 
 
 class Lattice:
@@ -51,6 +75,8 @@ class Lattice:
                 self.score[name] = (sp.get_score(i), (i,))
                 self.pieces.append(name.replace(MARK, " ").encode())
         self.unknown = sp.unk_id()
+        fitted = log_probabilities({name: score for name, (score, _) in self.score.items()})
+        self.score = {name: (fitted[name], ids) for name, (_, ids) in self.score.items()}
         #: Pieces with score and ids; what only begins a piece has neither.
         self.found: dict[str, tuple] = {name[:i]: () for name in self.score for i in range(1, len(name))} | self.score
         self.penalty = min(s for s, _ in self.score.values()) - 10.0
@@ -60,6 +86,22 @@ class Lattice:
         for name in self.score:
             raw = name.replace(MARK, " ").encode()
             self.apart[list(raw[:-1]), list(raw[1:])] = False
+        #: Two characters, not both of ASCII, that a piece has next to each other, as one number.
+        self.joined = np.array(sorted({ord(a) << 21 | ord(b) for name in self.score for a, b in itertools.pairwise(name.replace(MARK, " ")) if a > "\x7f" or b > "\x7f"} | {0}), np.int64)
+
+    def cuts(self, raw: np.ndarray) -> np.ndarray:
+        """Which places of a text no piece is on both sides of (by the byte after; not the first)."""
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = self.apart[raw[:-1], raw[1:]]
+        high = raw >= 0x80
+        if high.any():
+            begins = (raw & 0xC0) != 0x80
+            at = np.flatnonzero(begins)  # characters; a pair is taken where one of its two isn't of ASCII
+            some = np.flatnonzero(high[at[1:]] | high[at[:-1]])
+            pair = characters(raw, at[some]) << 21 | characters(raw, at[some + 1])
+            place = np.minimum(np.searchsorted(self.joined, pair), len(self.joined) - 1)
+            cut[at[some + 1]] = self.joined[place] != pair
+        return cut
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """By end: (start, score, ids) of each edge."""
@@ -68,7 +110,7 @@ class Lattice:
             b = a + 1
             found = get(text[a])
             if not found:
-                ids = tuple(self.byte.get(x, self.unknown) for x in text[a].replace(MARK, " ").encode())
+                ids = tuple(self.byte.get(x, self.unknown) for x in (MARK if text[a] == OWN_MARK else text[a].replace(MARK, " ")).encode())
                 out[b].append((a, self.penalty * len(ids), ids))
             while found is not None:
                 if found:
@@ -150,6 +192,11 @@ class Lattice:
         return out
 
 
+def marked(text: bytes) -> str:
+    """A text as the lattice takes it: spaces as marks, and the text's own marks apart from these."""
+    return text.decode().replace(MARK, OWN_MARK).replace(" ", MARK)
+
+
 @lru_cache(4)
 def lattice(model: str) -> Lattice:
     return Lattice(model)
@@ -176,7 +223,7 @@ class Segmenter:
         self.lists: dict[int, list[tuple[float, np.ndarray]]] = {}
 
     def _learn(self, new: list[bytes], base: int) -> None:
-        found = [self.lattice.best(x.decode().replace(" ", MARK)) for x in new]
+        found = [self.lattice.best(marked(x)) for x in new]
         ends = np.cumsum([len(ids) for _, _, ids in found]) + self.end[base]
         while base + len(new) + 1 > len(self.end):
             self.end, self.score, self.loss = (np.concatenate([x, np.zeros_like(x)]) for x in (self.end, self.score, self.loss))
@@ -191,7 +238,7 @@ class Segmenter:
         """(loss, ids) of a part's best segmentations besides the first, n - 1 at most."""
         if part not in self.lists:
             own = tuple(self.pool[self.end[part] : self.end[part + 1]].tolist())
-            found = [(float(self.score[part]) - s, np.array(ids, np.uint32)) for s, ids in self.lattice.nbest(text.decode().replace(" ", MARK), self.n) if ids != own]
+            found = [(float(self.score[part]) - s, np.array(ids, np.uint32)) for s, ids in self.lattice.nbest(marked(text), self.n) if ids != own]
             self.lists[part] = found[: self.n - 1]
         return self.lists[part]
 
@@ -201,9 +248,8 @@ class Segmenter:
             self._clear()
         n = self.n
         raw, off = string_bytes(pa.array([f" {t}" if t else "" for t in column.to_pylist()], pa.string()))
-        cut = np.zeros(len(raw) + 1, bool)
+        cut = self.lattice.cuts(raw)
         cut[off] = True
-        cut[1:-1] |= self.lattice.apart[raw[:-1], raw[1:]]
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(raw))[: len(starts)]
         base = self.table.n
@@ -238,7 +284,8 @@ class Segmenter:
 def encode_nbest(docs: DataFrame, model: str, n: int = 4, key: str = "doc_id", digest: bool = False) -> DataFrame:
     """(key, nbest array<struct<score double, ids array<int>>>, round_trip boolean) of every row of docs (key, text).
 
-    round_trip: the best list decodes to the text's bytes. With ``digest``, per row instead:
+    round_trip: the best list decodes to the text's bytes (also where these have the mark for spaces,
+    U+2581, in them). With ``digest``, per row instead:
     n_pieces long, score double, ids_crc32 long (little-endian unsigned 32-bit ids) of the best list, nbest_scores and
     nbest_crc32 arrays of all, round_trip. A null or empty text has one empty list; equal and
     null keys stay as rows; further columns are ignored; no rows give no rows.

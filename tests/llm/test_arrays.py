@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 import xxhash
 
 from lexspark.llm import jpeg, packing, pieces, pii, quality, simhash, suffix, token_store, toxicity, warc
@@ -345,16 +346,41 @@ def test_nbest_is_exact():
         return [x for x, _ in paths[-1][:n]]
 
     for t in ["▁the", "▁hello", "▁é☃", "▁▁x", "\n▁b", "▁aaaaaa", "a"]:
-        assert [s for s, _ in found.nbest(t, 6)] == brute(t, 6)
+        assert [s for s, _ in found.nbest(t, 6)] == pytest.approx(brute(t, 6))
     whole = pieces.Segmenter(tokenizer_path("piece_bpe_32k.model"), 4)
     for t in ["the cat sat", "a\n b", "Éa ☃"]:
         best = next(whole.encode(pa.array([t])))
-        assert [round(s) for s, _ in best] == [round(s) for s in brute("▁" + t.replace(" ", "▁"), 4)]
+        assert [s for s, _ in best] == pytest.approx(brute("▁" + t.replace(" ", "▁"), 4))
         assert all(whole.decode(ids) == t.encode() for _, ids in best)
-    for t, best in zip(ODD, whole.encode(pa.array(ODD, pa.string())), strict=True):
+    marks = [*ODD, "a▁b", "▁", " ▁ ▁x", "漢▁字"]
+    for t, best in zip(marks, whole.encode(pa.array(marks, pa.string())), strict=True):
         assert whole.decode(best[0][1]) == (t or "").encode()
 
 
+def test_piece_scores_are_log_probabilities():
+    found = pieces.lattice(tokenizer_path("piece_bpe_32k.model"))
+    assert sum(np.exp(s) for s, _ in found.score.values()) == pytest.approx(1)
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    text = "The quick brown fox jumps over the lazy dog"
+    assert len(found.nbest("▁" + text.replace(" ", "▁"), 1)[0][1]) <= len(library.encode(text))
+    assert pieces.log_probabilities({"a": -1.5, "b": -2.0}) == {"a": -1.5, "b": -2.0}
+
+
+def test_text_without_white_space_is_many_parts():
+    segmenter = pieces.Segmenter(tokenizer_path("piece_bpe_32k.model"), 4)
+    r = random.Random(2)
+    text = "".join(map(chr, r.choices(range(0x4E00, 0x9FFF), k=300_000)))
+    short = text[:40]
+    for t in (short, "日本" * 30, "ab" + short + "cd"):  # the same as without cuts
+        best = next(segmenter.encode(pa.array([t])))
+        assert [s for s, _ in best] == pytest.approx([s for s, _ in segmenter.lattice.nbest("▁" + t, 4)]) and segmenter.decode(best[0][1]) == t.encode()
+    best = next(segmenter.encode(pa.array([text])))
+    assert segmenter.decode(best[0][1]) == text.encode()
+    raw = text.encode()
+    cut = np.flatnonzero(segmenter.lattice.cuts(np.frombuffer(raw, np.uint8)))
+    assert np.diff(cut).max() < 100
+
+
 def test_surrogates():
     key = b"k"
     for size in (2, 3, 10, 1000):
