@@ -109,14 +109,14 @@ class Words:
         return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, settings: Settings) -> np.ndarray:
-    """The features that tell confirmed texts from the clean part of the unlabelled ones best."""
-    count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=1 << BITS)
-    p, u = count(positive), count(unlabelled)
-    a, b = p / max(1, len(positive)), u / max(1, len(unlabelled))
-    clean = np.maximum(b - prior * a, 0) / (1 - prior)
-    clean = np.minimum(clean, 1)
-    spread = np.sqrt((a * (1 - a) + 1e-9) / max(1, len(positive)) + (clean * (1 - clean) + 1.0 / max(1, len(unlabelled))) / max(1, len(unlabelled)))
+def select_features(p: np.ndarray, u: np.ndarray, positive: int, unlabelled: int, prior: float, settings: Settings) -> np.ndarray:
+    """The features that tell confirmed texts from the clean part of the unlabelled ones best.
+
+    ``p`` and ``u`` count the texts of both kinds that have a feature, of ``positive`` and ``unlabelled`` texts.
+    """
+    a, b = p / max(1, positive), u / max(1, unlabelled)
+    clean = np.clip((b - prior * a) / (1 - prior), 0, 1)
+    spread = np.sqrt((a * (1 - a) + 1e-9) / max(1, positive) + (clean * (1 - clean) + 1.0 / max(1, unlabelled)) / max(1, unlabelled))
     score = np.where((p >= settings.least_positive) & (a > 2 * clean), (a - clean) / spread, 0)
     best = np.argsort(-score, kind="stable")[: settings.features]
     return best[score[best] > 3]
@@ -137,21 +137,18 @@ class Rows:
         return np.bincount(self.feature, weights[self.text], k)
 
 
-def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 0.1) -> float:
-    """The share of positive texts among the unlabelled ones, from the features of both.
+def estimate_prior(p: np.ndarray, u: np.ndarray, positive: int, unlabelled: int, least: float = 0.1) -> float:
+    """The share of positive texts among the unlabelled ones, from the features' counts in both (see ``select_features``).
 
     That is the least upper confidence bound (two standard errors) of the ratio of a feature's shares, over
     the features of at least a ``least`` share of positive texts, and five of them.
     """
-    count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=1 << BITS)
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-    p, u = count(positive), count(unlabelled)
-    some = np.flatnonzero(p >= max(5, least * n))
+    some = np.flatnonzero(p >= max(5, least * positive))
     if not len(some):
         return 0.5
-    a, b = p[some] / n, (u[some] + 1) / (m + 1)
+    a, b = p[some] / positive, (u[some] + 1) / (unlabelled + 1)
     ratio = b / a
-    error = ratio * np.sqrt((1 - b) / (b * m) + (1 - a) / (a * n))
+    error = ratio * np.sqrt((1 - b) / (b * unlabelled) + (1 - a) / (a * positive))
     return float(np.clip((ratio + 2 * error).min(), 1e-4, 0.95))
 
 
@@ -243,20 +240,29 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     bounded = sample.where(" OR ".join(f"(kind = {k} AND hash <= {h})" for k, h in upto.items())).orderBy("kind", "hash").select("kind", "features")
     table = bounded.toArrow().combine_chunks()
     kind, lists = table.column("kind").to_numpy(), table.column("features").combine_chunks()
-    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    groups = [[flat[ends[i] : ends[i + 1]] for i in np.flatnonzero(kind == k)] for k in (1, 0)]
-    prior = settings.prior or estimate_prior(*groups)
-    chosen_features = select_features(*groups, prior, settings)
-    if not len(chosen_features):
-        return Model()
+    flat, ends, cut = lists.flatten().to_numpy(), lists.offsets.to_numpy(), int(np.searchsorted(kind, 1))
+    middle = ends[cut]  # features of unlabelled texts come before it
+    # Only features of several confirmed texts matter: the others' counts are never held.
+    p = np.bincount(flat[middle:], minlength=1 << BITS)
+    able = np.flatnonzero(p >= settings.least_positive)
     column = np.full(1 << BITS, -1, np.int32)
-    column[chosen_features] = np.arange(len(chosen_features))
+    column[able] = np.arange(len(able))
+    p, known = p[able], column[flat]
+    u = np.bincount(known[:middle][known[:middle] >= 0], minlength=len(able))
+    sizes = (len(kind) - cut, cut)
+    prior = settings.prior or estimate_prior(p, u, *sizes)
+    best = select_features(p, u, *sizes, prior, settings)
+    if not len(best):
+        return Model()
+    place = np.full(len(able) + 1, -1, np.int32)
+    place[best] = np.arange(len(best))
     rows_of = []
-    for group in groups:
-        text, c = np.repeat(np.arange(len(group)), [len(f) for f in group]), column[np.concatenate(group)]
-        rows_of.append(Rows(len(group), text[c >= 0], c[c >= 0]))
-    weights, bias = fit(*rows_of, len(chosen_features), prior, settings)
-    return Model(dict(zip(chosen_features.tolist(), weights.tolist(), strict=True)), bias)
+    for first, last in ((cut, len(kind)), (0, cut)):
+        c = place[known[ends[first] : ends[last]]]  # -1 stays -1: the last place
+        text = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+        rows_of.append(Rows(last - first, text[c >= 0], c[c >= 0]))
+    weights, bias = fit(*rows_of, len(best), prior, settings)
+    return Model(dict(zip(able[best].tolist(), weights.tolist(), strict=True)), bias)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, key: str = "doc_id") -> DataFrame:
