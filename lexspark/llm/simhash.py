@@ -8,14 +8,14 @@ without false negatives). A mask keeps about 34 bits.
 
 Texts with a Jaccard similarity of 0.8 differ in about ten bits of 64, out of reach of such masks.
 ``similar_groups`` therefore also covers fingerprints of 16 four-bit minima (MinHash), which differ
-in about three at 0.8. Of what shares a bucket of either, each text tries the partners whose minima agree
-most, two a round, by the exact similarity of the shingles; rounds go on, between groups that are still
-apart, until one finds no further link. So no bucket's pairs are all sent out, however many copies it holds.
+in about three at 0.8. Every bucket of either names each of its texts two partners, those whose minima agree
+most; a text keeps the best of its partners and tries them, two a round, by the exact similarity of the
+shingles, as long as they are in other groups than its own. So no bucket's pairs are all sent out, however
+many copies it holds.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -32,7 +32,7 @@ SEGMENT = 255  # shingles whose bits add up in bytes
 SKETCHES = 3  # fingerprints of minima
 NEAR_MINIMA = 7  # of 16, that may differ in a candidate
 LIKE_MINIMA = 26  # of all 48, that agree in a candidate: at a similarity of 0.8 39 do, and 26 or fewer once in a million
-PARTNERS = 2  # that a text tries in a round
+PARTNERS, ROUNDS = 2, 4  # that a text tries in a round, and rounds
 BLOCK = 512  # rows of a bucket that are compared with each other; larger buckets are ordered by other minima and cut
 _MIX = np.random.default_rng(42).integers(0, 2**64, (2, 16 * SKETCHES), np.uint64)
 
@@ -185,13 +185,15 @@ def bucket_edges(keys: np.ndarray, fps: np.ndarray, radius: int = 3, small: int
     return ids[np.concatenate([x for x, _ in out])], ids[np.concatenate([x for _, x in out])]
 
 
-def in_buckets(rows: DataFrame, tables: Sequence[tuple[str, int]], columns: Sequence[str], work: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+def in_buckets(rows: DataFrame, tables: Sequence[tuple[str, int]], columns: Sequence[str], work: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], schema: str) -> DataFrame:
     """Deal ``rows`` to the buckets of all tables (column, mask) and do ``work`` on whole buckets.
 
-    Work gets the table of each row, its bucket's number, ascending, and the columns as rows of one array.
+    Work gets the table of each row, its bucket's number, ascending, and the columns as rows of one array; a
+    column "print" is the fingerprint that the table covers. It returns columns of longs.
     """
-    parts = F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key")) for i, (c, m) in enumerate(tables)])
-    dealt = rows.select(F.explode(parts).alias("b"), *columns).select("b.t", "b.key", *columns).repartition("t", "key").sortWithinPartitions("t", "key")
+    names = [f.split()[0] for f in schema.split(", ")]
+    parts = F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(_signed(m))).alias("key"), *([F.col(c).alias("print")] if "print" in columns else [])) for i, (c, m) in enumerate(tables)])
+    dealt = rows.select(F.explode(parts).alias("b"), *[c for c in columns if c != "print"]).select("b.t", "b.key", *["b.print" if c == "print" else c for c in columns]).repartition("t", "key").sortWithinPartitions("t", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -199,7 +201,7 @@ def in_buckets(rows: DataFrame, tables: Sequence[tuple[str, int]], columns: Sequ
         def done(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(rows.shape[1], bool)
             new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(0)
-            return work(rows[0], np.cumsum(new), rows[2:])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in work(rows[0], np.cumsum(new), rows[2:])], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -221,10 +223,10 @@ def in_buckets(rows: DataFrame, tables: Sequence[tuple[str, int]], columns: Sequ
 def link(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (u, v) that connect the fingerprints (fp) within the radius of each other."""
 
-    def work(_: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in bucket_edges(bucket, rows[0], radius)], ["u", "v"])
+    def work(_: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        return list(bucket_edges(bucket, rows[0], radius))
 
-    return in_buckets(distinct, [("fp", m) for m in covering_masks(radius)], ["fp"], work, "u long, v long")
+    return in_buckets(distinct, [("fp", m) for m in covering_masks(radius)], ["print"], work, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str = "doc_id") -> DataFrame:
@@ -274,10 +276,11 @@ def _column(table: int | np.ndarray, radius: int) -> int | np.ndarray:
     return (table >= own) * (1 + (table - own) // many)
 
 
-def _near(i: int, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Whether rows (fp, s0 ..) are candidates by the fingerprint that table i covers."""
-    column = int(_column(i, radius))
-    return minima_distance(a[column], b[column]) <= NEAR_MINIMA if column else distance(a[0], b[0]) <= radius
+def _near(kind: int | np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether fingerprints of this kind (0: SimHash, else minima) are those of candidates."""
+    if np.ndim(kind):
+        return np.where(kind == 0, distance(a, b) <= radius, minima_distance(a, b) <= NEAR_MINIMA)
+    return minima_distance(a, b) <= NEAR_MINIMA if kind else distance(a, b) <= radius
 
 
 def _blocks(table: int, rows: np.ndarray, most: int = BLOCK) -> list[np.ndarray]:
@@ -289,19 +292,17 @@ def _blocks(table: int, rows: np.ndarray, most: int = BLOCK) -> list[np.ndarray]
     return np.array_split(np.lexsort([np.bitwise_right_shift(x, np.uint64(4 * (table % 16))) | np.bitwise_left_shift(x, np.uint64(64 - 4 * (table % 16)) % np.uint64(64)) for x in turned]), -(-n // most))
 
 
-def small_pairs(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Positions i < j of the candidates in buckets of up to ``small`` rows (fp, s0 ..), and the larger buckets' bounds."""
+def small_pairs(kind: np.ndarray, bucket: np.ndarray, prints: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Positions i < j of the candidates in buckets of up to ``small`` rows, and the larger buckets' bounds."""
     edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     start, size = edge[:-1], np.diff(edge)
     few = (size > 1) & (size <= small)
     at = ragged(start[few], size[few])
-    kind = _column(table[at], radius)
-    values, run = rows[kind, at], bucket[at]
+    values, run, kinds = prints[at], bucket[at], kind[at]
     first, second = [at[:0]], [at[:0]]
     for d in range(1, int(size[few].max(initial=1))):
         same = np.flatnonzero(run[:-d] == run[d:])
-        a, b = values[same], values[same + d]
-        same = same[np.where(kind[same] == 0, distance(a, b) <= radius, minima_distance(a, b) <= NEAR_MINIMA)]
+        same = same[_near(kinds[same], values[same], values[same + d], radius)]
         first.append(at[same])
         second.append(at[same + d])
     large = size > small
@@ -313,60 +314,57 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 16 * SKETCHES - sum(minima_distance(a[1 + i], b[1 + i]).astype(np.int16) for i in range(SKETCHES))
 
 
-def best_partners(table: int, rows: np.ndarray, group: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row (fp, s0 ..) of one large bucket its candidates of other groups that agree with most minima.
-
-    Two positions, and how many of the minima agree; ``most`` candidates a row.
-    """
-    out = []
+def best_partners(table: int, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row (fp, s0 ..) of one large bucket its best candidates: two positions, minima."""
+    out, kind = [], int(_column(table, radius))
     for block in _blocks(table, rows):
-        inner, own = rows[:, block], group[block]
-        i, j = np.nonzero((own[:, None] != own[None]) & _near(table, inner[:, :, None], inner[:, None, :], radius))
-        like = agreeing(inner[:, i], inner[:, j]).astype(np.int64)
-        order = np.lexsort((-like, i))
-        order = order[like[order] >= LIKE_MINIMA]
-        i, j, like = i[order], j[order], like[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < most
-        out.append((block[i[first]], block[j[first]], like[first]))
+        inner = rows[:, block]
+        i, j = np.nonzero(_near(kind, inner[kind, :, None], inner[kind, None, :], radius) & ~np.eye(len(block), dtype=bool))
+        out.append([block[i], block[j], agreeing(inner[:, i], inner[:, j]).astype(np.int64)])
+        out[-1] = first_of(*out[-1])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def first_of(i: np.ndarray, j: np.ndarray, like: np.ndarray) -> list[np.ndarray]:
+    """Of the pairs of each i the PARTNERS that agree most (of equal ones, those of the smallest j), if they are candidates."""
+    order = np.lexsort((j, -like, i))
+    order = order[like[order] >= LIKE_MINIMA]
+    i, j, like = i[order], j[order], like[order]
+    lead = np.arange(len(i)) - np.searchsorted(i, i) < PARTNERS
+    return [i[lead], j[lead], like[lead]]
+
+
 def candidates(reps: DataFrame, radius: int) -> DataFrame:
     """The sets of ``reps`` (set, fp, s0 ..) that share a bucket with a candidate."""
 
-    def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        some = np.zeros(len(bucket), bool)
-        i, j, large = small_pairs(table, bucket, rows[1:], radius)
+    def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        some, kind = np.zeros(len(bucket), bool), _column(table, radius)
+        i, j, large = small_pairs(kind, bucket, rows[1], radius)
         some[i] = some[j] = True
         for a, b in large:
             for block in _blocks(int(table[a]), rows[1:, a:b]):
-                inner = rows[1:, a + block]
-                some[a + block] |= _near(int(table[a]), inner[:, :, None], inner[:, None, :], radius).sum(1) > 1  # itself and another
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(rows[0][some]))], ["set"])
-
-    return in_buckets(reps, _tables(radius), ["set", "fp", *[f"s{i}" for i in range(SKETCHES)]], work, "set long").distinct()
-
-
-def proposals(rows: DataFrame, radius: int, tried: int) -> DataFrame:
-    """(u, v, like) for rows (set, group, fp, s0 ..): each set's best candidates of other groups, tried + PARTNERS a bucket."""
-    most = tried + PARTNERS
-
-    def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        i, j, large = small_pairs(table, bucket, rows[2:], radius)
-        apart = rows[1, i] != rows[1, j]
-        i, j = np.concatenate([i[apart], j[apart]]), np.concatenate([j[apart], i[apart]])
-        like = agreeing(rows[2:, i], rows[2:, j])
-        order = np.lexsort((-like, i))
-        order = order[like[order] >= LIKE_MINIMA]
-        i, j, like = i[order], j[order], like[order]
-        turn = np.arange(len(i)) - np.searchsorted(i, i)
-        out = [(rows[0, i[turn < most]], rows[0, j[turn < most]], like[turn < most].astype(np.int64))]
+                inner = rows[1, a + block]
+                some[a + block] |= _near(int(kind[a]), inner[:, None], inner[None], radius).sum(1) > 1  # itself and another
+        return [np.unique(rows[0][some])]
+
+    return in_buckets(reps, _tables(radius), ["set", "print"], work, "set long").distinct()
+
+
+def proposals(rows: DataFrame, radius: int) -> DataFrame:
+    """(u, v, like) for rows (set, fp, s0 ..): from each bucket, each set's best candidates in it."""
+
+    def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        kind = _column(table, radius)
+        i, j, large = small_pairs(kind, bucket, rows[1 + kind, np.arange(len(bucket))], radius)
+        like = agreeing(rows[1:, i], rows[1:, j]).astype(np.int64)
+        out = [first_of(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([like, like]))]
         for a, b in large:
-            x, y, like = best_partners(int(table[a]), rows[2:, a:b], rows[1, a:b], radius, most)
-            out.append((rows[0, a + x], rows[0, a + y], like))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["u", "v", "like"])
+            x, y, like = best_partners(int(table[a]), rows[1:, a:b], radius)
+            out.append([a + x, a + y, like])
+        u, v, like = (np.concatenate(x) for x in zip(*out, strict=True))
+        return [rows[0, u], rows[0, v], like]
 
-    return in_buckets(rows, _tables(radius), ["set", "group", "fp", *[f"s{i}" for i in range(SKETCHES)]], work, "u long, v long, like long")
+    return in_buckets(rows, _tables(radius), ["set", "fp", *[f"s{i}" for i in range(SKETCHES)]], work, "u long, v long, like long")
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
@@ -400,10 +398,10 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, width: int = 5, radius: int = 3, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
     """(key, component_id) of every row of docs (unique key, text): groups that links of this similarity make.
 
-    Equal sets of shingles are linked, texts without words among them. Every other text tries its best
-    candidates, PARTNERS a round, by their exact similarity; from round to round candidates of its own
-    group and those it has tried fall out. The last round is the first that finds no link, so two groups
-    stay apart only if none of the best untried candidates between them is similar.
+    Equal sets of shingles are linked, texts without words among them. Every other text keeps its PARTNERS x
+    ROUNDS best candidates and tries them, PARTNERS a round, by their exact similarity; those of its own group
+    fall out. Rounds end when one finds no link. Work is in proportion to the texts; what it costs is that two
+    groups stay apart if no text's best candidates link them (README: measured recall).
     """
     names = [f"s{i}" for i in range(SKETCHES)]
     prints = materialize(set_table(docs, width, key), "fingerprints")
@@ -411,22 +409,23 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = 3, similarity:
     asked = materialize(reps.join(candidates(reps, radius), "set"), "candidates")
     texts = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
     sets = materialize(shingle_table(texts.join(asked.select("set", F.col("rep").alias(key)), key), width), "shingles")
-    rows = asked.withColumn("group", F.col("set"))
-    parts, edges, tried = None, None, None
-    for turn in itertools.count():
-        best = proposals(rows, radius, turn * PARTNERS)
-        if tried is not None:
-            best = best.join(tried.select("u", "v"), ["u", "v"], "left_anti")
-        ranked = best.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("like")).alias("order"), "v"))), 1, PARTNERS).alias("best"))
-        now = materialize(ranked.select("u", F.explode("best.v").alias("v")), "proposals")
-        pairs = now.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("like")).alias("order"), "v"))), 1, PARTNERS * ROUNDS)
+    ranked = proposals(asked, radius).groupBy("u").agg(best.alias("best"))
+    left = materialize(ranked.select("u", F.posexplode("best.v").alias("turn", "v")), "partners")
+    parts, edges = None, None
+    for _ in range(ROUNDS):
+        own = left.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "v"))), 1, PARTNERS).alias("best"))
+        pairs = own.select("u", F.explode("best.v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         found = materialize(similar(pairs, sets, similarity), "similar")
         if not found.limit(1).count():
+            # Not the end for sets whose next partners may be similar, but these agree less than two that aren't.
             break
-        tried = now if tried is None else tried.union(now)
         edges = found if edges is None else edges.union(found)
-        parts = connected_components(edges).select(F.col("vertex").alias("set"), F.col("component").alias("root"))
-        rows = asked.join(parts, "set", "left").withColumn("group", F.coalesce("root", "set")).drop("root")
+        parts = materialize(connected_components(edges).select(F.col("vertex").alias("set"), F.col("component").alias("root")), "parts")
+        u, v = (parts.select(F.col("set").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv")
+        tried = own.select("u", F.explode("best").alias("b")).select("u", F.col("b.turn").alias("turn"))
+        apart = left.join(u, "u", "left").join(v, "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "turn")
+        left = materialize(apart.join(tried, ["u", "turn"], "left_anti"), "partners")
     marked = reps.select("set", "rep").withColumn("root", F.col("set"))
     if parts is not None:
         marked = reps.join(parts, "set", "left").select("set", "rep", F.coalesce("root", "set").alias("root"))

@@ -470,7 +470,8 @@ def test_learning_without_negatives():
     settings = toxicity.Settings(epochs=200)
     bad = [np.unique(np.concatenate([r.integers(0, 500, 20), r.choice([900, 901], 1)])) for _ in range(200)]
     mixed = [np.unique(np.concatenate([r.integers(0, 500, 20), [900 + i % 2] if i % 10 == 0 else []])).astype(np.int64) for i in range(1000)]
-    chosen = toxicity.select_features(bad, mixed, 0.1, settings)
+    count = lambda rows: np.bincount(np.concatenate(rows), minlength=1000)
+    chosen = toxicity.select_features(count(bad), count(mixed), len(bad), len(mixed), 0.1, settings)
     assert set(chosen.tolist()) >= {900, 901}
     at = {f: i for i, f in enumerate(chosen.tolist())}
     rows = [toxicity.Rows(len(g), *map(np.array, zip(*[(i, at[f]) for i, x in enumerate(g) for f in x.tolist() if f in at], strict=True))) for g in (bad, mixed)]
@@ -501,10 +502,11 @@ def test_risk_and_its_gradient():
 
 def test_prior_without_negatives():
     r = np.random.default_rng(8)
+    count = lambda rows: np.bincount(np.concatenate(rows), minlength=1000)
     for prior in (0.02, 0.1, 0.3):
         text = lambda bad: np.unique(np.concatenate([r.integers(0, 300, 25), [900 + r.integers(0, 3)] if bad else []])).astype(np.int64)
         positive, mixed = [text(True) for _ in range(1500)], [text(r.random() < prior) for _ in range(4000)]  # noqa: B023
-        assert prior * 0.8 <= toxicity.estimate_prior(positive, mixed) <= prior * 1.6 + 0.01
+        assert prior * 0.8 <= toxicity.estimate_prior(count(positive), count(mixed), 1500, 4000) <= prior * 1.6 + 0.01
 
 
 def test_ipv6_forms():
