@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lookup import edges, known_forms
@@ -80,13 +80,27 @@ def close(spark: SparkSession, rendered: DataFrame, redirects: DataFrame, start:
         frontier = ranked.select(F.col("target").alias("parent"), "q")
         level += 1
     once = items.groupBy("kind", "target").agg(F.min(F.struct("level", "key")).alias("at"), F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     order = keep(once.select("kind", F.col("target").alias("word"), "n", "at").orderBy("at").withColumn("_at", F.monotonically_increasing_id()).drop("at"))
-    numbered = order.withColumn("ord", F.row_number().over(Window.orderBy("_at")).cast("long") - 1)
+    numbered = order.join(F.broadcast(before(order)), part_of("_at") == F.col("_part")).withColumn("ord", F.col("_before") + F.col("_at").bitwiseAND(PLACE))
     return Closure(numbered.select("ord", "kind", "word"), numbered.where("kind = 'missing'").select("word", "n", F.col("ord").alias("first_ord")))
 
 
+#: The lower bits of ``monotonically_increasing_id``: a row's place in its partition.
+PLACE = (1 << 33) - 1
+
+
+def part_of(place: str) -> Column:
+    """The partition in an id made by ``monotonically_increasing_id``."""
+    return F.shiftright(place, 33)
+
+
+def before(ordered: DataFrame, place: str = "_at", weight: str | None = None) -> DataFrame:
+    """_part, _before: how many rows (or how much of ``weight``) the partitions before hold; one row a partition."""
+    sizes = ordered.groupBy(part_of(place).alias("_part")).agg((F.sum(weight) if weight else F.count("*")).alias("_size"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sizes.select("_part", (F.sum("_size").over(upto) - F.col("_size")).alias("_before"))
+
+
 def reached(edge_rows: DataFrame, start: DataFrame, keep=checkpointed) -> DataFrame:
     """word: what is reachable over edges (parent, target) from start (word), itself included; no order."""
     frontier = keep(start.select("word").distinct())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import Dictionary
+from .closure import PLACE, before, checkpointed, part_of
 
 
 def counted(rows: DataFrame, key: str) -> DataFrame:
@@ -15,13 +16,21 @@ def counted(rows: DataFrame, key: str) -> DataFrame:
 def running_share(counts: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """rank, key, n, running (sum of n so far), share (of all) by n descending, then key.
 
-    The window sees the distinct keys only; with ``limit`` only as many, over totals taken before.
+    With ``limit`` one window ranks as many keys. Without it keys are sorted into ranges and written; ranks and
+    sums are taken in each range, plus those of the ranges before, so no task sees all keys.
     """
     total = counts.agg(F.sum("n").alias("total"))
-    top = counts.orderBy(F.desc("n"), key)
-    top = top.limit(limit) if limit else top
-    w = Window.orderBy(F.desc("n"), key)
-    ranked = top.withColumn("rank", F.row_number().over(w)).withColumn("running", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    top = counts.select(key, "n").orderBy(F.desc("n"), key)
+    if limit:
+        w = Window.orderBy(F.desc("n"), key)
+        ranked = top.limit(limit).withColumn("rank", F.row_number().over(w)).withColumn("running", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        order = checkpointed(top.withColumn("_at", F.monotonically_increasing_id()))
+        rows, sums = before(order), before(order, weight="n").withColumnRenamed("_before", "_sum")
+        w = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        parts = order.withColumn("_part", part_of("_at")).join(F.broadcast(rows), "_part").join(F.broadcast(sums), "_part")
+        rank = F.col("_before") + F.col("_at").bitwiseAND(PLACE) + 1
+        ranked = parts.select(rank.cast("int").alias("rank"), key, "n", (F.col("_sum") + F.sum("n").over(w)).alias("running"))
     return ranked.crossJoin(F.broadcast(total)).select("rank", key, "n", "running", (100.0 * F.col("running") / F.col("total")).alias("share"))
 
 

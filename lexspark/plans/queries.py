@@ -77,12 +77,22 @@ def tokens_sentence_start(spark, sf_dir):
     return tokens.token_rows(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
 
-@query(r"""
-    SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{M}\p{N}''’.\-]*')) AS INT) AS words
-    FROM conversations WHERE NOT regexp_matches(text, '[\\\d]')""")
+@query(ORACLES["tokens_sentence_start"])
 def word_arrays(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where(~F.rlike("text", F.lit(r"[\\\d]")))
-    return rows.select("conv_id", "turn", F.size(tokens.word_array(F.col("text"))).alias("words"))
+    """The words of whole lines, as the closure's lines have them."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens.word_array(F.col("text"))).alias("pos", "w"))
+    return rows.select("conv_id", "turn", "pos", "w.*")
+
+
+@query(r"""
+    WITH w AS (SELECT regexp_replace(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{M}\p{N}''’.\-]*')), '[''’.\-]+$', '') AS word FROM documents),
+    c AS (SELECT word, count(*) AS n FROM w GROUP BY word), t AS (SELECT sum(n) AS total FROM c)
+    SELECT CAST(row_number() OVER o AS INT) AS rank, word, n, CAST(sum(n) OVER o AS BIGINT) AS running, 100.0 * CAST(sum(n) OVER o AS DOUBLE) / total AS share
+    FROM c, t WINDOW o AS (ORDER BY n DESC, word ROWS UNBOUNDED PRECEDING)""")
+def token_share(spark, sf_dir):
+    """Running shares of all words, without one task that ranks them."""
+    words = table(spark, sf_dir, "documents").select(F.explode(tokens.words(F.col("text"))).alias("word"))
+    return reports.running_share(reports.counted(words, "word"), "word")
 
 
 # -- scan, router, filters ---------------------------------------------------------------------
@@ -180,7 +190,7 @@ def link_extract(spark, sf_dir):
 @query("SELECT page_id, 'see ' || page_id || ' and  end' AS shown FROM pages")
 def external_link_strip(spark, sf_dir):
     c = F.concat(F.lit("see ["), "url", F.lit(" "), F.col("page_id").cast("string"), F.lit("] and ["), "url", F.lit("] end"))
-    return table(spark, sf_dir, "pages").where(F.startswith("url", F.lit("http"))).select("page_id", T.external_links(c).alias("shown"))
+    return table(spark, sf_dir, "pages").select("page_id", T.external_links(c).alias("shown"))
 
 
 @query("""
@@ -342,16 +352,15 @@ def redirect_chain(spark, sf_dir):
     return reports.redirect_walk(pages, pages.select("title")).select("start", "hop", "title", "redirect")
 
 
-@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey < 5)")
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey )")
 def title_exists(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return table(spark, sf_dir, "orders").join(c, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_orderkey % 7 = 0)")
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def title_missing(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("SELECT p_name FROM part WHERE starts_with(p_name, 'red')")
@@ -448,6 +457,82 @@ def parser_functions(spark, sf_dir):
     return done.select(F.col("title").cast("long").alias("o_orderkey"), F.col("blocks")[0]["meanings"][0]["text"].alias("text"))
 
 
+def rendered_by_key(rows: DataFrame, key: str, known: Library) -> DataFrame:
+    """key and text of rows (key, text): each row as an entry whose title is its key."""
+    meaning = F.array(F.struct(F.lit(1).cast("smallint").alias("depth"), F.col("text").alias("text")))
+    entries = rows.select(F.col(key).cast("string").alias("title"), F.array(F.struct(F.lit("").alias("word_type"), meaning.alias("meanings"))).alias("blocks"))
+    return render.render(entries, known).select(F.col("title").cast("long").alias(key), F.col("blocks")[0]["meanings"][0]["text"].alias("text"))
+
+
+def _invoking(**functions: str) -> list[tuple[str, None, str]]:
+    return _templates(*((name, f"{{{{#invoke:{call}}}}}") for name, call in functions.items()))
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'A and B / dd / ' || p_name || ' / (' || p_name || ') / / ' || upper(p_name[1]) || p_name[2:] || '! / ' || p_partkey || ' / ' || p_name || ', b / H2O / ' || p_name || ' / y / x / ' || p_name
+    || ' / A native or inhabitant of ' || p_name || ' (“g”) / Of, from or relating to ' || p_name || ' / Used other than figuratively or idiomatically: see ' || p_name || ' and b' AS text FROM part""")
+def module_functions(spark, sf_dir):
+    known = Library.of_pages(
+        _invoking(
+            sf="labels/templates/show_from|show_from|default=dd", df="links/templates|def_t|face={{{f|}}}", si="anchors/templates|senseid_t", cp="links/templates|cap_t", pn="pages/templates|pagename_t", ip="IPA/templates|IPAchar",
+            ch="chemical formula|chem", ln="script utilities|lang_t", gl="glossary|link", tx="taxlink|taxlink", dn="demonym/templates|demonym_noun", da="demonym/templates|demonym_adj", al="definition/templates|and_lit_t",
+        )
+    )
+    parts = ["{{sf|en|from=A,B}}", "{{sf|en}}", "{{df|@}}", "{{df|@|f=gloss}}", "{{si|en|x}}", "{{cp|@|!}}", "{{pn}}", "{{ip|@|b}}", "{{ch|H|2|O}}", "{{ln|en|@}}", "{{gl|x|y}}", "{{gl|x}}", "{{tx|a|b|@}}", "{{dn|en|@||g}}", "{{da|en|@}}", "{{al|en|@|b}}"]
+    text = F.replace(F.lit(" / ".join(parts)), F.lit("@"), F.col("p_name"))
+    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", known)
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 't' || p_name || ' t' || p_name || ' [' || p_name || '] aBC AB ' || p_name || ' ' || p_name || ' ab ' || p_partkey || ' ' || p_partkey || ' end' AS text FROM part""")
+def parser_words(spark, sf_dir):
+    known = Library.of_pages([*_templates(("T a", "t{{{1}}}")), ("Appendix:X", None, "[{{{1}}}]")])
+    text = F.replace(F.lit("{{subst:T a|@}} {{  T_a |@}} {{Appendix:X|@}} {{lcfirst:ABC}} {{uc:ab}} {{urlencode:@}} {{ns: @ }} {{safesubst:lc:AB}} {{FULLPAGENAME}} {{SUBPAGENAME}}{{#unknown:x|y}}{{localurl:x}}{{canonicalurl:y}} end"), F.lit("@"), F.col("p_name"))
+    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", known)
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'a' || p_name || ' [' || p_name || '] two ' || p_name || ' {{tr|x}} end' AS text FROM part""")
+def transclusion(spark, sf_dir):
+    pages = _templates(("tr", "a<noinclude>no</noinclude><includeonly>{{{1}}}</includeonly>"), ("oi", "x<onlyinclude>[{{{1}}}]</onlyinclude>y"), ("r3", "two {{{1}}}"))
+    known = Library.of_pages([*pages, ("Template:r1", "Template:r2", ""), ("Template:r2", "Template:r3", "")])
+    text = F.replace(F.lit("{{tr|@}} {{oi|@}} {{r1|@}} <nowiki>{{tr|x}}</nowiki> end"), F.lit("@"), F.col("p_name"))
+    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", known)
+
+
+@query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name || ' label c d x2 y 5° A (' || p_name || ') bold, it “q” end' AS text FROM part""")
+def plain_text(spark, sf_dir):
+    parts = ["[[@]]", "[[a|label]]", "[[:c]]", "[[w:d]]", "[[Category:@]]<ref name=r>gone @</ref><ref name=s/>", "x<sup>2</sup>y", "5&deg;", "&#65;", "( @ )", "'''bold''' ,", "''it''", "&ldquo;q&rdquo;", "[http://x.y/z end]"]
+    text = F.replace(F.lit(" ".join(parts)), F.lit("@"), F.col("p_name"))
+    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", Library())
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS title, CAST(CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS INT) AS word_types FROM documents WHERE doc_id % 3 > 0""")
+def defined_entries(spark, sf_dir):
+    """Entries without their empty meanings: every third has none left, every other loses a word type."""
+    k = F.col("doc_id") % 3
+    meaning = lambda text: F.array(F.struct(F.lit(1).cast("smallint").alias("depth"), text.alias("text")))
+    blocks = F.array(F.struct(F.lit("Noun").alias("word_type"), meaning(F.when(k > 0, "x").otherwise("")).alias("meanings")), F.struct(F.lit("Verb").alias("word_type"), meaning(F.when(k == 1, "y").otherwise("")).alias("meanings")))
+    found = render.defined(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("title"), blocks.alias("blocks")))
+    return found.select("title", F.size("blocks").alias("word_types"))
+
+
+@query("""SELECT c_custkey, c_mktsegment AS line FROM customer""")
+def start_text(spark, sf_dir):
+    """A start text of a title, credit, marker, blank lines and a line per customer, written and read back."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit(":"), "c_mktsegment", F.lit("\r\n \n")).alias("line"))
+    path = _scratch(spark, "start")
+    rows.agg(F.concat(F.lit("Title\nCredit: x\n[definitions]\n\n"), F.array_join(F.array_sort(F.collect_list("line")), "")).alias("value")).coalesce(1).write.text(path)
+    parts = F.split("line", ":")
+    return dump.start_text(spark, path).select(parts[0].cast(rows.schema["c_custkey"].dataType).alias("c_custkey"), parts[1].alias("line"))
+
+
+@query("""SELECT n_nationkey, 'The definitions below are taken from English Wiktionary' AS begins, 3 AS named FROM nation""")
+def licence_credit(spark, sf_dir):
+    make = F.udf(lambda n: document.credit_text(f"dump{n}", f"sha{n}", f"date{n}", "P"), "string", useArrow=True)
+    n = F.col("n_nationkey").cast("string")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", make(n).alias("t"))
+    named = sum(F.contains("t", F.concat(F.lit(x), n)).cast("int") for x in ("dump", "sha", "date"))
+    return rows.select("n_nationkey", F.substring("t", 1, 55).alias("begins"), named.alias("named"))
+
+
 @query("""SELECT p_partkey, CASE WHEN contains(p_name, 'i') THEN CAST(strpos(p_name, 'i') AS VARCHAR) ELSE '' END || '/' || replace(p_name, 'e', 'E') || '/' || length(p_name) || '/' || CASE p_partkey % 3 WHEN 0 THEN 'French' WHEN 1 THEN 'German' ELSE '' END AS text FROM part""")
 def string_fns(spark, sf_dir):
     code = F.element_at(F.array(F.lit("fr"), F.lit("de"), F.lit("xx")), (F.col("p_partkey") % 3 + 1).cast("int"))
@@ -493,12 +578,12 @@ def _graph(spark, sf_dir):
     """Word graph: each line's first word leads to its others."""
     lines = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line"))
     words = lines.select(tokens.words(F.col("line")).alias("w")).where(F.size("w") > 1)
-    return words.select(F.col("w")[0].alias("parent"), F.explode(F.slice("w", F.lit(2), F.lit(4))).alias("target")).distinct()
+    return words.select(F.col("w")[0].alias("parent"), F.explode(F.slice("w", F.lit(2), F.size("w"))).alias("target")).distinct()
 
 
 @query(r"""
     WITH RECURSIVE w AS (SELECT list_transform(regexp_extract_all(lower(unnest(string_split(text, chr(10)))), '[\p{L}\p{N}][\p{L}\p{M}\p{N}''’.\-]*'), lambda x: regexp_replace(x, '[''’.\-]+$', '')) AS w FROM benchmark),
-    e AS (SELECT DISTINCT w[1] AS parent, unnest(w[2:5]) AS target FROM w WHERE len(w) > 1),
+    e AS (SELECT DISTINCT w[1] AS parent, unnest(w[2:]) AS target FROM w WHERE len(w) > 1),
     c(word) AS (SELECT 'the' UNION SELECT target FROM c JOIN e ON word = parent) SELECT word FROM c""")
 def closure_reach(spark, sf_dir):
     return closure.reached(closure.checkpointed(_graph(spark, sf_dir)), spark.createDataFrame([("the",)], "word string"))

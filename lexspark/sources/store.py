@@ -59,9 +59,17 @@ class Hadoop:
         files.delete(p, True)
 
     def move(self, path: str, to: str) -> None:
+        """Put a folder in another's place; what was there stays aside until the new one is in, and comes back if it can't be."""
         p, files = self._at(path)
-        self.delete(to)
-        if not files.rename(p, self.jvm.org.apache.hadoop.fs.Path(to)):
+        target, aside = self.jvm.org.apache.hadoop.fs.Path(to), self.jvm.org.apache.hadoop.fs.Path(f"{to.rstrip('/')}.before")
+        if files.exists(target):
+            files.delete(aside, True)
+            files.rename(target, aside)
+        if files.rename(p, target):
+            files.delete(aside, True)
+        else:
+            if files.exists(aside):
+                files.rename(aside, target)
             raise OSError(f"{path} can't be moved to {to}")
 
 
