@@ -7,8 +7,8 @@ have next to no padding: whole capacities first, then the largest reciprocal tha
 times. Nothing is shuffled. What stays in unfilled bins at a partition's end is put together
 first-fit, decreasing.
 
-Cuts buy padding: on documents of 80 to 20,000 tokens a document has 3.7 pieces (``CUTS`` = 3) and sequences have
-below 0.1 % of padding; uncut documents of less than a sequence fill their classes' bins to three quarters.
+Cuts buy padding. On the documents of the sf0.1 table, whole sequences cut off and the rest in up to ``CUTS``
+pieces: 1 (uncut) gives 1.5 pieces a document and 12.8 % of padding, 2 gives 2.5 and 1.4 %, 3 gives 3.4 and 0.1 %.
 """
 
 from __future__ import annotations
