@@ -141,9 +141,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, positive: int, unlabelled: int,
     """The share of positive texts among the unlabelled ones, from the features' counts in both (see ``select_features``).
 
     That is the least upper confidence bound (two standard errors) of the ratio of a feature's shares, over
-    the features of at least a ``least`` share of positive texts, and five of them.
+    the features of at least a ``least`` share of positive texts, and three of them (or all, of fewer).
     """
-    some = np.flatnonzero(p >= max(5, least * positive))
+    some = np.flatnonzero(p >= max(min(3, positive), least * positive, 1))
     if not len(some):
         return 0.5
     a, b = p[some] / positive, (u[some] + 1) / (unlabelled + 1)
