@@ -20,18 +20,20 @@ from .plain import plain
 DEPTH = 40
 REDIRECTS = 8
 #: Templates that only tell editors something.
-NOTICES = frozenset(
-    "rfdef rfex rfexample rfv-sense rfc-sense rfd-sense rfm-sense rfclarify rfquote rfquote-sense rfquotek rfref rfdate rfdatek rfi rfe rfv rfd rfc rfm rft-sense rfscript attention attn rfv-quote rfap rfpron rfinfl rfelite rfgloss rfusex rfquote-lite rfdef-sense rfdatek-lite rfscriptex".split()
-) | {"tea room sense", "tea room"}
+NOTICES = frozenset([
+    "rfdef", "rfex", "rfexample", "rfv-sense", "rfc-sense", "rfd-sense", "rfm-sense", "rfclarify", "rfquote", "rfquote-sense", "rfquotek", "rfref",
+    "rfdate", "rfdatek", "rfi", "rfe", "rfv", "rfd", "rfc", "rfm", "rft-sense", "rfscript", "attention", "attn", "rfv-quote", "rfap", "rfpron",
+    "rfinfl", "rfelite", "rfgloss", "rfusex", "rfquote-lite", "rfdef-sense", "rfdatek-lite", "rfscriptex", "tea room sense", "tea room",
+])
 #: The data modules, those asked first first.
 LABEL_MODULES = ("labels/data/lang/en", "labels/data", "labels/data/qualifiers", "labels/data/regional", "labels/data/topical")
 TAG_MODULES = ("form of/lang-data/en", "form of/data/1", "form of/data/2")
 LANGUAGE_MODULES = re.compile(r"Module:(?:languages/data/|etymology languages/data|families/data)(?!.*/(?:extra|documentation)$)")
 #: Words for the text's date, page and punctuation.
 DATE_WORDS = {"YEAR": "year", "MONTH": "month", "MONTHNAME": "month_name", "DAY": "day"}
-PAGE_WORDS = frozenset("PAGENAME FULLPAGENAME SUBPAGENAME BASEPAGENAME PAGENAMEE".split())
+PAGE_WORDS = frozenset(["PAGENAME", "FULLPAGENAME", "SUBPAGENAME", "BASEPAGENAME", "PAGENAMEE"])
 URL_FUNCTIONS = ("fullurl:", "fullurle:", "localurl:", "localurle:", "canonicalurl:", "filepath:")
-SAME = frozenset("urlencode anchorencode ns padleft padright plural formatnum".split())
+SAME = frozenset(["urlencode", "anchorencode", "ns", "padleft", "padright", "plural", "formatnum"])
 SPACES = frozenset(("Template", "Module", "Wiktionary", "Appendix"))
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|inf|infinity|nan)\Z", re.I | re.A)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 #: Tags whose contents stay together.
-SEALED = "ref nowiki math pre syntaxhighlight chem ce gallery score templatestyles".split()
+SEALED = ["ref", "nowiki", "math", "pre", "syntaxhighlight", "chem", "ce", "gallery", "score", "templatestyles"]
 KINDS = {"}}}": "parameter", "}}": "template", "]]": "link"}
 _SEALED = re.compile(rf"<({'|'.join(SEALED)})[ >/\t\n]", re.I | re.A)
 _STOPS = {closer: re.compile("|".join([*(re.escape(closer), r"\|") * bool(closer), r"\{\{\{?", r"\[\[", "<"])) for closer in ("", *KINDS)}

@@ -8,7 +8,7 @@ from ..text import WHITE, code_point, py_split
 
 #: Entities with a name, prefixes of other wikis that links don't show.
 ENTITIES = {"nbsp": " ", "#160": " ", "#32": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "ndash": "–", "mdash": "—", "deg": "°", "times": "×", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "middot": "·", "minus": "−", "frac12": "½", "zwj": "\u200b", "zwnj": "\u200b", "shy": "\u200b", "lrm": "\u200b", "rlm": "\u200b"}
-INTERWIKI = "w wikipedia s wikisource species c commons en q".split()
+INTERWIKI = ["w", "wikipedia", "s", "wikisource", "species", "c", "commons", "en", "q"]
 
 _TAG = re.compile(r"<(/*)([A-Za-z0-9]+)([^>]*)>")
 _LINK = re.compile(r"\[\[(?s:(.*?))\]\]")
