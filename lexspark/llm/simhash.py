@@ -11,7 +11,8 @@ Texts with a Jaccard similarity of 0.8 differ in about ten bits of 64, out of re
 in about three at 0.8. Every bucket of either names each of its texts two partners, those whose minima agree
 most; a text keeps the best of its partners and tries them, two a round, by the exact similarity of the
 shingles, as long as they are in other groups than its own. So no bucket's pairs are all sent out, however
-many copies it holds.
+many copies it holds. What the rounds leave in different groups is then compared whole: buckets go out as blocks of
+sets, each set once a block, so no link between candidates is lost to the choice of partners.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ SKETCHES = 3  # fingerprints of minima
 NEAR_MINIMA = 7  # of 16, that may differ in a candidate
 LIKE_MINIMA = 26  # of all 48, that agree in a candidate: at a similarity of 0.8 39 do, and 26 or fewer once in a million
 PARTNERS, ROUNDS = 2, 4  # that a text tries in a round, and rounds
-BLOCK = 512  # rows of a bucket that are compared with each other; larger buckets are ordered by other minima and cut
+BLOCK = 512  # rows of a bucket among which rounds look for partners; larger buckets are ordered by other minima and cut
+CELL_ROWS, CELL_SHINGLES = 1024, 1 << 20  # of a side of a cell of the last pass; one longer text is a side by itself
+_PRINTS = ["fp", *[f"s{i}" for i in range(SKETCHES)]]
 _MIX = np.random.default_rng(42).integers(0, 2**64, (2, 16 * SKETCHES), np.uint64)
 
 
@@ -248,9 +251,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, key: str =
 
 
 def set_table(docs: DataFrame, width: int, key: str) -> DataFrame:
-    """(key, set, fp, s0, s1 ..) of every row: a digest of its different shingles, SimHash and sketches."""
+    """(key, set, fp, s0, s1 .., size) of every row: a digest of its different shingles, SimHash, sketches, their number."""
     small_batches(docs.sparkSession)
-    names = [f"s{i}" for i in range(SKETCHES)]
+    names = [*_PRINTS[1:], "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("simhash", dict)
@@ -258,7 +261,7 @@ def set_table(docs: DataFrame, width: int, key: str) -> DataFrame:
             hashes = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
             sets = shingle_sets(hashes)
             digest = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64)
-            columns = [digest, _fingerprints(hashes), *sketches(sets).T]
+            columns = [digest, _fingerprints(hashes), *sketches(sets).T, np.array([len(x) for x in sets], np.int64)]
             yield pa.RecordBatch.from_arrays([part.column(key), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], [key, "set", "fp", *names])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
@@ -335,16 +338,15 @@ def first_of(i: np.ndarray, j: np.ndarray, like: np.ndarray) -> list[np.ndarray]
 
 
 def candidates(reps: DataFrame, radius: int) -> DataFrame:
-    """The sets of ``reps`` (set, fp, s0 ..) that share a bucket with a candidate."""
+    """The sets of ``reps`` (set, fp, s0 ..) that share a bucket with a candidate, or a bucket of over BLOCK sets."""
 
     def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         some, kind = np.zeros(len(bucket), bool), _column(table, radius)
         i, j, large = small_pairs(kind, bucket, rows[1], radius)
         some[i] = some[j] = True
         for a, b in large:
-            for block in _blocks(int(table[a]), rows[1:, a:b]):
-                inner = rows[1, a + block]
-                some[a + block] |= _near(int(kind[a]), inner[:, None], inner[None], radius).sum(1) > 1  # itself and another
+            inner = rows[1, a:b]
+            some[a:b] |= b - a > BLOCK or _near(int(kind[a]), inner[:, None], inner[None], radius).sum(1) > 1  # itself and another
         return [np.unique(rows[0][some])]
 
     return in_buckets(reps, _tables(radius), ["set", "print"], work, "set long").distinct()
@@ -364,7 +366,144 @@ def proposals(rows: DataFrame, radius: int) -> DataFrame:
         u, v, like = (np.concatenate(x) for x in zip(*out, strict=True))
         return [rows[0, u], rows[0, v], like]
 
-    return in_buckets(rows, _tables(radius), ["set", "fp", *[f"s{i}" for i in range(SKETCHES)]], work, "u long, v long, like long")
+    return in_buckets(rows, _tables(radius), ["set", *_PRINTS], work, "u long, v long, like long")
+
+
+def open_pairs(table: int, root: np.ndarray, size: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i < j, of ``left`` and ``right`` rows (fp, s0 ..), of candidates of different roots that ``table`` is the first to have.
+
+    Sizes that rule the similarity out leave a pair out.
+    """
+    kind, first, second = int(_column(table, radius)), [left[:0]], [left[:0]]
+    for a in range(0, len(left), 256):
+        for b in range(0, len(right), 4096):
+            x, y = left[a : a + 256], right[b : b + 4096]
+            i, j = np.nonzero(_near(kind, rows[kind][x][:, None], rows[kind][y][None], radius) & (root[x, None] != root[None, y]) & (x[:, None] < y[None]))
+            i, j = _asked(table, x[i], y[j], size, rows, radius, similarity)
+            first.append(i)
+            second.append(j)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _asked(table: int | np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray, rows: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows those that agree enough in minima and sizes and meet in ``table`` first."""
+    least, most = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    some = (least >= similarity * most - 1e-6) & (agreeing(rows[:, i], rows[:, j]) >= LIKE_MINIMA)
+    i, j = i[some], j[some]
+    once = first_table(rows[:, i], rows[:, j], radius) == (table[i] if np.ndim(table) else table)
+    return i[once], j[once]
+
+
+def first_table(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """The first table that has both of two rows (fp, s0 ..) in a bucket, as candidates."""
+    tables = _tables(radius)
+    out = np.full(a.shape[1], len(tables))
+    differ = a ^ b
+    near = [_near(kind, a[kind], b[kind], radius) for kind in range(len(a))]
+    for t in reversed(range(len(tables))):
+        kind = int(_column(t, radius))
+        out[near[kind] & ((differ[kind] & np.int64(_signed(tables[t][1]))) == 0)] = t
+    return out
+
+
+def cells(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(cell, t, side, set) of the sets of rows (set, root, size, fp, s0 ..) that are candidates of sets of other groups.
+
+    A cell is a bucket of table t, or two blocks of a larger one (sides 1 and 2; 3 is both). Each pair of candidates
+    of different groups meets in one cell. Only sets with such a pair are sent, once a cell and not once a pair.
+    """
+
+    def work(table: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        ids, root, size, prints = rows[0], rows[1], rows[2], rows[3:]
+        kind = _column(table, radius)
+        i, j, large = small_pairs(kind, bucket, prints[kind, np.arange(len(bucket))], radius)
+        apart = root[i] != root[j]
+        i, j = _asked(table, i[apart], j[apart], size, prints, radius, similarity)
+        at = np.unique(np.concatenate([i, j]))
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        lead = starts[np.searchsorted(starts, at, side="right") - 1]
+        out = [[_cell(ids[lead], table[at], 0), table[at], np.full(len(at), 3), ids[at]]]
+        for a, b in large:
+            part, t = np.arange(a, b), int(table[a])
+            part = part[np.argsort(root[a:b], kind="stable")]
+            ends = np.cumsum(size[part])
+            blocks = [x for y in np.split(part, np.flatnonzero(np.diff(ends // CELL_SHINGLES)) + 1) for x in np.split(y, range(CELL_ROWS, len(y), CELL_ROWS))]
+            for p, x in enumerate(blocks):
+                for q, y in enumerate(blocks[p:], p):
+                    if root[x[0]] == root[y[-1]]:
+                        continue  # one group: rows are ordered by root
+                    if p == q:
+                        at = np.unique(np.concatenate(open_pairs(t, root, size, prints, np.sort(x), np.sort(x), radius, similarity)))
+                        side = np.full(len(at), 3)
+                    else:
+                        both = [open_pairs(t, root, size, prints, k, m, radius, similarity) for k, m in ((x, y), (y, x))]
+                        one, two = np.unique(np.concatenate([both[0][0], both[1][1]])), np.unique(np.concatenate([both[0][1], both[1][0]]))
+                        at, side = np.concatenate([one, two]), np.repeat([1, 2], [len(one), len(two)])
+                    out.append([_cell(np.full(len(at), ids[a]), np.full(len(at), t), p << 32 | q), np.full(len(at), t), side, ids[at]])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    return in_buckets(rows, _tables(radius), ["set", "root", "size", *_PRINTS], work, "cell long, t long, side long, set long")
+
+
+def _cell(lead: np.ndarray, table: np.ndarray, blocks: int) -> np.ndarray:
+    """A number for a bucket (any of its sets, table) and its blocks; equal numbers of two cells do no harm."""
+    x = lead.view(np.uint64) ^ (table.astype(np.uint64) + np.uint64(1)) * _MIX[1, 0] ^ np.uint64(blocks) * (_MIX[1, 1] | np.uint64(1))
+    x = (x ^ x >> np.uint64(31)) * (_MIX[1, 2] | np.uint64(1))
+    return (x ^ x >> np.uint64(29)).view(np.int64)
+
+
+def _links(t: np.ndarray, side: np.ndarray, ids: np.ndarray, root: np.ndarray, size: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """The links that join the groups of one cell, those that agree most first; pairs of joined groups are not compared."""
+    out, joined = [], {}
+
+    def top(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for table in np.unique(t).tolist():
+        left, right = (np.flatnonzero((t == table) & (side & k > 0)) for k in (1, 2))
+        found = [open_pairs(table, root, size, prints, x, y, radius, similarity) for x, y in (((left, right),) if (side == 3).all() else ((left, right), (right, left)))]
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(-agreeing(prints[:, i], prints[:, j]), kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            x, y = top(int(root[a])), top(int(root[b]))
+            if x != y and jaccard(sets[a], sets[b]) >= similarity:
+                joined[max(x, y)] = min(x, y)
+                out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def remaining(rows: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (u, v) of this similarity that join the groups (root) of rows (set, root, size, fp, s0 ..): every pair of
+    candidates in different groups is compared, in the cell where it meets, unless the cell's other links join them."""
+    names = ["cell", "t", "side", "set", "root", "size", *_PRINTS]
+    met = materialize(cells(rows, radius, similarity), "cells")
+    full = met.join(rows.select(*names[3:]), "set").join(sets, "set").select(*names, "shingles").repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            t, side, ids, root, size, *prints = (whole.column(c).to_numpy() for c in names[1:])
+            shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in whole.column("shingles")]
+            links = _links(t, side, ids, root, size, np.stack(prints), shingles, radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([u for u, _ in links], [v for _, v in links])], ["u", "v"])
+
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if held and held[0].column("cell")[0].as_py() != cell[a]:
+                        yield done()
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    return full.mapInArrow(run, "u long, v long")
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
@@ -378,17 +517,19 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("set", "text").mapInArrow(run, "set long, shingles binary")
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The exact similarity of two ascending sets; none for two empty ones."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if both else 0.0
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of sets (set, shingles) that have this Jaccard similarity or more."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            near = []
-            for a, b in zip(part.column("a"), part.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                less, more = min(len(x), len(y)), max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if less and less / more >= similarity else 0
-                near.append(both > 0 and both / (less + more - both) >= similarity)
+            both = zip(part.column("a"), part.column("b"), strict=True)
+            near = [jaccard(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= similarity for a, b in both]
             yield part.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     a, b = (sets.select(F.col("set").alias(k), F.col("shingles").alias(c)) for k, c in (("u", "a"), ("v", "b")))
@@ -400,12 +541,12 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = 3, similarity:
 
     Equal sets of shingles are linked, texts without words among them. Every other text keeps its PARTNERS x
     ROUNDS best candidates and tries them, PARTNERS a round, by their exact similarity; those of its own group
-    fall out. Rounds end when one finds no link. Work is in proportion to the texts; what it costs is that two
-    groups stay apart if no text's best candidates link them (README: measured recall).
+    fall out. Rounds end when one finds no link. They join nearly all groups with work in proportion to the
+    texts; then every pair of candidates that is still in different groups is compared (``remaining``), so no
+    bucket's size and no number of partners loses a link.
     """
-    names = [f"s{i}" for i in range(SKETCHES)]
     prints = materialize(set_table(docs, width, key), "fingerprints")
-    reps = materialize(prints.groupBy("set").agg(F.min(key).alias("rep"), *[F.min(c).alias(c) for c in ("fp", *names)]), "distinct")
+    reps = materialize(prints.groupBy("set").agg(F.min(key).alias("rep"), *[F.min(c).alias(c) for c in (*_PRINTS, "size")]), "distinct")
     asked = materialize(reps.join(candidates(reps, radius), "set"), "candidates")
     texts = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
     sets = materialize(shingle_table(texts.join(asked.select("set", F.col("rep").alias(key)), key), width), "shingles")
@@ -413,22 +554,27 @@ def similar_groups(docs: DataFrame, width: int = 5, radius: int = 3, similarity:
     ranked = proposals(asked, radius).groupBy("u").agg(best.alias("best"))
     left = materialize(ranked.select("u", F.posexplode("best.v").alias("turn", "v")), "partners")
     parts, edges = None, None
+
+    def grouped(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        whole = found if edges is None else edges.union(found)
+        return whole, materialize(connected_components(whole).select(F.col("vertex").alias("set"), F.col("component").alias("root")), "parts")
+
     for _ in range(ROUNDS):
         own = left.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "v"))), 1, PARTNERS).alias("best"))
         pairs = own.select("u", F.explode("best.v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         found = materialize(similar(pairs, sets, similarity), "similar")
         if not found.limit(1).count():
-            # Not the end for sets whose next partners may be similar, but these agree less than two that aren't.
             break
-        edges = found if edges is None else edges.union(found)
-        parts = materialize(connected_components(edges).select(F.col("vertex").alias("set"), F.col("component").alias("root")), "parts")
+        edges, parts = grouped(found)
         u, v = (parts.select(F.col("set").alias(c), F.col("root").alias(f"root_{c}")) for c in "uv")
         tried = own.select("u", F.explode("best").alias("b")).select("u", F.col("b.turn").alias("turn"))
         apart = left.join(u, "u", "left").join(v, "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "turn")
         left = materialize(apart.join(tried, ["u", "turn"], "left_anti"), "partners")
-    marked = reps.select("set", "rep").withColumn("root", F.col("set"))
-    if parts is not None:
-        marked = reps.join(parts, "set", "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
+    rooted = lambda rows: rows.withColumn("root", F.col("set")) if parts is None else rows.join(parts, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    found = materialize(remaining(materialize(rooted(asked), "rooted"), sets, radius, similarity), "similar")
+    if found.limit(1).count():
+        edges, parts = grouped(found)
+    marked = rooted(reps).select("set", "rep", "root")
     ids = marked.groupBy("root").agg(F.min("rep").alias("component_id"))
     return prints.join(materialize(marked.join(ids, "root").select("set", "component_id"), "groups"), "set").select(key, "component_id")
 

@@ -105,6 +105,35 @@ def test_simhash(spark, sf, hard, empty):
     assert kept.columns == hard.columns and sum(r["doc_id"] == 8 for r in kept.collect()) == 2 and sum(not (r["text"] or "").strip() for r in kept.collect()) == 1
 
 
+def test_similar_groups_lose_no_link_in_large_buckets(spark):
+    """1,300 texts of one passage, each with a word of its own: far over a text's partners, a bucket's block and a cell."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for i in range(1300):
+        words = list(base)
+        words[6 * rng.randrange(1, 9) + rng.choice([0, 0, 0, 2])] = f"own{i}"  # away from the ends, where a word is in fewer shingles
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs, 5, 5, 0.8).collect()}
+    assert len(set(got.values())) > 5
+    assert got == {i: top(i) for i in range(len(texts))}
+
+
 def test_near_dedup_reaches_its_similarity(spark, sf):
     r = random.Random(6)
     rows, gone, i = [], set(), 0
