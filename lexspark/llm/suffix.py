@@ -13,11 +13,12 @@ Common prefixes are so found by increasing length, and expansion stops at the mi
 Intervals of one suffix end early. What is left are the repeated strings; in each, all
 occurrences but the earliest are removed.
 
-The segments of a very frequent anchor (a line that a third of all texts hold) don't meet in one task. A
-sample of the rows tells such anchors, HEAVY of them at most; the sample decides on routes only, never on
-results. Their segments are dealt by content first, then to blocks of bounded size. What a block doesn't
-remove are its strings' earliest occurrences, and those of all blocks are settled by an aggregation over the
-strings' hashes, of which each block brings one.
+The segments of a very frequent anchor (a line that a third of all texts hold) don't meet in one task. They are
+cut into parts, by how far before the anchor a string starts; the bytes that all strings of a part share, nearly
+``length`` of them, are its anchor then. Parts that are still frequent are cut into their strings. Equal strings
+are cut alike, so nothing else changes: parts are segments, of which equal ones are repeats and different ones
+meet if they share their anchor. A sample of the rows tells what is frequent, HEAVY anchors and HEAVY parts at
+most; the sample decides on routes only, never on results.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ STEP = 10
 INDEX_BYTES = 1 << 18
 #: One row in SAMPLE is looked at for anchors with FREQUENT different segments or more in that sample.
 SAMPLE, FREQUENT, HEAVY = 64, 8, 10_000
-#: Segments of a frequent anchor in a block, about.
-BLOCK = 256
+#: The strings of a segment of a frequent anchor in one part; a part of BLOCK different ones, about, is cut into strings.
+PART, BLOCK = 9, 256
 MIX = np.random.default_rng(20260303).integers(1, 1 << 63, 256, dtype=np.int64).view(np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -78,14 +79,30 @@ class Spans:
         return _finish((self.sums[width:] - self.sums[:-width]) * self.back[: len(self.sums) - width])
 
 
-def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def _cut(start: np.ndarray, n: np.ndarray, core: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Parts of segments in order: which segment's, start, number of strings, and where what all strings of the part share begins.
+
+    A part's strings start from k * ``width`` to (k + 1) * ``width`` - 1 bytes before the segment's core.
+    """
+    far = core - start
+    many = far // width - (far - n + 1) // width + 1
+    of = np.repeat(np.arange(len(start)), many)
+    own = core[of] + width * ragged(-(far // width), many)
+    a, b = np.maximum(start[of], own - width + 1), np.minimum(start[of] + n[of] - 1, own)
+    return of, a, b - a + 1, own
+
+
+def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent: tuple[list[int], ...] = (), parts: bool = False) -> tuple[np.ndarray, ...]:
     """Anchor hash, content hash, start in ``raw``, number of strings and sides of each segment of the texts.
 
     A segment of n strings is the bytes from its start to start + n + length - 1; its content hash is XXH3 of
     these. Its sides are two 16-bit hashes, of the anchor with half the other bytes of a string before
-    it, and after it (0: the text ends there). A string has one of the two whole, so segments with a
+    it, and after it (0: no string of the segment has these whole). A string has one of the two whole, so segments with a
     string in common have a side in common. Segments count as equal if both hashes, the sides and
-    the lengths agree, 160 bits of two unlike families of hashes.
+    the lengths agree, 160 bits of two unlike families of hashes (128 for a single string).
+
+    ``frequent``: anchors of segments that are cut into parts, and then those of parts that are cut into
+    strings; ``parts``: return those of the last cut only.
     """
     none = (*(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)
     many = np.maximum(np.diff(off) - length + 1, 0)
@@ -107,16 +124,30 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
-    start, place = at[first], place[first]
+    start, core = at[first], place[first]
+    anchor, size = hashes[core], np.full(len(first), gram)
+    last = np.ones(len(first), bool)
+    for keys, width in zip(frequent, (min(PART, length - gram + 1), 1), strict=False):
+        cut = last.copy()
+        cut[last] = np.isin(anchor[last].view(np.int64), np.array(keys, np.int64))
+        of, a, m, own = _cut(start[cut], n[cut], core[cut], width)
+        order = np.argsort(np.concatenate([start[~cut], a]), kind="stable")
+        left, shared = int((~cut).sum()), np.full(len(a), length + 1 - width)
+        anchor = np.concatenate([anchor[~cut], spans.of(own, own + shared)])[order]
+        start, n, core, size = (np.concatenate([x[~cut], y])[order] for x, y in ((start, a), (n, m), (core, own), (size, shared)))
+        last = order >= left
+    if parts:
+        anchor, start, n, core, size = (x[last] for x in (anchor, start, n, core, size))
     doc = np.searchsorted(off, start, side="right") - 1
-    half = -(-(length - gram) // 2)
-    a, b = np.maximum(place - half, 0), np.minimum(place + gram + half, len(raw))
-    before = np.where(place - half >= off[doc], spans.of(a, place + gram) % np.uint64(65535) + np.uint64(1), 0)
-    after = np.where(place + gram + half <= off[doc + 1], spans.of(place, b) % np.uint64(65535) + np.uint64(1), 0)
+    half = -(-(length - size) // 2)
+    a, b = np.maximum(core - half, 0), np.minimum(core + size + half, len(raw))
+    far = core - start
+    before = np.where((far >= half) & (core - half >= off[doc]), spans.of(a, core + size) % np.uint64(65535) + np.uint64(1), 0)
+    after = np.where((far - n + 1 <= length - size - half) & (core + size + half <= off[doc + 1]), spans.of(core, b) % np.uint64(65535) + np.uint64(1), 0)
     sides = (before.astype(np.int64) << 16) | after.astype(np.int64)
     text, hashed = raw.tobytes(), xxhash.xxh3_64_intdigest
     content = np.fromiter((hashed(text[i:j], 42) for i, j in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)), np.uint64, len(start))
-    return hashes[place], content, start, n, sides
+    return anchor, content, start, n, sides
 
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,38 +275,39 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
 
 SEGMENTS = "anchor long, content long, row_key long, place long, info long"
 FOUND = "anchor long, row_key long, start int, strings int, kind byte"
-#: Kinds of found segments: repeats as a whole, those that meet others, those of frequent anchors.
-KNOWN, MEETS, SPLIT = 0, 1, 2
+#: Kinds of found segments: repeats as a whole, those that meet others.
+KNOWN, MEETS = 0, 1
 LOW = (1 << 32) - 1
 
 
-def frequent_anchors(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE, least: int = FREQUENT) -> dict[int, int]:
-    """Anchors with many different segments in a sample of the rows, with the number of their blocks; HEAVY at most."""
+def frequent_anchors(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE, least: int = FREQUENT, cut: tuple[list[int], ...] = ()) -> list[int]:
+    """Anchors with many different segments in a sample of the rows; HEAVY at most.
+
+    ``cut``: anchors of segments that are cut into parts; then those of parts are returned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 1 << 20):
-            anchor, content, *_ = segments(*string_bytes(part.column("text")), length)
+            anchor, content, *_ = segments(*string_bytes(part.column("text")), length, frequent=cut, parts=True)
             yield _batch([anchor.view(np.int64), content.view(np.int64)], "anchor long, content long")
 
     rows = docs.where(F.pmod(F.xxhash64("row_key"), F.lit(sample)) == 0).select("text").mapInArrow(run, "anchor long, content long")
     many = rows.distinct().groupBy("anchor").count().where(F.col("count") >= least)
-    return {r["anchor"]: -(-r["count"] * sample // BLOCK) for r in many.orderBy(F.desc("count"), "anchor").limit(HEAVY).collect()}
+    return [r["anchor"] for r in many.orderBy(F.desc("count"), "anchor").limit(HEAVY).collect()]
 
 
-def _segment_rows(docs: DataFrame, length: int, frequent: dict[int, int]) -> DataFrame:
+def _segment_rows(docs: DataFrame, length: int, frequent: tuple[list[int], ...]) -> DataFrame:
     """The segments of all texts, equal ones of a slice counted together; place is start << 32 | strings.
 
-    Info is the number of equal ones << 32 | sides. The earliest of these goes to its anchor, or to an
-    anchor of its own content if the anchor is frequent (info < 0 then). The others are repeats in any
-    case: those that follow each other make one row (info 0), with a random number for an anchor, so that
-    a frequent segment gets a row from each slice.
+    Info is the number of equal ones << 32 | sides. The earliest of these goes to its anchor. The others
+    are repeats in any case: those that follow each other make one row (info 0), with a random number for
+    an anchor, so that a frequent segment gets a row from each slice.
     """
-    heavy = np.array(sorted(frequent), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 1 << 20):
             raw, off = string_bytes(part.column("text"))
-            anchor, content, start, n, sides = segments(raw, off, length)
+            anchor, content, start, n, sides = segments(raw, off, length, frequent=frequent)
             if not len(anchor):
                 continue
             doc = np.searchsorted(off, start, side="right") - 1
@@ -286,11 +318,7 @@ def _segment_rows(docs: DataFrame, length: int, frequent: dict[int, int]) -> Dat
             lead[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
             copies = np.diff(np.append(np.flatnonzero(lead), len(order)))
             ones = order[lead]
-            route, info = anchor[ones], copies << 32 | sides[ones]
-            if len(heavy):
-                split = np.isin(route.view(np.int64), heavy)
-                route = np.where(split, route ^ _finish(content[ones]), route)
-                info = np.where(split, -1 - info, info)
+            info = copies << 32 | sides[ones]
             again = np.sort(order[~lead])  # by text and place
             joined = np.zeros(len(again), bool)
             joined[1:] = (key[again[1:]] == key[again[:-1]]) & (start[again[1:]] == start[again[:-1]] + n[again[:-1]]) & (again[1:] == again[:-1] + 1)
@@ -299,7 +327,7 @@ def _segment_rows(docs: DataFrame, length: int, frequent: dict[int, int]) -> Dat
             again = again[head]
             k, at = key[again], start[again]
             yield _batch(
-                [np.concatenate([route, _finish(k.astype(np.uint64) * BASE + at.astype(np.uint64))]).view(np.int64), np.concatenate([content[ones], np.zeros(len(k), np.uint64)]).view(np.int64),
+                [np.concatenate([anchor[ones], _finish(k.astype(np.uint64) * BASE + at.astype(np.uint64))]).view(np.int64), np.concatenate([content[ones], np.zeros(len(k), np.uint64)]).view(np.int64),
                  np.concatenate([key[ones], k]), np.concatenate([start[ones] << 32 | n[ones], at << 32 | total]), np.concatenate([info, np.zeros(len(k), np.int64)])], SEGMENTS)
 
     return docs.select("row_key", "text").mapInArrow(run, SEGMENTS)
@@ -309,19 +337,17 @@ class Settling:
     """Segments as they come by anchor, content, row_key and place: which are repeats, which matter further.
 
     Of equal segments the first stays and the others are repeats. One that stays matters further if it
-    shares a side with another of its anchor, or if the anchor is frequent. Only the different segments of one anchor are held.
+    shares a side with another of its anchor. Only the different segments of one anchor are held.
     """
 
-    def __init__(self, frequent: dict[int, int]):
-        self.heavy = np.array(sorted(frequent), np.int64)
-        self.parts = np.array([frequent[int(a)] for a in self.heavy], np.int64)
+    def __init__(self):
         self.open = {c: np.zeros(0, np.int64) for c in ("anchor", "content", "row_key", "place", "info")}
 
     def put(self, batch: pa.RecordBatch | None) -> pa.RecordBatch:
         x = self.open if batch is None else {c: np.concatenate([v, batch.column(c).to_numpy()]) for c, v in self.open.items()}
         n = len(x["anchor"])
         whole = x["info"] == 0
-        sides = np.where(x["info"] < 0, -1 - x["info"], x["info"]) & LOW
+        sides = x["info"] & LOW
         new = np.ones(n, bool)
         if n:
             new[1:] = (x["anchor"][1:] != x["anchor"][:-1]) | (x["content"][1:] != x["content"][:-1]) | (sides[1:] != sides[:-1]) | ((x["place"][1:] ^ x["place"][:-1]) & LOW != 0)
@@ -334,30 +360,22 @@ class Settling:
         done = len(stay) if batch is None else int(np.searchsorted(x["anchor"][stay] == x["anchor"][-1], True)) if n else 0
         self.open = {c: v[stay[done:]] for c, v in x.items()}
         one, group = stay[:done], np.cumsum(turn)[stay[:done]]
-        split = x["info"][one] < 0
-        meets = split.copy()
+        meets = np.zeros(done, bool)
         for side in (sides[one] >> 16, sides[one] & 0xFFFF):
             _, at, many = np.unique(group << 16 | side, return_inverse=True, return_counts=True)
             meets |= (many[at] > 1) & (side > 0)
-        anchor = x["anchor"].copy()
-        if split.any():  # back to the anchor itself, then to one of its blocks
-            i = one[split]
-            own = anchor[i].view(np.uint64) ^ _finish(x["content"][i].view(np.uint64))
-            number = np.minimum(np.searchsorted(self.heavy, own.view(np.int64)), len(self.heavy) - 1)
-            dealt = _finish(x["row_key"][i].view(np.uint64) * BASE + x["place"][i].view(np.uint64)) % self.parts[number].astype(np.uint64)
-            anchor[i] = _finish(own + (dealt + np.uint64(1)) * BASE).view(np.int64)
         kind = np.full(n, KNOWN, np.int8)
-        kind[one] = np.where(split, SPLIT, MEETS)
+        kind[one] = MEETS
         out = np.concatenate([np.flatnonzero(known), one[meets]])
-        return _batch([anchor[out], x["row_key"][out], (x["place"][out] >> 32).astype(np.int32), (x["place"][out] & LOW).astype(np.int32), kind[out]], FOUND)
+        return _batch([x["anchor"][out], x["row_key"][out], (x["place"][out] >> 32).astype(np.int32), (x["place"][out] & LOW).astype(np.int32), kind[out]], FOUND)
 
 
-def _shared_anchors(rows: DataFrame, frequent: dict[int, int]) -> DataFrame:
+def _shared_anchors(rows: DataFrame) -> DataFrame:
     """Repeats, and the different segments that may have a string in common with others (see ``Settling``)."""
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "content", "row_key", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settling = Settling(frequent)
+        settling = Settling()
         for batch in batches:
             if batch.num_rows:
                 yield settling.put(batch)
@@ -366,12 +384,12 @@ def _shared_anchors(rows: DataFrame, frequent: dict[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-WITH_BYTES = "anchor long, row_key long, start int, strings int, kind byte, bytes binary"
+WITH_BYTES = "anchor long, row_key long, start int, strings int, bytes binary"
 
 
 def _with_texts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     """The different segments with their bytes."""
-    wanted = found.where(F.col("kind") != KNOWN).groupBy("row_key").agg(F.collect_list(F.struct("start", "strings", "kind", "anchor")).alias("segments"))
+    wanted = found.where(F.col("kind") != KNOWN).groupBy("row_key").agg(F.collect_list(F.struct("start", "strings", "anchor")).alias("segments"))
     joined = texts.join(wanted, "row_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,42 +399,30 @@ def _with_texts(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
             inner = lists.flatten()
             counts = np.diff(lists.offsets.to_numpy())
             doc = np.repeat(np.arange(part.num_rows), counts)
-            start, n, kind, anchor = (inner.field(i).to_numpy() for i in range(4))
+            start, n, anchor = (inner.field(i).to_numpy() for i in range(3))
             a, text = off[doc] + start, raw.tobytes()
             bytes_ = [text[i:j] for i, j in zip(a.tolist(), (a + n + length - 1).tolist(), strict=True)]
-            yield _batch([anchor, part.column("row_key").to_numpy()[doc], start, n, kind, pa.array(bytes_, pa.binary())], WITH_BYTES)
+            yield _batch([anchor, part.column("row_key").to_numpy()[doc], start, n, pa.array(bytes_, pa.binary())], WITH_BYTES)
 
     return joined.select("row_key", "text", "segments").mapInArrow(run, WITH_BYTES)
 
 
-MARKS = "row_key long, start int, strings int, high long, low long"
+MARKS = "row_key long, start int, strings int"
 
 
 def _expanded(rows: DataFrame, length: int) -> DataFrame:
-    """Repeats among the different segments of each anchor or block: (row_key, start, strings, null, null).
-
-    For each string that a frequent anchor's block keeps, also its place (strings 1) with its 128-bit hash.
-    """
+    """Repeats among the different segments of each anchor: (row_key, start, strings)."""
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
 
     def index(batch: pa.Table) -> pa.RecordBatch:
-        key, start, n, kind = (batch.column(c).to_numpy() for c in ("row_key", "start", "strings", "kind"))
-        texts = batch.column("bytes").to_pylist()
-        marks = keep_marks(texts, n, key, start, length)
+        key, start, n = (batch.column(c).to_numpy() for c in ("row_key", "start", "strings"))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        one: list[tuple[int, int, int]] = []
-        for i, flags in enumerate(marks):
+        for i, flags in enumerate(keep_marks(batch.column("bytes").to_pylist(), n, key, start, length)):
             if flags.any():
                 a, b = _runs(flags)
                 out.append((np.full(len(a), key[i]), start[i] + a, b - a))
-            if kind[i] == SPLIT:
-                one += [(int(key[i]), int(start[i]) + j, xxhash.xxh3_128_intdigest(texts[i][j : j + length], 42)) for j in np.flatnonzero(~flags).tolist()]
         k, s, m = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        high, low = (np.array([x[2] >> shift & (1 << 64) - 1 for x in one], np.uint64).view(np.int64) for shift in (64, 0))
-        none = pa.nulls(len(k), pa.int64())
-        return _batch(
-            [np.concatenate([k, np.array([x[0] for x in one], np.int64)]), np.concatenate([s, np.array([x[1] for x in one], np.int64)]).astype(np.int32), np.concatenate([m, np.ones(len(one), np.int64)]).astype(np.int32),
-             pa.concat_arrays([none, pa.array(high)]), pa.concat_arrays([none, pa.array(low)])], MARKS)
+        return _batch([k, s.astype(np.int32), m.astype(np.int32)], MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("suffix", dict)
@@ -426,43 +432,35 @@ def _expanded(rows: DataFrame, length: int) -> DataFrame:
             for part in text_slices(iter([batch]), "bytes", INDEX_BYTES // 4):
                 held.append(part)
                 size += part.column("bytes").nbytes
-                anchor = part.column("anchor").to_numpy()
-                if size < INDEX_BYTES or anchor[-1] == held[0].column("anchor")[0].as_py():
+                last = part.column("anchor")[-1].as_py()
+                if size < INDEX_BYTES or last == held[0].column("anchor")[0].as_py():
                     continue
-                cut = int(np.searchsorted(anchor, anchor[-1]))
-                rest, held[-1] = part.slice(cut), part.slice(0, cut)
-                yield index(pa.Table.from_batches(held).combine_chunks())
-                held, size = [rest], rest.column("bytes").nbytes
+                # The last anchor goes on: its segments stay, from whichever part on they came.
+                whole = pa.Table.from_batches(held).combine_chunks()
+                cut = int(np.searchsorted(whole.column("anchor").to_numpy(), last))
+                yield index(whole.slice(0, cut))
+                held = whole.slice(cut).combine_chunks().to_batches()
+                size = sum(x.column("bytes").nbytes for x in held)
         if held:
             yield index(pa.Table.from_batches(held).combine_chunks())
 
     return dealt.mapInArrow(run, MARKS)
 
 
-def _between_blocks(kept_strings: DataFrame) -> DataFrame:
-    """Of the strings that the blocks of frequent anchors keep, those with an earlier occurrence in another block."""
-    firsts = kept_strings.groupBy("high", "low").agg(F.min(F.struct("row_key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return kept_strings.join(firsts, ["high", "low"]).where(F.struct("row_key", "start") != F.col("first")).select("row_key", "start", "strings")
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` (with row_key, text and whatever else) and ``runs``: the maximal removed byte ranges.
 
     runs is an array of struct<start int, end int>, ascending, null where nothing is removed. A
     byte is removed if a ``length``-byte string over it starts earlier too: in a row of smaller
     row_key, or before in the same row. Strings are judged on the input and never cross rows.
-    ``sample`` and ``frequent`` say which anchors are split among tasks (see ``frequent_anchors``).
+    ``sample`` and ``frequent`` say which anchors' segments are cut (see ``frequent_anchors``).
     """
     small_batches(docs.sparkSession)
-    heavy = frequent_anchors(docs, length, sample, frequent)
-    found = materialize(_shared_anchors(_segment_rows(docs, length, heavy), heavy), "segments")
+    anchors = frequent_anchors(docs, length, sample, frequent)
+    cut = (anchors, frequent_anchors(docs, length, sample, max(2, -(-BLOCK // sample)), (anchors,))) if anchors else ()
+    found = materialize(_shared_anchors(_segment_rows(docs, length, cut)), "segments")
     marks = _expanded(_with_texts(docs.select("row_key", "text"), found, length), length)
-    if heavy:
-        marks = materialize(marks, "marks")
-    known = found.where(F.col("kind") == KNOWN).select("row_key", "start", "strings")
-    known = known.union(marks.where("high IS NULL").select("row_key", "start", "strings"))
-    if heavy:
-        known = known.union(_between_blocks(marks.where("high IS NOT NULL")))
+    known = found.where(F.col("kind") == KNOWN).select("row_key", "start", "strings").union(marks)
     runs = known.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("strings") + F.lit(length - 1)).alias("end")))).alias("runs"))
     return docs.join(materialize(runs, "runs"), "row_key", "left")
 

@@ -211,6 +211,32 @@ def test_segments_tile_all_strings():
             assert by.setdefault(raw[i : i + 100].tobytes(), a) == a  # equal strings, equal anchors
 
 
+def test_segments_of_frequent_anchors_are_cut_alike():
+    """Parts and strings tile what the segments tile, in order, and equal strings have equal anchors."""
+    batch = [t or "" for t in ODD] + [t * 5 for t in texts(8, 30)] + ["abc" * 200, "x" * 500] + [f"{i} " * 20 + "a line of some length " * 9 + f"{i}" * 40 for i in range(9)]
+    raw, off = string_bytes(pa.array(batch))
+    anchor, _, _, n, _ = suffix.segments(raw, off)
+    anchors = anchor.view(np.int64).tolist()
+    parts = suffix.segments(raw, off, frequent=(anchors[::2],), parts=True)[0].view(np.int64).tolist()
+    assert suffix.segments(raw, off, frequent=([], []), parts=True)[0].size == 0
+    for cut, most in (((anchors,), 9), ((anchors[::2],), 71), ((anchors[::2], parts[::2]), 71), ((anchors, suffix.segments(raw, off, frequent=(anchors,), parts=True)[0].view(np.int64).tolist()), 1)):
+        a, _, start, k, _ = suffix.segments(raw, off, frequent=cut)
+        assert k.sum() == n.sum() and k.min() >= 1 and k.max() <= most and (start[1:] >= start[:-1] + k[:-1]).all()
+        by = {}
+        for one, s, m in zip(a.tolist(), start.tolist(), k.tolist(), strict=True):
+            for i in range(s, s + m):
+                assert by.setdefault(raw[i : i + 100].tobytes(), one) == one
+
+
+def test_equal_segments_have_equal_sides():
+    """What stands around a segment is no side of it."""
+    raw, off = string_bytes(pa.array([f"{w} {'to ' * 60}{w}" for w in ("left out", "here", "a much longer beginning than that")]))
+    _, content, _, n, sides = suffix.segments(raw, off)
+    by = {}
+    for c, k, s in zip(content.tolist(), n.tolist(), sides.tolist(), strict=True):
+        assert by.setdefault((c, k), s) == s
+
+
 def _brute_jpeg(coefficients, sampling, scans):
     """A progressive file with ordinary codes (8 bits for every symbol), written bit by bit."""
     w, h = 8 * max(s[0] for s in sampling) * 2, 8 * max(s[1] for s in sampling) * 2

@@ -77,6 +77,33 @@ def test_suffix_dedup_splits_frequent_anchors(spark):
         assert {r["row_key"]: (sum(b - a for a, b in m), len(m)) for r, m in zip(found, merged, strict=True)} == wanted
 
 
+def _runs_of(spark, rows, **limits):
+    found = suffix.repeats(spark.createDataFrame(rows, "row_key long, text string"), **limits).select("row_key", "runs").collect()
+    merged = suffix._union(common.pa.array([[x.asDict() for x in r["runs"] or []] for r in found]))
+    return {r["row_key"]: (sum(b - a for a, b in m), len(m)) for r, m in zip(found, merged, strict=True)}
+
+
+def test_suffix_dedup_sends_runs_not_strings(spark, monkeypatch):
+    """A line in all rows, between words of each row's own: no row leaves the index for each string that may be elsewhere."""
+    r = random.Random(7)
+    line = " ".join(f"w{r.randrange(1000)}" for _ in range(60))
+    rows = [(i, f"{r.randrange(10**60)} {line} {r.randrange(10**60)}") for i in range(150)]
+    real, made = suffix._expanded, []
+    monkeypatch.setattr(suffix, "_expanded", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(suffix, "BLOCK", 16)
+    assert _runs_of(spark, rows, sample=1, frequent=2) == {k: (n, s) for (k, _), (_, n, s, _) in zip(rows, brute_removed([t for _, t in rows]), strict=True)}
+    assert made[0].count() <= 2 * len(rows)
+
+
+def test_suffix_dedup_of_an_anchor_larger_than_an_index(spark, monkeypatch):
+    """The segments of an anchor stay together, however many slices of an index they fill and wherever they begin in one."""
+    r = random.Random(8)
+    lines = [" ".join(f"w{r.randrange(1000)}" for _ in range(40)) for _ in range(6)]
+    rows = [(i, f"{'pqr'[i % 3] * r.randrange(60)} {lines[i % 6]} {'xyz'[i % 3] * r.randrange(60)}{r.randrange(4)} {'to ' * r.randrange(80)}{r.randrange(9)}") for i in range(300)]
+    monkeypatch.setattr(suffix, "INDEX_BYTES", 2048)
+    assert _runs_of(spark, rows) == {k: (n, s) for (k, _), (_, n, s, _) in zip(rows, brute_removed([t for _, t in rows]), strict=True)}
+
+
 def test_simhash(spark, sf, hard, empty):
     def fingerprint(t):
         w = (t or "").encode().lower().split()
