@@ -140,8 +140,14 @@ def py_strip(text: str) -> str:
     return text.strip(WHITE)
 
 
+#: What str.split takes for white space beyond WHITE, and runs of WHITE.
+_SEPARATORS, _RUN = re.compile("[\x1c-\x1f]"), re.compile(f"[{WHITE}]+")
+
+
 def py_split(text: str) -> list[str]:
-    return [w for w in re.split(f"[{WHITE}]+", text) if w]
+    if not _SEPARATORS.search(text):
+        return text.split()
+    return [w for w in _RUN.split(text) if w]
 
 
 def py_join_terms(terms: list[str], word: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,13 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rendered_texts(rows: DataFrame, known: Library, *keys: str) -> DataFrame:
-    """keys and rendered text of rows (title, text): each row as an entry with one meaning."""
-    meaning = F.array(F.struct(F.lit(1).cast("smallint").alias("depth"), F.col("text").alias("text")))
-    entries = rows.select(F.to_json(F.struct("title", *keys)).alias("title"), F.array(F.struct(F.lit("").alias("word_type"), meaning.alias("meanings"))).alias("blocks"))
-    done = render.render(entries, known)
-    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return done.select(F.from_json("title", fields).alias("k"), F.col("blocks")[0]["meanings"][0]["text"].alias("text")).select("k.*", "text")
+def rendered_texts(rows: DataFrame, known: Library, title: str, text: Column, *keys: str) -> DataFrame:
+    """keys and rendered text of rows: each as an entry with one meaning. Rows are dealt out before texts are made of them."""
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    entries = render.dealt(rows, *keys).select(F.to_json(F.struct(F.col(title).alias("title"), *keys)).alias("title"), _one_meaning(text).alias("blocks"))
+    done = render.render(entries, known, spread=False)
+    return done.select(F.from_json("title", types).alias("k"), F.col("blocks")[0]["meanings"][0]["text"].alias("text")).select("k.*", "text")
+
+
+def _one_meaning(text: Column) -> Column:
+    meaning = F.array(F.struct(F.lit(1).cast("smallint").alias("depth"), text.alias("text")))
+    return F.array(F.struct(F.lit("").alias("word_type"), meaning.alias("meanings")))
 
 
 # -- words -------------------------------------------------------------------------------------
@@ -417,22 +421,21 @@ def label_list(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     label = F.when(F.col("r_name") == "AFRICA", "AFR").otherwise(F.col("r_name"))
     text = F.concat(F.lit("{{lb|en|"), label, F.lit("|or|"), "n_name", F.lit("|rare}} a [[x|"), "n_name", F.lit("]]"))
-    return rendered_texts(rows.select(F.col("n_name").alias("title"), "n_nationkey", text.alias("text")), _library(), "n_nationkey")
+    return rendered_texts(rows, _library(), "n_name", text, "n_nationkey")
 
 
 @query("""SELECT s_suppkey, 'first-person plural of ' || s_name || ' (“g”); first-person/plural and first-person of ' || s_name || ', plural of ' || s_name AS text FROM supplier""")
 def tag_text(spark, sf_dir):
     text = F.concat(F.lit("{{infl of|en|"), "s_name", F.lit("#top||1p|t=g}}; {{infl of|en|"), "s_name", F.lit("||12|;|1}}, {{plural of|en|"), "s_name", F.lit("}}"))
     text = F.replace(text, F.lit("Supplier#"), F.lit("Supplier"))
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"), "s_suppkey", text.alias("text"))
-    return rendered_texts(rows, _library(), "s_suppkey").withColumn("text", F.replace("text", F.lit("Supplier"), F.lit("Supplier#")))
+    return rendered_texts(table(spark, sf_dir, "supplier"), _library(), "s_name", text, "s_suppkey").withColumn("text", F.replace("text", F.lit("Supplier"), F.lit("Supplier#")))
 
 
 @query("""SELECT p_partkey, 'Form of ' || p_name || ' (“a”) and b (“c”), more. ' || p_brand_ || ' (“' || p_type || '”) (literally, “x”) (' || p_type || ', y)' AS text FROM (SELECT *, replace(p_brand, '#', ' ') AS p_brand_ FROM part)""")
 def form_of(spark, sf_dir):
     brand = F.replace("p_brand", F.lit("#"), F.lit(" "))
     text = F.concat(F.lit("{{form of|en|wc=1|"), "p_name", F.lit("<t:a>,b<gloss:c>|addl=more|dot=.}} {{l|en|"), brand, F.lit("||"), "p_type", F.lit("|lit=x}} {{q|"), "p_type", F.lit("|y}}"))
-    return rendered_texts(table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), "p_partkey", text.alias("text")), _library(), "p_partkey")
+    return rendered_texts(table(spark, sf_dir, "part"), _library(), "p_name", text, "p_partkey")
 
 
 @query("""SELECT n_nationkey, 'An ' || n_name || ' surname from Old ' || r_name || ' or X, equivalent to ' || n_name || '. A male or female given name from ' || r_name || '. A county in Kyiv Oblast, ' || n_name || ', United Kingdom. Capital: ' || r_name AS text
@@ -440,7 +443,7 @@ def form_of(spark, sf_dir):
 def names_and_places(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat(F.lit("{{surname|en|"), "n_name", F.lit("|A=An|from=Old:"), "r_name", F.lit("|from2=X|eq="), "n_name", F.lit("}}. {{given name|en|male/female|from="), "r_name", F.lit("}}. {{place|en|co|obl/Kyiv|"), "n_name", F.lit("|c/UK|capital=city/"), "r_name", F.lit("}}"))
-    return rendered_texts(rows.select(F.col("n_name").alias("title"), "n_nationkey", text.alias("text")), _library(), "n_nationkey")
+    return rendered_texts(rows, _library(), "n_name", text, "n_nationkey")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'is' ELSE 'not' END || ' ' || CASE WHEN o_orderkey % 3 = 1 THEN 'eq' ELSE 'ne' END || ' ' || CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '1' ELSE 'd' END
@@ -451,17 +454,13 @@ def parser_functions(spark, sf_dir):
         F.lit("{{#if:"), F.when(F.col("o_orderstatus") == "F", "x").otherwise(" "), F.lit("|is|not{{nope|{{rfd}}}}}} {{#ifeq:1.0|"), (k % 3).cast("string"), F.lit("|eq|ne}} {{#switch:"), "o_orderstatus", F.lit("|F|O=1|P=d|#default=z}} {{#ifexist:"),
         F.when(k % 2 == 0, "AFRICA").otherwise("MARS"), F.lit("|E|N}} {{lc:"), "o_orderpriority", F.lit("}} {{ucfirst:xy}} {{CURRENTYEAR}} {{LOCALMONTH}} {{PAGENAME}} {{{z}}} {{{y|d}}} {{!}} {{=}}{{#tag:ref|x}}{{fullurl:a}}{{NAMESPACE}}"),
     )
-    meaning = F.array(F.struct(F.lit(1).cast("smallint").alias("depth"), text.alias("text")))
-    entries = table(spark, sf_dir, "orders").select(k.cast("string").alias("title"), F.array(F.struct(F.lit("").alias("word_type"), meaning.alias("meanings"))).alias("blocks"))
-    done = render.render(entries, _library())
-    return done.select(F.col("title").cast("long").alias("o_orderkey"), F.col("blocks")[0]["meanings"][0]["text"].alias("text"))
+    return rendered_by_key(table(spark, sf_dir, "orders"), "o_orderkey", text, _library())
 
 
-def rendered_by_key(rows: DataFrame, key: str, known: Library) -> DataFrame:
-    """key and text of rows (key, text): each row as an entry whose title is its key."""
-    meaning = F.array(F.struct(F.lit(1).cast("smallint").alias("depth"), F.col("text").alias("text")))
-    entries = rows.select(F.col(key).cast("string").alias("title"), F.array(F.struct(F.lit("").alias("word_type"), meaning.alias("meanings"))).alias("blocks"))
-    return render.render(entries, known).select(F.col("title").cast("long").alias(key), F.col("blocks")[0]["meanings"][0]["text"].alias("text"))
+def rendered_by_key(rows: DataFrame, key: str, text: Column, known: Library) -> DataFrame:
+    """key and rendered text of rows: each as an entry whose title is its key. Rows are dealt out before texts are made of them."""
+    entries = render.dealt(rows, key).select(F.col(key).cast("string").alias("title"), _one_meaning(text).alias("blocks"))
+    return render.render(entries, known, spread=False).select(F.col("title").cast("long").alias(key), F.col("blocks")[0]["meanings"][0]["text"].alias("text"))
 
 
 def _invoking(**functions: str) -> list[tuple[str, None, str]]:
@@ -479,14 +478,14 @@ def module_functions(spark, sf_dir):
     )
     parts = ["{{sf|en|from=A,B}}", "{{sf|en}}", "{{df|@}}", "{{df|@|f=gloss}}", "{{si|en|x}}", "{{cp|@|!}}", "{{pn}}", "{{ip|@|b}}", "{{ch|H|2|O}}", "{{ln|en|@}}", "{{gl|x|y}}", "{{gl|x}}", "{{tx|a|b|@}}", "{{dn|en|@||g}}", "{{da|en|@}}", "{{al|en|@|b}}"]
     text = F.replace(F.lit(" / ".join(parts)), F.lit("@"), F.col("p_name"))
-    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", known)
+    return rendered_by_key(table(spark, sf_dir, "part"), "p_partkey", text, known)
 
 
 @query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 't' || p_name || ' t' || p_name || ' [' || p_name || '] aBC AB ' || p_name || ' ' || p_name || ' ab ' || p_partkey || ' ' || p_partkey || ' end' AS text FROM part""")
 def parser_words(spark, sf_dir):
     known = Library.of_pages([*_templates(("T a", "t{{{1}}}")), ("Appendix:X", None, "[{{{1}}}]")])
     text = F.replace(F.lit("{{subst:T a|@}} {{  T_a |@}} {{Appendix:X|@}} {{lcfirst:ABC}} {{uc:ab}} {{urlencode:@}} {{ns: @ }} {{safesubst:lc:AB}} {{FULLPAGENAME}} {{SUBPAGENAME}}{{#unknown:x|y}}{{localurl:x}}{{canonicalurl:y}} end"), F.lit("@"), F.col("p_name"))
-    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", known)
+    return rendered_by_key(table(spark, sf_dir, "part"), "p_partkey", text, known)
 
 
 @query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'a' || p_name || ' [' || p_name || '] two ' || p_name || ' {{tr|x}} end' AS text FROM part""")
@@ -494,14 +493,14 @@ def transclusion(spark, sf_dir):
     pages = _templates(("tr", "a<noinclude>no</noinclude><includeonly>{{{1}}}</includeonly>"), ("oi", "x<onlyinclude>[{{{1}}}]</onlyinclude>y"), ("r3", "two {{{1}}}"))
     known = Library.of_pages([*pages, ("Template:r1", "Template:r2", ""), ("Template:r2", "Template:r3", "")])
     text = F.replace(F.lit("{{tr|@}} {{oi|@}} {{r1|@}} <nowiki>{{tr|x}}</nowiki> end"), F.lit("@"), F.col("p_name"))
-    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", known)
+    return rendered_by_key(table(spark, sf_dir, "part"), "p_partkey", text, known)
 
 
 @query("""SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name || ' label c d x2 y 5° A (' || p_name || ') bold, it “q” end' AS text FROM part""")
 def plain_text(spark, sf_dir):
     parts = ["[[@]]", "[[a|label]]", "[[:c]]", "[[w:d]]", "[[Category:@]]<ref name=r>gone @</ref><ref name=s/>", "x<sup>2</sup>y", "5&deg;", "&#65;", "( @ )", "'''bold''' ,", "''it''", "&ldquo;q&rdquo;", "[http://x.y/z end]"]
     text = F.replace(F.lit(" ".join(parts)), F.lit("@"), F.col("p_name"))
-    return rendered_by_key(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", Library())
+    return rendered_by_key(table(spark, sf_dir, "part"), "p_partkey", text, Library())
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS title, CAST(CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END AS INT) AS word_types FROM documents WHERE doc_id % 3 > 0""")
@@ -537,7 +536,7 @@ def licence_credit(spark, sf_dir):
 def string_fns(spark, sf_dir):
     code = F.element_at(F.array(F.lit("fr"), F.lit("de"), F.lit("xx")), (F.col("p_partkey") % 3 + 1).cast("int"))
     text = F.concat(F.lit("{{find|"), "p_name", F.lit("|i}}/{{replace|"), "p_name", F.lit("|e|E}}/{{len|"), "p_name", F.lit("}}/{{lang|"), code, F.lit("}}"))
-    return rendered_texts(table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), "p_partkey", text.alias("text")), _library(), "p_partkey")
+    return rendered_texts(table(spark, sf_dir, "part"), _library(), "p_name", text, "p_partkey")
 
 
 @query("""SELECT r_name, CAST(2 AS BIGINT) AS found, CAST(1 AS BIGINT) AS skipped, r_name || '"' AS first, 'x' || r_regionkey AS second, 'long ' || r_name AS third FROM region""")
