@@ -16,7 +16,7 @@ def _tasks_with_rows(df):
     return df.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["module_functions"])
+@pytest.mark.parametrize("name", ["module_functions", "form_of"])
 def test_one_row_group_is_rendered_by_many_tasks(spark, sf, name):
     assert _tasks_with_rows(queries.QUERIES[name](spark, sf)) > 4
 
@@ -63,8 +63,13 @@ def test_what_is_remembered_is_bounded(monkeypatch):
 
 def test_simple_nodes_are_those_of_the_full_parse(monkeypatch):
     r = random.Random(5)
-    texts = ["".join(r.choice(["{{", "}}", "{{{", "}}}", "[[", "]]", "|", "=", "a", "\n", "<ref>", "</ref>", "{", "]", " b "]) for _ in range(r.randrange(25))) for _ in range(6000)]
+    texts = ["".join(r.choice(["{{", "}}", "{{{", "}}}", "[[", "]]", "|", "=", "a", "\n", "<ref>", "</ref>", "<t:", "<NoWiki/>", ">", "{", "]", " b "]) for _ in range(r.randrange(25))) for _ in range(6000)]
     quick = [parser.parse(t) for t in texts]
     none = parser.re.compile(r"(?!)")
     monkeypatch.setattr(parser, "_SIMPLE", {k: none for k in parser._SIMPLE})
     assert quick == [parser.parse(t) for t in texts]
+
+
+def test_other_tags_keep_a_node_simple():
+    assert type(parser.parse("{{form of|en|a<t:b>,c<gloss:d>}}")[0]) is parser.Simple
+    assert type(parser.parse("{{l|a<ref>}}</ref>}}")[0]) is not parser.Simple
