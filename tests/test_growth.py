@@ -16,7 +16,7 @@ def _tasks_with_rows(df):
     return df.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["module_functions", "string_fns", "form_of"])
+@pytest.mark.parametrize("name", ["module_functions", "string_fns", "form_of", "parser_words"])
 def test_one_row_group_is_rendered_by_many_tasks(spark, sf, name):
     assert _tasks_with_rows(queries.QUERIES[name](spark, sf)) > 4
 
@@ -65,8 +65,9 @@ def test_simple_nodes_are_those_of_the_full_parse(monkeypatch):
     r = random.Random(5)
     texts = ["".join(r.choice(["{{", "}}", "{{{", "}}}", "[[", "]]", "|", "=", "a", "\n", "<ref>", "</ref>", "<t:", "<NoWiki/>", ">", "{", "]", " b "]) for _ in range(r.randrange(25))) for _ in range(6000)]
     quick = [parser.parse(t) for t in texts]
-    none = parser.re.compile(r"(?!)")
-    monkeypatch.setattr(parser, "_SIMPLE", {k: none for k in parser._SIMPLE})
+    plainly = {k: parser.re.compile(v.pattern.replace(f"({parser._SIMPLE})", "((?!))")) for k, v in parser._STOPS.items()}
+    monkeypatch.setattr(parser, "_STOPS", plainly)
+    assert type(parser.parse("{{a}}")[0]) is tuple
     assert quick == [parser.parse(t) for t in texts]
 
 
