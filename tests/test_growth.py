@@ -16,7 +16,7 @@ def _tasks_with_rows(df):
     return df.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["module_functions", "string_fns", "form_of", "parser_words", "transclusion", "parser_functions"])
+@pytest.mark.parametrize("name", ["module_functions", "string_fns", "form_of", "parser_words", "transclusion", "parser_functions", "plain_text"])
 def test_one_row_group_is_rendered_by_many_tasks(spark, sf, name):
     assert _tasks_with_rows(queries.QUERIES[name](spark, sf)) > 4
 
