@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..functions.text import WHITE
 
 _WORD = r"[\p{IsAlphabetic}\p{N}][\p{IsAlphabetic}\p{N}'’.\-\x{0300}-\x{036F}]*"
 _EVENT = rf"\\?{_WORD}(?:\p{{IsWhite_Space}}|\z)?|[(\[)\]]|[.!?](?=\p{{IsWhite_Space}}|\z)"
+#: Lines whose words are Python objects at once.
+SLICE = 100
 WORD_ARRAY = "array<struct<word string, sentence_start boolean>>"
 
 
@@ -81,6 +84,23 @@ def py_words(line: str) -> list[tuple[str, bool]]:
     return out
 
 
+def _word_arrays(texts: pa.Array) -> pa.Array:
+    """The words of lines as an Arrow list array; a slice of the lines at a time is Python objects."""
+    done = [_sliced(texts.slice(at, SLICE)) for at in range(0, max(1, len(texts)), SLICE)]
+    return pa.concat_arrays(done)
+
+
+def _sliced(texts: pa.Array) -> pa.Array:
+    found, starts, ends = [], [], [0]
+    for text in texts:
+        for word, start in py_words(text.as_py() or ""):
+            found.append(word)
+            starts.append(start)
+        ends.append(len(found))
+    words = pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(starts, pa.bool_())], ["word", "sentence_start"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words, mask=texts.is_null())
+
+
 def word_array(text: Column) -> Column:
     """The words of a line as WORD_ARRAY; null for null."""
-    return F.udf(lambda t: None if t is None else [{"word": w, "sentence_start": s} for w, s in py_words(t)], WORD_ARRAY, useArrow=True)(text)
+    return F.arrow_udf(_word_arrays, WORD_ARRAY)(text)

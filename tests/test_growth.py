@@ -1,13 +1,15 @@
 """What keeps larger tables within bounds: rows over all tasks, work done once, memory of slices."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexspark.functions.markup import expand, parser
 from lexspark.functions.markup.expand import Expander, Library
-from lexspark.operators import render
+from lexspark.operators import render, tokens
 from lexspark.plans import queries
 from lexspark.sources import store
 
@@ -74,3 +76,20 @@ def test_simple_nodes_are_those_of_the_full_parse(monkeypatch):
 def test_other_tags_keep_a_node_simple():
     assert type(parser.parse("{{form of|en|a<t:b>,c<gloss:d>}}")[0]) is parser.Simple
     assert type(parser.parse("{{l|a<ref>}}</ref>}}")[0]) is not parser.Simple
+
+
+def test_words_of_many_lines_are_not_python_objects_at_once():
+    lines = [f"The {i}th line (of. many) words. Ends" if i % 7 else None if i % 2 else "" for i in range(10_000)]
+    given = pa.array(lines)
+    tracemalloc.start()
+    found = tokens._word_arrays(given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 << 20  # all of them: over 10 MB
+    assert found.to_pylist() == [None if t is None else [{"word": w, "sentence_start": s} for w, s in tokens.py_words(t)] for t in lines]
+    assert tokens._word_arrays(given.slice(9_990, 0)).to_pylist() == []
+
+
+def test_word_array_of_a_column(spark):
+    rows = spark.createDataFrame([(1, "A b. C"), (2, None), (3, "")], "id int, t string").select("id", tokens.word_array(F.col("t")).alias("w")).collect()
+    assert {r["id"]: None if r["w"] is None else [tuple(x) for x in r["w"]] for r in rows} == {1: [("A", True), ("b.", False), ("C", True)], 2: None, 3: []}
