@@ -169,4 +169,4 @@ def py_strip_comments(text: str) -> str:
 def xml_text(c: Column) -> Column:
     """XML references decoded; texts without numeric ones stay in the JVM."""
     decode = F.udf(lambda s: None if s is None else xml_unescape(s), "string", useArrow=True)
-    return decode(c)
+    return F.coalesce(decode(F.when(F.contains(c, F.lit("&#")), c)), named_entities(c))

@@ -21,6 +21,7 @@ from ..functions.text import xml_text
 ENTRY, TEMPLATE, MODULE = 0, 10, 828
 KEPT = (ENTRY, TEMPLATE, MODULE)
 
+_PAGE = "<page>"
 _OPEN = r"(?m)^[ \t\r\x0c]*<page>[ \t\r\x0c]*$"
 _TEXT = r"(?s)<text(?:[^>]*[^>/])?>(.*?)</text>"
 
@@ -36,22 +37,40 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     a dump that ends in one and an unreadable namespace are errors. A text of several
     revisions is their concatenation.
     """
-    raw = spark.read.option("lineSep", "</page>").text(path).withColumn("page_seq", F.monotonically_increasing_id())
-    opened = F.regexp_count("value", F.lit(_OPEN))
-    closed = ~F.rlike("value", F.lit(r"(?s)^\s*</mediawiki>\s*$|^\s*$"))
-    checked = raw.withColumn("opened", opened).where((F.col("opened") > 0) & closed)
-    checked = checked.withColumn("value", _fail(F.col("opened") > 1, "a page inside a page", F.regexp_replace("value", r"(?s)^.*?<page>", "")))
-    checked = checked.withColumn("value", _fail(F.rlike("value", F.lit(r"</mediawiki>\s*\z")), "the dump ended inside a page", F.col("value")))
-    head = F.regexp_replace("value", r"(?s)<text.*", "")
-    ns = F.regexp_extract(head, r"<ns>(.*?)</ns>", 1)
-    unclosed = F.regexp_count("value", F.lit(r"<text(?:[^>]*[^>/])?>")) > F.regexp_count("value", F.lit("</text>"))
-    return checked.select(
-        "page_seq",
-        F.when(ns == "", None).otherwise(_fail(~F.rlike(ns, F.lit(r"^[+-]?\d+$")), "unreadable namespace", ns)).cast("long").alias("ns"),
+    raw = spark.read.option("lineSep", "</page>").text(path).where(F.contains("value", F.lit(_PAGE)))
+    at = F.instr("value", _PAGE)
+    rest = F.substr(F.col("value"), at + len(_PAGE))
+    alone = F.rlike(F.substr(F.col("value"), F.lit(1), at + len(_PAGE) - 1), F.lit(r"(?m)^[ \t\r\x0c]*<page>\z")) & F.rlike(rest, F.lit(r"(?m)\A[ \t\r\x0c]*$"))
+    opened = F.when(_several("value", _PAGE), F.regexp_count("value", F.lit(_OPEN))).otherwise(alone.cast("int"))
+    checked = raw.select(opened.alias("opened"), rest.alias("value")).where("opened > 0")
+    cut = F.contains("value", F.lit("</mediawiki>")) & F.rlike("value", F.lit(r"</mediawiki>\s*\z"))
+    value = _fail(F.col("opened") > 1, "a page inside a page", _fail(cut, "the dump ended inside a page", F.col("value")))
+    checked = checked.select(value.alias("value")).withColumn("head", F.substring_index("value", "<text", 1)).withColumn("ns", F.regexp_extract("head", r"<ns>(.*?)</ns>", 1))
+    head, ns = F.col("head"), F.col("ns")
+    number = F.when(ns == "", None).otherwise(_fail(~F.rlike(ns, F.lit(r"^[+-]?\d+$")), "unreadable namespace", ns)).cast("long")
+    numbered = checked.select(
+        F.monotonically_increasing_id().alias("page_seq"),
+        F.when(F.monotonically_increasing_id() >= 0, number).alias("ns"),  # always; filters on it stay above, so what is below is worked out once
         F.when(F.rlike(head, F.lit("<title>.*?</title>")), F.regexp_extract(head, r"<title>(.*?)</title>", 1)).alias("title"),
         F.when(F.rlike(head, F.lit('<redirect title=".*?" />')), F.regexp_extract(head, r'<redirect title="(.*?)" />', 1)).alias("redirect"),
-        _fail(unclosed, "a text without an end", F.array_join(F.regexp_extract_all("value", F.lit(_TEXT), F.lit(1)), "")).alias("escaped"),
+        "value",
     )
+    return numbered.select("page_seq", "ns", "title", "redirect", _escaped("value").alias("escaped"))
+
+
+def _several(column: str, mark: str) -> Column:
+    """Whether a mark is there more than once."""
+    return F.octet_length(F.substring_index(column, mark, 2)) < F.octet_length(column)
+
+
+def _escaped(value: str) -> Column:
+    """The texts of a page, escaped. One text, as pages have, is cut out without regular expressions."""
+    inner = F.substring_index(F.substring_index(value, "</text>", 1), "<text", -1)
+    end = F.instr(inner, ">")
+    one = F.contains(value, F.lit("</text>")) & F.contains(F.substring_index(value, "</text>", 1), F.lit("<text")) & ~_several(value, "<text") & ~_several(value, "</text>")
+    one = one & (end > 0) & (F.substr(inner, end - 1, F.lit(1)) != "/")
+    unclosed = F.regexp_count(value, F.lit(r"<text(?:[^>]*[^>/])?>")) > F.regexp_count(value, F.lit("</text>"))
+    return F.when(one, F.substr(inner, end + 1)).otherwise(_fail(unclosed, "a text without an end", F.array_join(F.regexp_extract_all(value, F.lit(_TEXT), F.lit(1)), "")))
 
 
 def kept(pages_: DataFrame, namespaces: tuple[int, ...] = KEPT) -> DataFrame:

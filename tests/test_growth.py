@@ -7,11 +7,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexspark.functions import text as T
 from lexspark.functions.markup import expand, parser
 from lexspark.functions.markup.expand import Expander, Library
 from lexspark.operators import render, tokens
 from lexspark.plans import queries
-from lexspark.sources import store
+from lexspark.sources import dump, store
 
 
 def _tasks_with_rows(df):
@@ -93,3 +94,27 @@ def test_words_of_many_lines_are_not_python_objects_at_once():
 def test_word_array_of_a_column(spark):
     rows = spark.createDataFrame([(1, "A b. C"), (2, None), (3, "")], "id int, t string").select("id", tokens.word_array(F.col("t")).alias("w")).collect()
     assert {r["id"]: None if r["w"] is None else [tuple(x) for x in r["w"]] for r in rows} == {1: [("A", True), ("b.", False), ("C", True)], 2: None, 3: []}
+
+
+def test_filters_on_pages_work_their_columns_out_once(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("<mediawiki>\n</mediawiki>\n")
+    found = dump.decoded(dump.routed(dump.kept(dump.pages(spark, str(tmp_path / "d.xml")))).where("kind <> 'dropped'"), "title", "escaped").select("title", "kind", "text")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<ns>") == 1 and plan.count("a page inside a page") == 1
+
+
+def test_odd_pages(spark, tmp_path):
+    head = "<page>\n<title>{0}</title>\n<ns>0</ns>\n"
+    bodies = ["<text>a</text>", '<text bytes="0" />', "<text/>", '<text x="y">a &gt; b > c</text>', "<text>a</text>x<text q='/'>b</text>", "<text>a</text></text>", "", "<text></text>", "<text/></text>"]
+    pages = [head.format(i) + b + "\n</page>\n" for i, b in enumerate(bodies)]
+    (tmp_path / "d.xml").write_text("<mediawiki>\n<a><page></a>\n".replace("<page>", "<pages>") + "".join(pages) + "  <page>\r\n<title>crlf</title>\r\n<ns>10</ns>\r\n</page>\n</mediawiki>\n")
+    rows = dump.pages(spark, str(tmp_path / "d.xml")).orderBy("page_seq").collect()
+    assert [r["escaped"] for r in rows] == ["a", "", "", "a &gt; b > c", "ab", "a", "", "", "", ""]
+    assert [(r["title"], r["ns"]) for r in rows] == [(str(i), 0) for i in range(len(bodies))] + [("crlf", 10)]
+
+
+def test_references_decoded_in_both_ways(spark):
+    r = random.Random(9)
+    texts = [None, ""] + ["".join(r.choice(["&", "amp;", "lt;", "gt;", "quot;", "apos;", "#65;", "#x", ";", "a", "&amp;", "é"]) for _ in range(r.randrange(12))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.xml_text(F.col("t")).alias("x")).collect()
+    assert all(row["x"] == (None if row["t"] is None else T.xml_unescape(row["t"])) for row in rows) and len(rows) == len(texts)
